@@ -219,13 +219,11 @@ def _tiled_nearest(lrows, rrows, width, k, metric, exclude_self, labelled, carry
     # each left row costs a distance to every pivot, so spread them evenly first
     visiting = settle(lrows.mapInPandas(visit, left_schema + ", _cells array<int>"), "visits")
     visitors = {r["_cell"]: r.n for r in visiting.select(F.explode("_cells").alias("_cell")).groupBy("_cell").agg(F.count("*").alias("n")).collect()}
-    plan = lrows.sparkSession.createDataFrame(
-        [
-            (int(r["_cell"]), math.ceil(r.n / tile_rows), math.ceil(visitors.get(r["_cell"], 1) / tile_rows))
-            for r in sizes
-        ],
-        "_cell int, _chunks int, _salts int",
-    )  # one row per cell, at most MAX_PIVOTS rows
+    plan_rows = [
+        (int(r["_cell"]), math.ceil(r.n / tile_rows), math.ceil(visitors.get(r["_cell"], 1) / tile_rows)) for r in sizes
+    ]
+    # one row per cell, at most MAX_PIVOTS rows
+    plan = lrows.sparkSession.createDataFrame(plan_rows, "_cell int, _chunks int, _salts int")
     ltiles = (
         visiting.withColumn("_cell", F.explode("_cells")).drop("_cells")
         .join(F.broadcast(plan), "_cell")
@@ -246,9 +244,49 @@ def _tiled_nearest(lrows, rrows, width, k, metric, exclude_self, labelled, carry
         return top_rows(a.reset_index(drop=True), b, k, metric, exclude_self, labelled, carry)
 
     spots = ["_cell", "_chunk", "_salt"]
+    # a fixed number of partitions, because the work is far larger than the bytes
+    tiles = sum(chunks * salts for _, chunks, salts in plan_rows)
+    parts = max(1, min(tiles, 20_000))
+    ltiles, rtiles = ltiles.repartition(parts, *spots), rtiles.repartition(parts, *spots)
     return ltiles.groupBy(*spots).cogroup(rtiles.groupBy(*spots)).applyInPandas(tile, schema)
 
 
+def pair_blocks(
+    left: DataFrame, right: DataFrame, left_key: str, right_key: str, work, schema: str, width: int,
+    small_values: int = SMALL_VALUES, tile_rows: int = TILE_ROWS,
+) -> DataFrame:
+    """Rows of ``work(left block, right block)`` over all pairs of blocks.
+
+    ``work`` must return a few rows per left row, never one per pair. A right side of
+    checked size is broadcast; otherwise both sides are dealt into tiles.
+    """
+    count = right.count()
+    if count * width <= small_values:
+        shared = left.sparkSession.sparkContext.broadcast(right.toPandas())
+
+        def scan(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for part in parts:
+                if len(part) and len(shared.value):
+                    yield work(part, shared.value)
+
+        return spread(left, left.count(), count * width, left_key).mapInPandas(scan, schema)
+    across, down = math.ceil(left.count() / tile_rows), math.ceil(count / tile_rows)
+
+    def every(n: int):
+        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+
+    a = left.withColumn("_a", hash_bucket(ref(left_key), across).cast("int")).withColumn("_b", every(down))
+    b = right.withColumn("_b", hash_bucket(ref(right_key), down).cast("int")).withColumn("_a", every(across))
+    empty = [part.split()[0].strip("`") for part in schema.split(", ")]
+
+    def tile(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        return work(x, y) if len(x) and len(y) else pd.DataFrame({c: [] for c in empty})
+
+    parts = max(1, min(across * down, 20_000))
+    a, b = (t.select(*[ref(c).alias(c) for c in t.columns]).repartition(parts, "_a", "_b") for t in (a, b))
+    return a.groupBy("_a", "_b").cogroup(b.groupBy("_a", "_b")).applyInPandas(tile, schema)
+
+
 def distance_sums(
     df: DataFrame, key: str, features: Sequence[str], label: str, metric: str = "euclidean",
     small_values: int = SMALL_VALUES, tile_rows: int = TILE_ROWS,
@@ -258,14 +296,11 @@ def distance_sums(
     The work is quadratic by definition; the data moved is not: every tile returns one
     number per row and label.
     """
-    features = list(features)
     rows = _packed(df, key, features, metric, ("left_key", "_x"), [ref(label).alias("_l")])
     fields = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
     schema = f"left_key {fields['left_key']}, _l {fields['_l']}, other {fields['_l']}, total double"
 
     def sums(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if not len(a) or not len(b):
-            return pd.DataFrame({c: [] for c in ("left_key", "_l", "other", "total")})
         x, y = np.stack(a["_x"].to_numpy()), np.stack(b["_x"].to_numpy())
         labels, codes = np.unique(b["_l"].to_numpy(), return_inverse=True)
         member = np.zeros((len(y), len(labels)))
@@ -280,20 +315,5 @@ def distance_sums(
             }
         )
 
-    count = rows.count()
-    if count * len(features) <= small_values:
-        shared = df.sparkSession.sparkContext.broadcast(rows.toPandas())
-
-        def scan(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for part in parts:
-                yield sums(part, shared.value)
-
-        found = spread(rows, count, count * len(features), "left_key").mapInPandas(scan, schema)
-    else:
-        tiles = math.ceil(count / tile_rows)
-        every = F.explode(F.sequence(F.lit(0), F.lit(tiles - 1)))
-        mine = hash_bucket(F.col("left_key"), tiles).cast("int")
-        a = rows.withColumn("_a", mine).withColumn("_b", every)
-        b = rows.withColumn("_b", mine).withColumn("_a", every)
-        found = a.groupBy("_a", "_b").cogroup(b.groupBy("_a", "_b")).applyInPandas(sums, schema)
+    found = pair_blocks(rows, rows, "left_key", "left_key", sums, schema, len(features), small_values, tile_rows)
     return found.groupBy(F.col("left_key").alias(key), F.col("_l").alias(label), "other").agg(F.sum("total").alias("total"))

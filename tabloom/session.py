@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import sys
+
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -15,6 +18,8 @@ SETTINGS = {
 
 def build_session(master: str | None = None, **extra: str) -> SparkSession:
     """Session with the settings above; ``extra`` uses double underscores for dots."""
+    # workers run the interpreter of the driver unless told otherwise
+    os.environ.setdefault("PYSPARK_PYTHON", sys.executable)
     builder = SparkSession.builder.appName("tabloom")
     if master:
         builder = builder.master(master)
