@@ -170,14 +170,14 @@ SELECT c_custkey AS id,
 FROM {customer}
 """
 
-MODELS = "SELECT n_nationkey AS id, n_nationkey AS dataset_id FROM {nation} WHERE n_nationkey % 4 = 0"
+MODELS = "SELECT DISTINCT n_nationkey - n_nationkey % 4 AS id, n_nationkey - n_nationkey % 4 AS dataset_id FROM {nation}"
 
-FIT10 = "SELECT p_partkey AS id, p_brand AS brand, p_retailprice AS y FROM {part} WHERE p_partkey % 5 <> 0"
+FIT10 = "SELECT p_partkey AS id, p_brand AS brand, p_retailprice AS y" " FROM {part}"
 F10 = """
 SELECT p_partkey AS id,
        CASE WHEN p_partkey % 35 = 0 THEN 'Brand#unseen' WHEN p_partkey % 55 = 0 THEN NULL ELSE p_brand END AS brand,
        p_retailprice AS y
-FROM {part} WHERE p_partkey % 5 = 0
+FROM {part}
 """
 
 NUMBER = r"^\s*[-+]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][-+]?[0-9]+)?\s*$"

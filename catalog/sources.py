@@ -265,8 +265,9 @@ def p7(spark, sf):
            coalesce(o.is_excluded, false) AS is_excluded, o.encoding_method
     FROM (SELECT 'p' || CAST(p_partkey AS VARCHAR) AS column_name, CASE WHEN p_partkey % 2 = 0 THEN 'numeric' ELSE 'categorical' END AS data_type FROM part) i
     LEFT JOIN (SELECT 'p' || CAST(p_partkey AS VARCHAR) AS column_name, CASE WHEN p_partkey % 6 = 0 THEN 'categorical' END AS data_type,
-                      p_partkey % 9 = 0 AS is_target, p_partkey % 12 = 0 AS is_excluded, p_type AS encoding_method
-               FROM part WHERE p_partkey % 3 = 0) o ON o.column_name = i.column_name
+                      CASE WHEN p_partkey % 3 = 0 THEN p_partkey % 9 = 0 END AS is_target, p_partkey % 12 = 0 AS is_excluded,
+                      CASE WHEN p_partkey % 3 = 0 THEN p_type END AS encoding_method
+               FROM part) o ON o.column_name = i.column_name
     """,
 )
 def p8(spark, sf):
@@ -274,8 +275,9 @@ def p8(spark, sf):
     left = rows(spark, sf, """SELECT concat('p', p_partkey) AS column_name,
         CASE WHEN p_partkey % 2 = 0 THEN 'numeric' ELSE 'categorical' END AS data_type FROM {part}""")
     right = rows(spark, sf, """SELECT concat('p', p_partkey) AS column_name,
-        CASE WHEN p_partkey % 6 = 0 THEN 'categorical' END AS data_type, p_partkey % 9 = 0 AS is_target,
-        p_partkey % 12 = 0 AS is_excluded, p_type AS encoding_method FROM {part} WHERE p_partkey % 3 = 0""")
+        CASE WHEN p_partkey % 6 = 0 THEN 'categorical' END AS data_type,
+        CASE WHEN p_partkey % 3 = 0 THEN p_partkey % 9 = 0 END AS is_target, p_partkey % 12 = 0 AS is_excluded,
+        CASE WHEN p_partkey % 3 = 0 THEN p_type END AS encoding_method FROM {part}""")
     return profiling.merge_roles(left, right)
 
 
