@@ -89,19 +89,19 @@ def m7(spark, sf):
 @query("m8_svm_linear")
 def m8(spark, sf):
     frame = customers(spark, sf)
-    return _scored(margin.fit_svm(frame, INPUTS, "label", kernel="linear"), frame, "label")
+    return _scored(margin.fit_svm(frame, INPUTS, "label", kernel="linear", max_iter=15), frame, "label")
 
 
 @query("m8_svm_rbf")
 def m8b(spark, sf):
     frame = customers(spark, sf)
-    return _scored(margin.fit_svm(frame, INPUTS, "label3", max_iter=20), frame, "label3")
+    return _scored(margin.fit_svm(frame, INPUTS, "label3", max_iter=10), frame, "label3")
 
 
 @query("m8_svm_poly")
 def m8c(spark, sf):
     frame = customers(spark, sf)
-    return _scored(margin.fit_svm(frame, INPUTS, "label", kernel="poly", degree=3, max_iter=30), frame, "label")
+    return _scored(margin.fit_svm(frame, INPUTS, "label", kernel="poly", degree=3, max_iter=15), frame, "label")
 
 
 _SMOOTH = "1e-9 * greatest((SELECT var_pop(acctbal) FROM p), (SELECT var_pop(nation) FROM p), (SELECT var_pop(n_orders) FROM p))"

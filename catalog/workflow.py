@@ -311,14 +311,18 @@ def l4b(spark, sf):
     return rounded(lineage.inherited_components(path, steps)).select("dataset_id", "position", "depth")
 
 
+# predictions that all read an original dataset
+ON_SOURCES = "SELECT c_custkey AS id, c_nationkey - c_nationkey % 5 AS input_dataset_id FROM {customer}"
+
+
 @query(
     "l5_unused_derived",
-    f"""WITH d AS ({F9}), m AS ({MODELS}), p AS ({PREDICTIONS}) SELECT CAST(id AS BIGINT) AS id, name FROM d WHERE source_dataset_id IS NOT NULL
-      AND id NOT IN (SELECT dataset_id FROM m) AND id NOT IN (SELECT input_dataset_id FROM p WHERE input_dataset_id > 7)
+    f"""WITH d AS ({F9}), m AS ({MODELS}), p AS ({ON_SOURCES}) SELECT CAST(id AS BIGINT) AS id, name FROM d WHERE source_dataset_id IS NOT NULL
+      AND id NOT IN (SELECT dataset_id FROM m) AND id NOT IN (SELECT input_dataset_id FROM p)
       AND id NOT IN (SELECT source_dataset_id FROM d WHERE source_dataset_id IS NOT NULL)""",
 )
 def l5(spark, sf):
-    used = rows(spark, sf, PREDICTIONS).where("input_dataset_id > 7")
+    used = rows(spark, sf, ON_SOURCES)
     return rounded(registry.unused_derived(rows(spark, sf, F9), rows(spark, sf, MODELS), used).select("id", "name"))
 
 

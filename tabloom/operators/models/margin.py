@@ -139,7 +139,8 @@ class MarginClassifier(Fitted):
 
 def fit_svm(
     df: DataFrame, features: Sequence[str], label: str, C: float = 1.0, kernel: str = "rbf", degree: int = 3,
-    gamma: str | float = "scale", components: int = 200, max_iter: int = 100, random_state: int = 42, **ignored,
+    gamma: str | float = "scale", components: int = 200, max_iter: int = 100, tol: float = 1e-3, random_state: int = 42,
+    **ignored,
 ) -> MarginClassifier:
     """Linear machine in the kernel's feature space; several classes go one against the rest."""
     require_numeric(df, features)
@@ -155,14 +156,15 @@ def fit_svm(
         for side in sides:
             data = rows.withColumn("_y", (F.col("_c") == side).cast("double"))
             svc = LinearSVC(
-                featuresCol="_x", labelCol="_y", regParam=1.0 / (C * n), standardization=False, maxIter=max_iter
+                featuresCol="_x", labelCol="_y", regParam=1.0 / (C * n), standardization=False, maxIter=max_iter,
+                tol=tol,
             ).fit(data)
             weights.append(svc.coefficients.toArray())
             bias.append(svc.intercept)
             margin = svc.transform(data).select(
                 "_y", array_to_vector(F.array(vector_to_array("rawPrediction")[1])).alias("_m")
             )
-            odds = LogisticRegression(featuresCol="_m", labelCol="_y", standardization=False, regParam=1e-6).fit(margin)
+            odds = LogisticRegression(featuresCol="_m", labelCol="_y", regParam=1e-6, tol=1e-4).fit(margin)
             slopes.append(float(odds.coefficients[0]))
             offsets.append(float(odds.intercept))
     finally:

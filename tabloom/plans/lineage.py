@@ -50,7 +50,7 @@ def lineage_path(datasets: DataFrame, start) -> DataFrame:
         )
         SELECT id, depth FROM path
         """,
-        datasets=datasets.select("id", "source_dataset_id"), start=F.lit(start),
+        datasets=datasets.select("id", "source_dataset_id"), start=start,
     )
 
 
