@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
@@ -52,6 +53,11 @@ def assemble(df: DataFrame, features: Sequence[str], label: Column | None = None
     return packed.select("_x", *[c for c in ("_y", "_w") if c in packed.columns])
 
 
+def right_size(df: DataFrame, rows: int, per_partition: int = 20_000) -> DataFrame:
+    """Fewer partitions for few rows: an iterative fit pays for every task in every pass."""
+    return df.coalesce(max(1, math.ceil(rows / per_partition)))
+
+
 def attach_vector(df: DataFrame, features: Sequence[str]) -> DataFrame:
     """Add ``_x`` beside the given columns."""
     packer = VectorAssembler(inputCols=[f"_x{i}" for i in range(len(features))], outputCol="_x", handleInvalid="keep")

@@ -18,7 +18,7 @@ from ..components import connected_components
 from ..lookup import lookup
 from ..neighbors import SMALL_VALUES, TILE_ROWS, nearest
 from ..ordering import running_totals
-from .base import Fitted, assemble, attach_vector, require_numeric
+from .base import Fitted, assemble, attach_vector, require_numeric, right_size
 from .graphs import neighbor_graph
 
 
@@ -55,10 +55,11 @@ def fit_kmeans(
     data = assemble(df, features).persist()
     best = None
     try:
+        sized = right_size(data, data.count())
         for i in range(n_init):
             model = KMeans(
                 featuresCol="_x", k=n_clusters, maxIter=max_iter, tol=tol, seed=random_state + i, initMode="k-means||"
-            ).fit(data)
+            ).fit(sized)
             if best is None or model.summary.trainingCost < best.summary.trainingCost:
                 best = model
     finally:

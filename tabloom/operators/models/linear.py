@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ...functions.names import ref
-from .base import Fitted, MlClassifier, assemble, class_code, class_list, require_numeric
+from .base import Fitted, MlClassifier, assemble, class_code, class_list, require_numeric, right_size
 from .matrices import covariance, dot
 
 
@@ -130,7 +130,7 @@ def fit_logistic(
     if class_weight == "balanced":
         shares = F.array(*[F.lit(n / (len(counts) * counts.get(c, 1))) for c in classes])
         weight = F.element_at(shares, code.cast("int") + 1)
-    data = assemble(df, features, code, weight)
+    data = right_size(assemble(df, features, code, weight), n)
     mix = {"l2": 0.0, "l1": 1.0, "elasticnet": l1_ratio, "none": 0.0, None: 0.0}[penalty]
     strength = 0.0 if penalty in ("none", None) else 1.0 / (C * n)
     family = "multinomial" if multi_class == "multinomial" or len(classes) > 2 else "binomial"

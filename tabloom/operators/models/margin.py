@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ...functions.names import ref
 from ...sources.shared import release
-from .base import Fitted, class_code, class_list, class_name, require_numeric
+from .base import Fitted, class_code, class_list, class_name, require_numeric, right_size
 from .neural import SHARD_VALUES, Network, Settings, pack, train
 
 
@@ -151,10 +151,11 @@ def fit_svm(
     ).persist()
     try:
         n = rows.count()
+        sized = right_size(rows, n).persist()
         sides = [1] if len(classes) == 2 else range(len(classes))
         weights, bias, slopes, offsets = [], [], [], []
         for side in sides:
-            data = rows.withColumn("_y", (F.col("_c") == side).cast("double"))
+            data = sized.withColumn("_y", (F.col("_c") == side).cast("double"))
             svc = LinearSVC(
                 featuresCol="_x", labelCol="_y", regParam=1.0 / (C * n), standardization=False, maxIter=max_iter,
                 tol=tol,
@@ -167,6 +168,7 @@ def fit_svm(
             odds = LogisticRegression(featuresCol="_m", labelCol="_y", regParam=1e-6, tol=1e-4).fit(margin)
             slopes.append(float(odds.coefficients[0]))
             offsets.append(float(odds.intercept))
+        sized.unpersist()
     finally:
         rows.unpersist()
     return MarginClassifier(

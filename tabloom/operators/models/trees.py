@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ...functions.names import ref, text_columns
 from ..encoding import Encoder, fit_encoder
-from .base import Fitted, MlClassifier, MlRegressor, RestClassifier, assemble, class_code, class_list
+from .base import Fitted, MlClassifier, MlRegressor, RestClassifier, assemble, class_code, class_list, right_size
 
 DEEPEST = 30
 
@@ -72,15 +72,16 @@ def fit_boosting_classifier(
         subsamplingRate=subsample, minInstancesPerNode=min_samples_leaf, featureSubsetStrategy=_subset(max_features),
         minInfoGain=min_gain, maxBins=max_bins, seed=random_state,
     )
-    data = assemble(df, features, code).persist()
+    whole = assemble(df, features, code).persist()
     try:
+        data = right_size(whole, whole.count())
         if len(classes) <= 2:
             return MlClassifier(list(features), _notes(ignored), base.fit(data), classes)
         models = [
             base.fit(data.withColumn("_y", (F.col("_y") == i).cast("double"))) for i in range(len(classes))
         ]
     finally:
-        data.unpersist()
+        whole.unpersist()
     return RestClassifier(list(features), _notes(ignored), models, classes)
 
 

@@ -25,6 +25,7 @@ SMALL_VALUES = 2_000_000
 TILE_ROWS = 8192
 MAX_PIVOTS = 1024
 BLOCK = 1_000_000
+GROUP = 256
 
 
 def distances(x: np.ndarray, y: np.ndarray, metric: str) -> np.ndarray:
@@ -56,43 +57,94 @@ def blocks(rows: int, other: int) -> Iterator[slice]:
         yield slice(start, start + step)
 
 
+class RightSide:
+    """Right rows of a block, kept in order of their most spread dimension."""
+
+    def __init__(self, y: np.ndarray, keys: np.ndarray, labels: np.ndarray | None, carry: dict[str, np.ndarray]):
+        self.axis = int(y.std(axis=0).argmax())
+        order = np.argsort(y[:, self.axis], kind="stable")
+        self.y, self.line = y[order], y[order, self.axis]
+        self.keys = keys[order]
+        by_key = np.argsort(self.keys, kind="stable")
+        self.sorted_keys, self.spot = self.keys[by_key], by_key
+        self.rank = np.empty(len(order), dtype=int)
+        self.rank[by_key] = np.arange(len(order))
+        self.labels = None if labels is None else labels[order]
+        self.carry = {c: v[order] for c, v in carry.items()}
+
+    @classmethod
+    def of(cls, rows: pd.DataFrame, carry: Sequence[str], labelled: bool) -> RightSide:
+        return cls(
+            np.stack(rows["_y"].to_numpy()), rows["right_key"].to_numpy(), rows["_l"].to_numpy() if labelled else None,
+            {c: rows[c].to_numpy() for c in carry},
+        )
+
+    def own(self, keys: np.ndarray) -> np.ndarray:
+        """Position of each left key among the right rows, -1 where absent."""
+        at = np.minimum(np.searchsorted(self.sorted_keys, keys), len(self.sorted_keys) - 1)
+        return np.where(self.sorted_keys[at] == keys, self.spot[at], -1)
+
+
 def top_rows(
-    left: pd.DataFrame, right: pd.DataFrame, k: int, metric: str, exclude_self: bool, other_label: bool,
-    carry: Sequence[str],
+    left: pd.DataFrame, right: RightSide, k: int, metric: str, exclude_self: bool, labelled: bool
 ) -> pd.DataFrame:
-    """k nearest right rows of each left row; ``right`` is sorted by key."""
-    columns = ["left_key", "right_key", "distance", *carry]
-    if not len(left) or not len(right):
-        return pd.DataFrame({c: [] for c in columns})
-    x, y = np.stack(left["_x"].to_numpy()), np.stack(right["_y"].to_numpy())
-    out_rows, out_cols, out_dist = [], [], []
-    keys = right["right_key"].to_numpy()
-    for part in blocks(len(x), len(y)):
-        d = distances(x[part], y, metric)
+    """k nearest right rows of each left row, nearest first, lower key first on ties.
+
+    Left rows go along one dimension in small groups. The rows next to a group bound its
+    k-th distance, and no right row farther away than that in the one dimension can
+    matter, because a difference in one dimension never exceeds the distance.
+    """
+    columns = ["left_key", "right_key", "distance", "rank", *right.carry]
+    x = np.stack(left["_x"].to_numpy())
+    walk = np.argsort(x[:, right.axis], kind="stable")
+    x, left_keys = x[walk], left["left_key"].to_numpy()[walk]
+    labels = left["_l"].to_numpy()[walk] if labelled else None
+    own = right.own(left_keys) if exclude_self else None
+    total = len(right.line)
+
+    def measure(rows: slice, lo: int, hi: int) -> np.ndarray:
+        d = distances(x[rows], right.y[lo:hi], metric)
         if exclude_self:
-            mine = left["left_key"].to_numpy()[part]
-            spot = np.searchsorted(keys, mine)
-            inside = np.minimum(spot, len(keys) - 1)
-            hit = np.nonzero(keys[inside] == mine)[0]
-            d[hit, inside[hit]] = np.inf
-        if other_label:
-            d[left["_l"].to_numpy()[part][:, None] == right["_l"].to_numpy()[None, :]] = np.inf
-        keep = min(k, d.shape[1])
-        limit = np.partition(d, keep - 1, axis=1)[:, keep - 1]
-        r, c = np.nonzero((d <= limit[:, None]) & np.isfinite(d))
-        value = d[r, c]
-        order = np.lexsort((c, value, r))
-        r, c, value = r[order], c[order], value[order]
-        first = np.searchsorted(r, r)
-        chosen = np.arange(len(r)) - first < k
-        out_rows.append(r[chosen] + part.start)
-        out_cols.append(c[chosen])
-        out_dist.append(value[chosen])
-    r, c, value = np.concatenate(out_rows), np.concatenate(out_cols), np.concatenate(out_dist)
+            mine = own[rows]
+            inside = np.nonzero((mine >= lo) & (mine < hi))[0]
+            d[inside, mine[inside] - lo] = np.inf
+        if labelled:
+            d[labels[rows][:, None] == right.labels[None, lo:hi]] = np.inf
+        return d
+
+    out: list[tuple[np.ndarray, ...]] = []
+    for start in range(0, len(x), GROUP):
+        group = slice(start, min(start + GROUP, len(x)))
+        first, last = x[group.start, right.axis], x[group.stop - 1, right.axis]
+        reach = 2 * k + 8
+        lo = max(0, np.searchsorted(right.line, first) - reach)
+        hi = min(total, np.searchsorted(right.line, last) + reach)
+        if hi - lo < total and hi - lo >= k:
+            bound = 0.0
+            for part in blocks(group.stop - group.start, hi - lo):
+                rows = slice(group.start + part.start, min(group.start + part.stop, group.stop))
+                bound = max(bound, float(np.partition(measure(rows, lo, hi), k - 1, axis=1)[:, k - 1].max()))
+            slack = bound * (1 + 1e-9) + 1e-12
+            lo, hi = np.searchsorted(right.line, first - slack), np.searchsorted(right.line, last + slack, "right")
+        else:
+            lo, hi = 0, total
+        for part in blocks(group.stop - group.start, hi - lo):
+            rows = slice(group.start + part.start, min(group.start + part.stop, group.stop))
+            d = measure(rows, lo, hi)
+            keep = min(k, d.shape[1])
+            limit = np.partition(d, keep - 1, axis=1)[:, keep - 1]
+            r, c = np.nonzero((d <= limit[:, None]) & np.isfinite(d))
+            value, c = d[r, c], c + lo
+            order = np.lexsort((right.rank[c], value, r))
+            r, c, value = r[order], c[order], value[order]
+            place = np.arange(len(r)) - np.searchsorted(r, r)
+            chosen = place < k
+            out.append((r[chosen] + rows.start, c[chosen], value[chosen], place[chosen] + 1))
+    r, c, value, place = (np.concatenate([o[i] for o in out]) for i in range(4))
     if metric == "cosine":
         value = value * value / 2
-    found = {"left_key": left["left_key"].to_numpy()[r], "right_key": keys[c], "distance": value}
-    found.update({n: right[n].to_numpy()[c] for n in carry})
+    found = {"left_key": left_keys[r], "right_key": right.keys[c], "distance": value, "rank": place.astype("int32")}
+    found.update({n: v[c] for n, v in right.carry.items()})
     return pd.DataFrame(found)[columns]
 
 
@@ -136,25 +188,33 @@ def nearest(
     lrows = _packed(left, key, features, metric, ("left_key", "_x"), tag)
     rrows = _packed(right, key, features, metric, ("right_key", "_y"), tag + [ref(c) for c in carry])
     fields = {f.name: f.dataType.simpleString() for f in rrows.schema.fields}
-    schema = f"left_key {lrows.schema['left_key'].dataType.simpleString()}, right_key {fields['right_key']}, distance double" + "".join(
+    schema = f"left_key {lrows.schema['left_key'].dataType.simpleString()}, right_key {fields['right_key']}, distance double, rank int" + "".join(
         f", `{c}` {fields[c]}" for c in carry
     )
     count = rrows.count()
     labelled = label is not None
+    shown = ["left_key", "right_key", "distance", "rank", *[ref(c) for c in carry]]
+    if not count:
+        return left.sparkSession.createDataFrame([], schema)
     if count * len(features) <= small_values:
-        table = rrows.toPandas().sort_values("right_key", kind="stable").reset_index(drop=True)
-        shared = left.sparkSession.sparkContext.broadcast(table)
+        found = rrows.toArrow()
+        y = found["_y"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, len(features))
+        names = ["right_key", *(["_l"] if labelled else []), *carry]
+        flat = {n: found[n].to_numpy() for n in names}
+        shared = left.sparkSession.sparkContext.broadcast((y, flat))
 
         def scan(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            values, named = shared.value
+            side = RightSide(values, named["right_key"], named.get("_l"), {c: named[c] for c in carry})
             for part in parts:
-                yield top_rows(part, shared.value, k, metric, exclude_self, labelled, carry)
+                if len(part):
+                    yield top_rows(part, side, k, metric, exclude_self, labelled)
 
-        found = spread(lrows, lrows.count(), count * len(features), "left_key").mapInPandas(scan, schema)
-    else:
-        found = _tiled_nearest(lrows, rrows, len(features), k, metric, exclude_self, labelled, carry, schema, count, tile_rows)
+        # every left row meets all right rows in one place, so its ranks are final
+        return spread(lrows, lrows.count(), count * len(features), "left_key").mapInPandas(scan, schema).select(*shown)
+    found = _tiled_nearest(lrows, rrows, len(features), k, metric, exclude_self, labelled, carry, schema, count, tile_rows)
     order = Window.partitionBy("left_key").orderBy("distance", "right_key")
-    ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return ranked.select("left_key", "right_key", "distance", "rank", *[ref(c) for c in carry])
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(*shown)
 
 
 def _tiled_nearest(lrows, rrows, width, k, metric, exclude_self, labelled, carry, schema, count, tile_rows):
@@ -239,9 +299,12 @@ def _tiled_nearest(lrows, rrows, width, k, metric, exclude_self, labelled, carry
         .drop("_chunks", "_salts")
     )
 
+    columns = ["left_key", "right_key", "distance", "rank", *carry]
+
     def tile(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        b = b.sort_values("right_key", kind="stable").reset_index(drop=True)
-        return top_rows(a.reset_index(drop=True), b, k, metric, exclude_self, labelled, carry)
+        if not len(a) or not len(b):
+            return pd.DataFrame({c: [] for c in columns})
+        return top_rows(a, RightSide.of(b, carry, labelled), k, metric, exclude_self, labelled)
 
     spots = ["_cell", "_chunk", "_salt"]
     # a fixed number of partitions, because the work is far larger than the bytes

@@ -12,7 +12,8 @@ from ..functions.names import ref
 from ..functions.parsing import clean_number
 from ..sources.shared import settle
 
-SMALL_ROWS = 1_000_000
+SMALL_ROWS = 200_000
+COLUMNS_AT_ONCE = 16
 GRID = 1000
 
 
@@ -38,9 +39,11 @@ def exact_quantiles(
     large = [i for i in range(len(names)) if counts[i] > small_rows]
     if small:
         probs = F.array(*[F.lit(float(p)) for p in probabilities])
-        row = head.agg(*[F.percentile(f"v{i}", probs).alias(f"v{i}") for i in small]).first()
-        for slot, i in enumerate(small):
-            out[names[i]] = list(row[slot])
+        for start in range(0, len(small), COLUMNS_AT_ONCE):
+            some = small[start : start + COLUMNS_AT_ONCE]
+            row = head.agg(*[F.percentile(f"v{i}", probs).alias(f"v{i}") for i in some]).first()
+            for slot, i in enumerate(some):
+                out[names[i]] = list(row[slot])
     if large:
         wanted = {}
         for i in large:
