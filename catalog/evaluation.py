@@ -355,6 +355,19 @@ def v26(spark, sf):
     return km.projection_sample(embeddings(spark, sf), "vec_id", DIMENSIONS, "label")
 
 
+@query(
+    "v26_plane_sample",
+    f"{B} SELECT id, {rd('x')} AS x, {rd('y')} AS y, CAST(blob AS BIGINT) AS blob FROM p ORDER BY {duck_hash('CAST(id AS VARCHAR)')}, id LIMIT 1000",
+)
+def v26c(spark, sf):
+    return rounded(km.projection_sample(rows(spark, sf, F8), "id", ["x", "y"], "blob"))
+
+
+@query("v26_plane_centers", f"{B} SELECT CAST(blob AS BIGINT) AS cluster, {rd('avg(x)')} AS x, {rd('avg(y)')} AS y FROM p GROUP BY blob")
+def v26d(spark, sf):
+    return rounded(km.projected_centers(rows(spark, sf, F8), ["x", "y"], "blob"))
+
+
 @query("v26_projected_centers")
 def v26b(spark, sf):
     return km.projected_centers(embeddings(spark, sf), DIMENSIONS, "label")

@@ -399,6 +399,35 @@ def m29(spark, sf):
     return rounded(decomposition.fit_discriminant(frame, ["acctbal", "n_orders"], "label").transform(frame).select("id", "ld1"))
 
 
+@query("m29_discriminant_shrunk")
+def m29b(spark, sf):
+    frame = embeddings(spark, sf)
+    fitted = decomposition.fit_discriminant(frame, DIMENSIONS, "label", 2, shrinkage="auto")
+    return fitted.transform(frame).select("vec_id", "label", "ld1", "ld2")
+
+
+@query(
+    "v30_reconstruction_two_features",
+    f"{_COV} " + union([
+        f"SELECT '{n}' AS metric, {rd(e, 5)} AS value FROM q" for n, e in [
+            ("reconstruction_error", "l2 * (n - 1) / n / 2"), ("reconstruction_rmse", "sqrt(l2 * (n - 1) / n / 2)"), ("mean_error", "l2 * (n - 1) / n"),
+        ]
+    ]),
+)
+def v30c(spark, sf):
+    frame = rows(spark, sf, F5)
+    return rounded(dm.reconstruction_error(frame, decomposition.fit_pca(frame, ["x1", "x2"], 1)), 5)
+
+
+@query(
+    "v32_loadings_two_features",
+    f"{_COV}, v AS (SELECT b / sqrt(b * b + power(l1 - a, 2)) AS v1, (l1 - a) / sqrt(b * b + power(l1 - a, 2)) AS v2 FROM q)"
+    f" SELECT CAST(1 AS BIGINT) AS component, 'x1' AS feature, {rd('v1 * sign(v2)')} AS loading FROM v UNION ALL SELECT 1, 'x2', {rd('abs(v2)')} FROM v",
+)
+def v32b(spark, sf):
+    return rounded(dm.component_loadings(decomposition.fit_pca(rows(spark, sf, F5), ["x1", "x2"], 1), spark))
+
+
 @query("m30_perplexity_graph")
 def m30(spark, sf):
     return graphs.perplexity_graph(embeddings(spark, sf), "vec_id", DIMENSIONS, 10.0)

@@ -59,7 +59,7 @@ class Encoder:
         if self.method == "onehot":
             return self._swap(df, self._hot(text))
         probe = df.select(*[ref(c) for c in df.columns], text.alias("category"))
-        joined = lookup(probe, self.table, "category", "n")
+        joined = lookup(probe, self.table, "category", "n", size=self.size)
         return self._swap(joined, self._from_code(), df.columns)
 
     def _swap(self, df: DataFrame, new: list[Column], columns: Sequence[str] | None = None) -> DataFrame:
@@ -127,7 +127,7 @@ class Encoder:
         else:
             code = F.round(ref(used[0])).cast("bigint")
         back = self.table.select("code", "n", F.col("category").alias("_name"))
-        joined = lookup(df.select(*[ref(c) for c in rest], code.alias("code")), back, "code", "n")
+        joined = lookup(df.select(*[ref(c) for c in rest], code.alias("code")), back, "code", "n", size=self.size)
         return joined.select(*[ref(c) for c in rest], F.col("_name").alias(column or self.column))
 
     def mapping(self) -> DataFrame:

@@ -23,6 +23,7 @@ def lookup(
     key: str,
     weight: str,
     rows: int = BROADCAST_ROWS,
+    size: int | None = None,
 ) -> DataFrame:
     """Left join ``df`` to ``table`` (one row per ``key``) on ``key``.
 
@@ -30,10 +31,11 @@ def lookup(
     data it was fitted on. A table within ``rows`` is broadcast. Beyond that, keys
     with at least a thousandth of all rows (no more than a thousand keys) are
     broadcast, and only the rest is shuffled; rows that already matched, or have
-    no key, are spread over random partitions so that none becomes hot.
+    no key, are spread over random partitions so that none becomes hot. ``size`` is the
+    row count of ``table`` where it is known from fitting; else it is counted here.
     """
     values = [c for c in table.columns if c != key]
-    if fits_broadcast(table, rows):
+    if (fits_broadcast(table, rows) if size is None else size <= rows):
         return df.join(F.broadcast(table), key, "left")
     total = table.agg(F.sum(ref(weight))).first()[0]
     is_hot = ref(weight) * HOT_SHARE >= F.lit(total)

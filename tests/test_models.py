@@ -224,3 +224,19 @@ def test_registry_is_append_only(spark, tmp_path):
     book.append("models", [{"dataset_id": "d", "algorithm": "x"}])
     book.append("models", [{"dataset_id": "d", "algorithm": "y"}])
     assert sorted(r.algorithm for r in book.table("models").collect()) == ["x", "y"]
+
+
+def test_shrunk_within_covariance(df):
+    want = np.zeros((3, 3))
+    for k in range(3):
+        z = X[THREE == k]
+        scale = z.std(0)
+        z = (z - z.mean(0)) / scale
+        n, d = z.shape
+        cov = z.T @ z / n
+        mu = np.trace(cov) / d
+        delta = ((cov**2).sum() - 2 * mu * np.trace(cov) + d * mu**2) / d
+        beta = min(1 / (d * n) * (((z**2).T @ (z**2)).sum() / n - (cov**2).sum()), delta)
+        cov = (1 - beta / delta) * cov + beta / delta * mu * np.eye(d)
+        want += n * cov * np.outer(scale, scale)
+    assert np.allclose(decomposition.shrunk_within(df, FEATURES, "t"), want / N, atol=1e-9)
