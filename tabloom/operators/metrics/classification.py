@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ...functions.names import ref
+from ...sources.shared import settle
 from ..ordering import running_totals
 from .common import metric_rows
 
@@ -79,7 +80,10 @@ def confusion_matrix(df: DataFrame, y_true: str, y_pred: str) -> DataFrame:
 
 
 def score_counts(df: DataFrame, y_true: str, scores: dict[object, str]) -> DataFrame:
-    """(class, score, pos, neg): rows per distinct score, one series per class."""
+    """(class, score, pos, neg): rows per distinct score, one series per class.
+
+    Settled, because curves read it several times and the rows behind it are many.
+    """
     rows = F.array(
         *[
             F.struct(
@@ -89,10 +93,11 @@ def score_counts(df: DataFrame, y_true: str, scores: dict[object, str]) -> DataF
             for c, s in scores.items()
         ]
     )
-    return (
+    counts = (
         df.select(F.inline(rows)).groupBy("class", "score")
         .agg(F.sum("hit").alias("pos"), F.sum(1 - F.col("hit")).alias("neg"))
     )
+    return settle(counts, "scores")
 
 
 def auc_by_class(df: DataFrame, y_true: str, scores: dict[object, str]) -> DataFrame:
