@@ -290,12 +290,10 @@ def l2(spark, sf):
 
 @query(
     "l4_lineage_roots",
-    f"SELECT id, id - id % 5 AS root, CAST(id % 5 AS BIGINT) AS depth FROM ({F9}) t",
+    f"SELECT CAST(id AS BIGINT) AS id, CAST(id - id % 5 AS BIGINT) AS root, CAST(id % 5 AS BIGINT) AS depth FROM ({F9}) t",
 )
 def l4(spark, sf):
-    return rounded(lineage.lineage_roots(rows(spark, sf, F9))).select("id", F.col("root").cast("int").alias("root"), "depth").select(
-        F.col("id"), F.col("root").cast("bigint").alias("root"), "depth"
-    )
+    return rounded(lineage.lineage_roots(rows(spark, sf, F9)))
 
 
 @query(
