@@ -36,6 +36,8 @@ SHALLOWEST = 2
 CROWDED = 24
 #: Following rows of an order that a row is compared with.
 NEIGHBOURS = 4
+#: The same to both sides, for rows that leave a crowded region early.
+FAR_NEIGHBOURS = 32
 #: Rows of an order held in memory at once.
 SLICE = 400_000
 #: Agreeing positions of a true pair lie below this share of what its similarity promises about once in a million.
@@ -126,6 +128,16 @@ def slice_pairs(tree: np.ndarray, prefix: np.ndarray) -> tuple[np.ndarray, np.nd
         at = deepest[rows[order]] == d
         left.append(rows[order][at])
         right.append(centre[at])
+    # far from the centre of a crowded region: few rows may be close enough, so more of them are tried
+    far = np.flatnonzero(deepest == OWN)
+    for k in range(NEIGHBOURS + 1, FAR_NEIGHBOURS + 1):
+        for step in (k, -k):
+            other = far + step
+            inside = (other >= 0) & (other < n)
+            at, other = far[inside], other[inside]
+            same = regions[OWN, at] == regions[OWN, other]
+            left.append(at[same])
+            right.append(other[same])
     if not left:
         return np.empty(0, np.int64), np.empty(0, np.int64)
     a, b = np.concatenate(left), np.concatenate(right)
