@@ -51,6 +51,13 @@ def map_texts(
     return df.mapInArrow(run, out)
 
 
+def add_columns(
+    df: DataFrame, make: Callable[[], Callable[[list[str]], list]], schema: str, text: str = "text"
+) -> DataFrame:
+    """The table with columns that ``make()(texts)`` gives; names of ``schema`` must be new."""
+    return map_texts(df.withColumn("__whole", F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))), make, schema, "__whole")
+
+
 def labelled_sample(
     docs: DataFrame, labels: DataFrame, label: str, limit: int = LABELLED_ROWS, folds: int = 5, held_out: int = 0,
     key: str = "doc_id", text: str = "text",

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import neardup, sentencepieces, token_counts
+from . import decontaminate, neardup, quality, sentencepieces, token_counts, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -37,3 +37,18 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
 @query("op7_sentencepiece")
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     return sentencepieces.encoding_digests(table(spark, folder, "documents"))
+
+
+@query("op2_quality_classifier")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.score_quality(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query("op3_benchmark_decontamination")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.benchmark_matches(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query("op4_toxicity")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.score_toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
