@@ -7,13 +7,13 @@ of a few sampled positions, over several walks, are matched between the items an
 item-sized windows of a document; every match is confirmed by its exact edit distance.
 
 Windows are taken at every word where a match is possible at all: an item of m words
-within k edits of a passage shares at least m - 1 - 2k of its word pairs with it, so
-places with fewer pairs of any item cannot hold one. Nothing else is left out.
+within k edits of a passage shares all but 2k of its distinct word pairs with it, so
+places with fewer distinct pairs of any item cannot hold one. Nothing else is left out.
 """
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,29 +42,30 @@ def allowed(words: int) -> int:
     return int(EDITS * words)
 
 
-def embed(windows: np.ndarray, walk: int) -> np.ndarray:
-    """Random walk over each row of word hashes, twice as many steps as words; 0 beyond the end."""
+def embed(windows: np.ndarray) -> np.ndarray:
+    """(walk, row, step): random walks over each row of word hashes, twice as many steps as words; 0 beyond the end."""
     n, m = windows.shape
     padded = np.concatenate([windows, np.zeros((n, 1), U)], axis=1)
-    at, rows = np.zeros(n, np.int64), np.arange(n)
-    out = np.empty((n, 2 * m), U)
+    at, rows = np.zeros((WALKS, n), np.int64), np.arange(n)
+    # the bit that moves a walk on: the highest of the word's product with an odd number of its own for walk and step
+    odd = mix(np.arange(1, WALKS * 2 * m + 1, dtype=U)).reshape(2 * m, WALKS, 1) | U(1)
+    out = np.empty((2 * m, WALKS, n), U)
     for step in range(2 * m):
-        out[:, step] = here = padded[rows, at]
-        salt = U((walk * 1_000_003 + step * 7_919 + 1) * 0x9E3779B1)
-        at = np.minimum(at + (mix(here ^ salt) & U(1)).astype(np.int64), m)
-    return out
+        out[step] = here = padded[rows, at]
+        at += ((here * odd[step]) >> U(63)).view(np.int64)
+        np.minimum(at, m, out=at)
+    return out.transpose(1, 2, 0)
 
 
 def sampled_keys(windows: np.ndarray) -> np.ndarray:
     """(row, key number) -> hash of the sampled positions; equal-sized rows only."""
     n, m = windows.shape
     out = np.empty((n, WALKS * KEYS), U)
-    for walk in range(WALKS):
-        embedded = embed(windows, walk)
+    for walk, embedded in enumerate(embed(windows)):
         places = np.random.default_rng([m, walk]).integers(0, 2 * m, (KEYS, SAMPLED))
         key = np.zeros((n, KEYS), U)
         for j in range(SAMPLED):
-            key = mix(key * U(0x9E3779B97F4A7C15) + embedded[:, places[:, j]] + places[:, j].astype(U))
+            key = key * U(0x9E3779B97F4A7C15) + mix(embedded[:, places[:, j]])
         out[:, walk * KEYS : (walk + 1) * KEYS] = key
     return out
 
@@ -98,33 +99,26 @@ class Matcher:
         self.ids = [i for i, _ in items]
         self.words = [word_hashes(t or "") for _, t in items]
         self.of_pair: dict[int, list[int]] = defaultdict(list)
-        self.by_size: dict[int, list[int]] = defaultdict(list)
+        self.needed: dict[int, int] = {}  # distinct pairs of an item that any match of it has
         for n, words in enumerate(self.words):
             if len(words) >= LEAST_WORDS:
-                self.by_size[len(words)].append(n)
-                for pair in set(window_hashes(words, 2).tolist()):
+                pairs = set(window_hashes(words, 2).tolist())
+                self.needed[n] = max(1, len(pairs) - 2 * allowed(len(words)))
+                for pair in pairs:
                     self.of_pair[pair].append(n)
+        self.least = min(self.needed.values(), default=1)
+        self.span = max((len(w) + allowed(len(w)) for w in self.words), default=0)
         bits = max(16, (16 * max(1, len(self.of_pair))).bit_length())
         self.shift = U(64 - bits)
         self.known = np.zeros(1 << bits, bool)
         self.known[np.fromiter(self.of_pair, U, len(self.of_pair)) >> self.shift] = True
-        self.least = min((self._least(m) for m in self.by_size), default=1)
-        self.keys: dict[int, dict[tuple[int, int], list[int]]] = {}
-
-    @staticmethod
-    def _least(m: int) -> int:
-        return max(1, m - 1 - 2 * allowed(m))
-
-    def _keys(self, m: int) -> dict[tuple[int, int], list[int]]:
-        """(key number, key) -> items of m words."""
-        if m not in self.keys:
-            table: dict[tuple[int, int], list[int]] = defaultdict(list)
-            items = self.by_size[m]
-            for n, row in zip(items, sampled_keys(np.stack([self.words[n] for n in items]))):
-                for number, key in enumerate(row.tolist()):
-                    table[number, key].append(n)
-            self.keys[m] = table
-        return self.keys[m]
+        self.keys: dict[int, np.ndarray] = {}
+
+    def _keys(self, n: int) -> np.ndarray:
+        """Keys of an item."""
+        if n not in self.keys:
+            self.keys[n] = sampled_keys(self.words[n][None])[0]
+        return self.keys[n]
 
     def find(self, text: str) -> list[tuple[object, int, int, int]]:
         """(item id, edits, first word, words) of each item in the text, at its best place."""
@@ -133,37 +127,37 @@ class Matcher:
             return []
         pairs = window_hashes(words, 2)
         hits = np.flatnonzero(self.known[pairs >> self.shift])
-        if len(hits) < self.least:
+        if len(hits) < self.least or (hits[self.least - 1 :] - hits[: len(hits) - self.least + 1]).min() >= self.span:
             return []
         places: dict[int, list[int]] = defaultdict(list)
+        distinct: dict[int, set[int]] = defaultdict(set)
         for at, pair in zip(hits.tolist(), pairs[hits].tolist()):
             for n in self.of_pair.get(pair, ()):
                 places[n].append(at)
-        sizes: dict[int, set[int]] = defaultdict(set)
+                distinct[n].add(pair)
+        sizes: dict[int, tuple[set[int], set[int]]] = defaultdict(lambda: (set(), set()))
         for n, at in places.items():
             m = len(self.words[n])
-            k, least = allowed(m), self._least(m)
+            k, least = allowed(m), self.needed[n]
+            if len(distinct[n]) < least:
+                continue
             # the pairs of one passage lie within its own length
             for first, last in zip(at, at[least - 1 :]):
                 if last - first < m + k:
                     low, high = max(0, last - m - 2 * k), min(len(words) - 1, first + 2 * k + 1)
-                    sizes[m].update(range(low, high + 1))
+                    sizes[m][0].update(range(low, high + 1))
+                    sizes[m][1].add(n)
         found: dict[int, tuple[int, int, int]] = {}
-        for m, starts in sizes.items():
+        for m, (starts, items) in sizes.items():
             k = allowed(m)
             padded = np.concatenate([words, np.zeros(m, U)])
-            starts_ = sorted(starts)
-            table = self._keys(m)
+            starts_ = np.array(sorted(starts))
             for begin in range(0, len(starts_), 1024):
-                part = np.array(starts_[begin : begin + 1024])
+                part = starts_[begin : begin + 1024]
                 keys = sampled_keys(padded[part[:, None] + np.arange(m)])
-                near: dict[int, set[int]] = defaultdict(set)
-                for start, row in zip(part.tolist(), keys.tolist()):
-                    for number, key in enumerate(row):
-                        for n in table.get((number, key), ()):
-                            near[n].add(start)
-                for n, at in near.items():
-                    for low, high in joined(sorted(at), m):
+                for n in items:
+                    at = part[(keys == self._keys(n)).any(axis=1)]
+                    for low, high in joined(at.tolist(), m) if len(at) else ():
                         low, high = max(0, low - k), min(len(words), high + m + k)
                         edits, first, end = best_match(self.words[n], words[low:high])
                         if edits <= k and (n not in found or edits < found[n][0]):
