@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, neardup, quality, sentencepieces, token_counts, toxicity, vectors
+from . import decontaminate, idfiles, neardup, quality, sentencepieces, token_counts, toxicity, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -57,3 +57,8 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
 @query("op8_embedding_near_dedup")
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     return vectors.near_vectors(table(spark, folder, "embeddings"))
+
+
+@query("op9_token_id_files")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    return idfiles.read_ids(idfiles.write_ids(table(spark, folder, "documents")), digests=True)
