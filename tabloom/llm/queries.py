@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, idfiles, neardup, quality, sentencepieces, token_counts, toxicity, vectors
+from . import decontaminate, idfiles, lm, neardup, quality, sentencepieces, token_counts, toxicity, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -62,3 +62,8 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
 @query("op9_token_id_files")
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     return idfiles.read_ids(idfiles.write_ids(table(spark, folder, "documents")), digests=True)
+
+
+@query("op10_lm_scoring")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    return lm.score_documents(table(spark, folder, "documents"))
