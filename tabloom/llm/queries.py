@@ -6,15 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, idfiles, lm, neardup, quality, sentencepieces, token_counts, toxicity, vectors
+from . import decontaminate, idfiles, lm, neardup, quality, sentencepieces, token_counts, toolcalls, toxicity, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(name: str):
+def query(name: str, oracle: str | None = None):
     def register(build: Callable[[SparkSession, str], DataFrame]):
         QUERIES[name] = build
+        if oracle is not None:
+            ORACLES[name] = oracle
         return build
 
     return register
@@ -67,3 +69,20 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_lm_scoring")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     return lm.score_documents(table(spark, folder, "documents"))
+
+
+# The given conversations hold no calls; tests/llm checks linking, order and schemas on small ones that do.
+CONVERSATIONS = """
+SELECT conv_id, CAST(coalesce(turn, 0) // 1000 AS BIGINT) AS part, CAST(0 AS BIGINT) AS piece,
+       count(*) AS n_turns, CAST(0 AS BIGINT) AS n_calls, CAST(0 AS BIGINT) AS n_linked, CAST(0 AS BIGINT) AS n_faulty,
+       '[' || string_agg('{"content":' || CAST(to_json(coalesce(text, '')) AS VARCHAR)
+                         || ',"role":' || CAST(to_json(coalesce(role, 'user')) AS VARCHAR) || '}', ','
+                         ORDER BY turn NULLS FIRST, role, text) || ']' AS json
+FROM (SELECT DISTINCT conv_id, turn, role, text FROM conversations WHERE conv_id IS NOT NULL)
+GROUP BY conv_id, coalesce(turn, 0) // 1000
+"""
+
+
+@query("op5_chat_formatting", CONVERSATIONS)
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    return toolcalls.format_conversations(table(spark, folder, "conversations"))
