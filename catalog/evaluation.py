@@ -411,7 +411,7 @@ def v31(spark, sf):
     return rounded(dm.scatter(embeddings(spark, sf), "vec_id", DIMENSIONS[:2]))
 
 
-@query("v33_component_histograms", f"{E} " + union([_histogram(c, c) for c in DIMENSIONS[:5]]))
+@query("v33_component_histograms", f"{E} " + union([_histogram(c, c) for c in DIMENSIONS]))
 def v33(spark, sf):
     return rounded(dm.component_histograms(embeddings(spark, sf), DIMENSIONS))
 

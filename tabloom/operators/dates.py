@@ -17,8 +17,9 @@ MAX_TEXT = 100
 def date_columns(df: DataFrame, categorical: Sequence[str] = ()) -> list[str]:
     """Text columns of which more than 80 % of the values are dates.
 
-    Columns holding a text above 100 characters, or a value made only of digits and
-    dots, are left alone: those are long texts and plain numbers.
+    Columns of which that share no longer holds without the texts above 100 characters
+    and the values made only of digits and dots are left alone: those are long texts and
+    plain numbers. A stray one among dates becomes null like any text that is no date.
     """
     texts = [c for c in text_columns(df) if c not in categorical]
     if not texts:
@@ -27,18 +28,14 @@ def date_columns(df: DataFrame, categorical: Sequence[str] = ()) -> list[str]:
         *[
             F.struct(
                 F.count(ref(c)).alias("n"),
-                F.count(to_moment(ref(c))).alias("moments"),
-                F.coalesce(F.max(F.length(ref(c))) > MAX_TEXT, F.lit(True)).alias("long"),
-                F.coalesce(F.bool_or(ref(c).rlike(r"^[0-9.]+$")), F.lit(True)).alias("digits"),
+                F.count(
+                    F.when((F.length(ref(c)) <= MAX_TEXT) & ~ref(c).rlike(r"^[0-9.]+$"), to_moment(ref(c)))
+                ).alias("moments"),
             ).alias(c)
             for c in texts
         ]
     ).first()
-    return [
-        c
-        for c in texts
-        if row[c].n and not row[c].long and not row[c].digits and row[c].moments / row[c].n > MIN_SHARE
-    ]
+    return [c for c in texts if row[c].n and row[c].moments / row[c].n > MIN_SHARE]
 
 
 def to_epoch(df: DataFrame, columns: Sequence[str]) -> DataFrame:

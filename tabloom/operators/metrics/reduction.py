@@ -14,7 +14,6 @@ from ..models.matrices import covariance
 from ..selection import correlation_pairs
 from .common import chart_sample, histogram, metric_rows
 
-SPECTRUM_FEATURES = 100
 
 
 def reduction_summary(df: DataFrame, features: Sequence[str], components: Sequence[str]) -> DataFrame:
@@ -49,24 +48,22 @@ def scatter(df: DataFrame, key: str, components: Sequence[str], points: int = 10
     return chart_sample(df, key, points).select(ref(key), *[a.cast("double").alias(n) for a, n in zip(axes, "xyz")])
 
 
-def component_histograms(df: DataFrame, components: Sequence[str], bins: int = 30) -> DataFrame:
-    return histogram(df, {c: ref(c) for c in components[:5]}, bins)
+def component_histograms(
+    df: DataFrame, components: Sequence[str], bins: int = 30, limit: int | None = None
+) -> DataFrame:
+    return histogram(df, {c: ref(c) for c in components[:limit]}, bins)
 
 
 def component_correlation(df: DataFrame, components: Sequence[str]) -> DataFrame:
-    """Full correlation matrix in long form, for up to ten components."""
-    if len(components) > 10:
-        return rows_table(df.sparkSession, [], "component string, other string, correlation double")
+    """Full correlation matrix in long form."""
     found = correlation_pairs(df, components)
     rows = [(c, c, 1.0) for c in components]
     rows += [(a, b, v) for (a, b), v in found.items()] + [(b, a, v) for (a, b), v in found.items()]
     return rows_table(df.sparkSession, rows, "component string, other string, correlation double")
 
 
-def eigenvalue_spectrum(df: DataFrame, features: Sequence[str], top: int = 20) -> DataFrame:
+def eigenvalue_spectrum(df: DataFrame, features: Sequence[str], top: int | None = None) -> DataFrame:
     """(position, eigenvalue) of the covariance matrix, largest first."""
-    if len(features) > SPECTRUM_FEATURES:
-        return rows_table(df.sparkSession, [], "position int, eigenvalue double")
     values = np.linalg.eigvalsh(covariance(df, features).matrix)[::-1]
     rows = [(i + 1, float(v)) for i, v in enumerate(values[:top])]
     return rows_table(df.sparkSession, rows, "position int, eigenvalue double")
@@ -87,10 +84,10 @@ def variance_explained(pca, spark) -> DataFrame:
     return rows_table(spark, rows, "component int, variance_ratio double, cumulative_variance double, singular_value double")
 
 
-def component_loadings(pca, spark, components: int = 3, features: int = 20) -> DataFrame:
+def component_loadings(pca, spark, components: int | None = None, features: int | None = None) -> DataFrame:
     rows = [
         (k + 1, name, float(pca.vectors[j, k]))
-        for k in range(min(components, pca.vectors.shape[1]))
+        for k in range(pca.vectors.shape[1])[:components]
         for j, name in enumerate(pca.features[:features])
     ]
     return rows_table(spark, rows, "component int, feature string, loading double")

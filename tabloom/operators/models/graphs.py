@@ -106,7 +106,7 @@ def perplexity_graph(
     directed = _directed(lists, lambda d: entropy_weights(d, perplexity), kind)
     if not symmetric:
         return directed.withColumnRenamed("w", "p")
-    n = df.count()
+    n = lists.count()  # rows with all features; the others are no nodes
     both = directed.unionByName(directed.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w"))
     return both.groupBy("src", "dst").agg((F.sum("w") / (2.0 * n)).alias("p"))
 

@@ -46,8 +46,7 @@ def fit_linear(
 ) -> LinearModel:
     """Least squares; ``positive`` solves the non-negative problem on the Gram matrix."""
     if not positive:
-        solver = "normal" if len(features) <= 4096 else "l-bfgs"
-        return _fit(df, features, label, fit_intercept, solver=solver, regParam=0.0)
+        return _fit(df, features, label, fit_intercept, solver=_solver(features), regParam=0.0)
     require_numeric(df, features)
     moments = covariance(df.dropna(subset=[*features, label]), [*features, label])
     d = len(features)
@@ -59,6 +58,11 @@ def fit_linear(
     return LinearModel(list(features), coefficients=weights.tolist(), intercept=intercept)
 
 
+def _solver(features: Sequence[str]) -> str:
+    """The normal equations hold d x d numbers on the driver, and Spark takes them up to 4,096 features."""
+    return "normal" if len(features) <= 4096 else "l-bfgs"
+
+
 def non_negative(gram: np.ndarray, target: np.ndarray) -> np.ndarray:
     """Minimise w'Gw/2 - t'w over w >= 0 by active sets."""
     d = len(target)
@@ -88,7 +92,7 @@ def non_negative(gram: np.ndarray, target: np.ndarray) -> np.ndarray:
 
 def fit_ridge(df: DataFrame, features: Sequence[str], label: str, alpha: float = 1.0, fit_intercept: bool = True) -> LinearModel:
     n, spread = _target_facts(df, features, label)
-    return _fit(df, features, label, fit_intercept, solver="normal", regParam=alpha * (spread or 1.0) / n)
+    return _fit(df, features, label, fit_intercept, solver=_solver(features), regParam=alpha * (spread or 1.0) / n)
 
 
 def fit_lasso(

@@ -1,9 +1,9 @@
 """Gradient training of small networks on packed shards.
 
 Rows are dealt into shards by key hash and each shard is packed into one record, once.
-In every round each shard runs one epoch of mini-batch steps from the shared state; the
-states are averaged by row count (iterative parameter mixing). Data that fits one shard
-trains all epochs in a single task, which is plain mini-batch training.
+In every round each shard runs a few epochs of mini-batch steps from the shared state; the
+states are averaged by row count (iterative parameter mixing). It is the same at any
+size: small data has ``SHARDS`` shards, larger data one for every ``SHARD_VALUES`` values.
 """
 
 from __future__ import annotations
@@ -22,7 +22,10 @@ from ...functions.names import ref
 from ...sources.shared import release, settle
 from .base import Fitted, class_code, class_list, require_numeric, with_probabilities
 
+SHARDS = 8
 SHARD_VALUES = 4_000_000
+#: Epochs of a shard between two averages.
+LOCAL_EPOCHS = 5
 ACTIVATIONS = ("relu", "tanh", "logistic", "identity")
 
 
@@ -175,7 +178,7 @@ def pack(df: DataFrame, key: str, x: Column, y: Sequence[Column], width: int, sh
     rows = df.select(ref(key).alias("_key"), x.alias("_x"), F.array(*[c.cast("double") for c in y]).alias("_y"))
     rows = rows.where(~F.exists("_x", lambda v: v.isNull() | F.isnan(v)) & ~F.exists("_y", lambda v: v.isNull() | F.isnan(v)))
     count = rows.count()
-    shards = max(1, math.ceil(count * width / shard_values))
+    shards = max(SHARDS, math.ceil(count * width / shard_values))
 
     def join(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("_key")
@@ -197,43 +200,43 @@ def train(packed: DataFrame, shards: int, net: Network, s: Settings) -> tuple[np
         return np.frombuffer(row.xs).reshape(row.n, width), np.frombuffer(row.ys).reshape(row.n, targets)
 
     spark = packed.sparkSession
-    if shards == 1:
-
-        def whole(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for part in parts:
-                for row in part.itertuples():
-                    x, y = unpack(row)
-                    now, watch, curve = state, Watch(s.tol, s.patience), []
-                    for number in range(s.max_iter):
-                        now, loss = epoch(net, s, now, x, y, number, 0)
-                        curve.append(loss)
-                        if watch.done(loss):
-                            break
-                    yield pd.DataFrame({"w": [now[:p]], "curve": [np.array(curve)]})
-
-        row = packed.mapInPandas(whole, "w array<double>, curve array<double>").first()
-        return (np.array(row.w), list(row.curve)) if row else (state[:p], [])
     watch, curve = Watch(s.tol, s.patience), []
-    for number in range(s.max_iter):
+
+    def add(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = None
+        for part in parts:
+            for v in part["v"]:
+                total = np.array(v) if total is None else total + v
+        if total is not None:
+            yield pd.DataFrame({"v": [total]})
+
+    for first in range(0, s.max_iter, LOCAL_EPOCHS):
         shared = spark.sparkContext.broadcast(state)
+        epochs = range(first, min(first + LOCAL_EPOCHS, s.max_iter))
 
         def step(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            total = np.zeros(len(shared.value) + 2)
+            total = np.zeros(len(shared.value) + len(epochs) + 1)
             for part in parts:
                 for row in part.itertuples():
                     x, y = unpack(row)
-                    new, loss = epoch(net, s, shared.value, x, y, number, row.shard)
-                    total += np.concatenate([new, [loss, 1.0]]) * row.n
-            yield pd.DataFrame({"spot": np.arange(len(total)), "v": total})
-
-        sums = packed.mapInPandas(step, "spot int, v double").groupBy("spot").agg(F.sum("v").alias("v")).toPandas()
-        flat = np.zeros(len(state) + 2)
-        flat[sums["spot"]] = sums["v"]
-        flat /= flat[-1]
-        state = flat[:-2]
-        curve.append(float(flat[-2]))
+                    now, losses = shared.value, []
+                    for number in epochs:
+                        now, loss = epoch(net, s, now, x, y, number, row.shard)
+                        losses.append(loss)
+                    total += np.concatenate([now, losses, [1.0]]) * row.n
+            yield pd.DataFrame({"v": [total]})
+
+        # one array per task, added up in two steps: the driver sees a bounded number of them
+        sums = packed.mapInPandas(step, "v array<double>").repartition(16).mapInPandas(add, "v array<double>").collect()
         shared.unpersist()
-        if watch.done(curve[-1]):
+        flat = np.sum([r.v for r in sums], axis=0) if sums else np.zeros(1)
+        if not flat[-1]:
+            break
+        flat = flat / flat[-1]
+        state = flat[: len(state)]
+        losses = flat[len(state) : -1].tolist()
+        curve += losses
+        if any([watch.done(v) for v in losses]):
             break
     return state[:p], curve
 
@@ -277,6 +280,8 @@ def _settings(solver, learning_rate_init, learning_rate, alpha, max_iter, random
     if solver not in ("adam", "sgd"):
         notes["solver"] = f"ignored: {solver}"
         solver = "adam"
+    if learning_rate not in ("constant", "invscaling"):
+        notes["learning_rate"] = f"constant instead of {learning_rate}"
     return Settings(solver, learning_rate_init, learning_rate, alpha=alpha, max_iter=max_iter, seed=random_state, tol=tol), notes
 
 

@@ -142,7 +142,7 @@ def lightgbm_preset(
     depth = math.ceil(math.log2(max(num_leaves, 2)))
     return {
         "n_estimators": n_estimators, "learning_rate": learning_rate,
-        "max_depth": depth if max_depth < 0 else min(depth, max_depth), "min_samples_leaf": min_child_samples,
+        "max_depth": depth if max_depth <= 0 else min(depth, max_depth), "min_samples_leaf": min_child_samples,
         "subsample": subsample, "max_features": colsample_bytree, **{"reg_alpha": 0.0, "reg_lambda": 0.0, **rest},
     }
 

@@ -28,6 +28,18 @@ BLOCK = 1_000_000
 GROUP = 256
 
 
+METRICS = ("euclidean", "cosine", "correlation", "manhattan", "chebyshev")
+#: Computed as half the squared distance of unit vectors; correlation takes their own mean off the features first.
+UNIT = ("cosine", "correlation")
+
+
+def check_metric(metric: str) -> None:
+    """The pruning bounds hold for these distances only."""
+    power = metric.removeprefix("minkowski:")
+    if metric not in METRICS and (power == metric or float(power) < 1):
+        raise ValueError(f"unknown metric {metric!r}; use minkowski:<power from 1> or {', '.join(METRICS)}")
+
+
 def distances(x: np.ndarray, y: np.ndarray, metric: str) -> np.ndarray:
     """Distance of every row of x to every row of y, summed dimension by dimension."""
     total = np.zeros((len(x), len(y)))
@@ -43,7 +55,7 @@ def distances(x: np.ndarray, y: np.ndarray, metric: str) -> np.ndarray:
             total += gap * gap
     if metric.startswith("minkowski"):
         return total ** (1 / float(metric.split(":")[1]))
-    return np.sqrt(total) if metric in ("euclidean", "cosine") else total
+    return np.sqrt(total) if metric in ("euclidean", *UNIT) else total
 
 
 def matrix(column: pd.Series, width: int) -> np.ndarray:
@@ -141,7 +153,7 @@ def top_rows(
             chosen = place < k
             out.append((r[chosen] + rows.start, c[chosen], value[chosen], place[chosen] + 1))
     r, c, value, place = (np.concatenate([o[i] for o in out]) for i in range(4))
-    if metric == "cosine":
+    if metric in UNIT:
         value = value * value / 2
     found = {"left_key": left_keys[r], "right_key": right.keys[c], "distance": value, "rank": place.astype("int32")}
     found.update({n: v[c] for n, v in right.carry.items()})
@@ -151,8 +163,11 @@ def top_rows(
 def _packed(df: DataFrame, key: str, features: Sequence[str], metric: str, names: tuple[str, str], extra=()) -> DataFrame:
     complete = df.dropna(subset=list(features))
     x = F.array(*[ref(c).cast("double") for c in features])
-    if metric == "cosine":
-        size = F.sqrt(sum((ref(c).cast("double") * ref(c).cast("double") for c in features), F.lit(0.0)))
+    if metric == "correlation":
+        mean = F.aggregate(x, F.lit(0.0), lambda a, v: a + v) / len(features)
+        x = F.transform(x, lambda v: v - mean)
+    if metric in UNIT:
+        size = F.sqrt(F.aggregate(x, F.lit(0.0), lambda a, v: a + v * v))
         x = F.transform(x, lambda v: v / F.when(size > 0, size).otherwise(1.0))
     return complete.select(ref(key).alias(names[0]), x.alias(names[1]), *extra)
 
@@ -183,6 +198,7 @@ def nearest(
     """
     if label is not None and k != 1:
         raise ValueError("a label restriction needs k = 1")
+    check_metric(metric)
     features = list(features)
     tag = [ref(label).alias("_l")] if label else []
     lrows = _packed(left, key, features, metric, ("left_key", "_x"), tag)
@@ -226,7 +242,7 @@ def _tiled_nearest(lrows, rrows, width, k, metric, exclude_self, labelled, carry
     wanted = int(min(MAX_PIVOTS, max(4, math.sqrt(count) / 4)))
     sample = rrows.orderBy(seeded_hash(F.col("right_key"), "pivot")).select("_y").take(wanted)
     pivots = np.unique(np.array([r[0] for r in sample], dtype=float), axis=0)
-    base = "euclidean" if metric == "cosine" else metric
+    base = "euclidean" if metric in UNIT else metric
 
     right_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rrows.schema.fields)
 

@@ -121,8 +121,7 @@ def handle_outliers(
         if action != "remove":
             raise ValueError("isolation forest flags whole rows: only action='remove' applies")
         forest = fit_isolation_forest(df, key, numeric_columns(df, columns), contamination=threshold)
-        flags = forest.score(df, key).select(key, "is_outlier")
-        return df.join(flags, key).where(~F.col("is_outlier")).drop("is_outlier")
+        return df.where(forest.anomaly(df) <= F.lit(forest.cut)) if forest.trees else df
     bounds = fit_bounds(df, method, threshold, columns)
     if action == "clip":
         return clip(df, bounds)
@@ -197,25 +196,24 @@ class IsolationForest:
     sample_size: int
     cut: float = 0.5
 
-    def _scores(self, df: DataFrame, key: str) -> DataFrame:
-        filled = df.select(
-            ref(key),
-            F.array(*[F.coalesce(clean_number(ref(c)), F.lit(self.means[c])) for c in self.columns]).alias("_x"),
-        )
+    def anomaly(self, df: DataFrame) -> Column:
+        """The score of each row as a column, so that nothing has to be joined back."""
         # the forest is bounded: trees x at most twice the sample size nodes
         shared = df.sparkSession.sparkContext.broadcast(self.trees)
         norm = path_constant(self.sample_size) or 1.0
-        kind = df.schema[key].dataType.simpleString()
 
-        def scan(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for part in parts:
-                if not len(part):
-                    continue
-                x = np.stack(part["_x"].to_numpy()).astype(float)
-                depth = np.mean([tree_depths(x, t) for t in shared.value], axis=0)
-                yield pd.DataFrame({key: part[key], "anomaly_score": 2.0 ** (-depth / norm)})
+        @F.pandas_udf("double")
+        def run(values: pd.Series) -> pd.Series:
+            if not len(values):
+                return pd.Series([], dtype=float)
+            x = np.stack(values.to_numpy()).astype(float)
+            depth = np.mean([tree_depths(x, t) for t in shared.value], axis=0)
+            return pd.Series(2.0 ** (-depth / norm))
+
+        return run(F.array(*[F.coalesce(clean_number(ref(c)), F.lit(self.means[c])) for c in self.columns]))
 
-        return filled.mapInPandas(scan, f"`{key}` {kind}, anomaly_score double")
+    def _scores(self, df: DataFrame, key: str) -> DataFrame:
+        return df.select(ref(key), self.anomaly(df).alias("anomaly_score"))
 
     def score(self, df: DataFrame, key: str) -> DataFrame:
         return self._scores(df, key).withColumn("is_outlier", F.col("anomaly_score") > F.lit(self.cut))

@@ -10,6 +10,7 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
+from pyspark.errors.exceptions.captured import CapturedException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -64,7 +65,7 @@ GRIDS: dict[str, dict[str, list]] = {
         "iterations": [100, 200, 500], "learning_rate": [0.01, 0.1, 0.2], "depth": [4, 6, 8, 10], "l2_leaf_reg": [1, 3, 5, 7],
     },
     "svm_classifier": {
-        "C": [0.1, 1.0, 10.0, 100.0], "kernel": ["linear", "rbf", "poly", "sigmoid"], "gamma": ["scale", "auto"],
+        "C": [0.1, 1.0, 10.0, 100.0], "kernel": ["linear", "rbf", "poly"], "gamma": ["scale", "auto"],
         "degree": [3, 4, 5],
     },
     "naive_bayes": {"var_smoothing": [1e-9, 1e-8, 1e-7, 1e-6]},
@@ -124,7 +125,7 @@ DISTRIBUTIONS: dict[str, dict[str, object]] = {
         "iterations": Whole(50, 500), "learning_rate": Real(0.01, 0.31), "depth": Whole(4, 12), "l2_leaf_reg": Real(1, 11),
     },
     "svm_classifier": {
-        "C": Real(0.1, 100.1), "kernel": ["linear", "rbf", "poly", "sigmoid"], "gamma": ["scale", "auto"],
+        "C": Real(0.1, 100.1), "kernel": ["linear", "rbf", "poly"], "gamma": ["scale", "auto"],
     },
     "naive_bayes": {"var_smoothing": Real(1e-10, 1.00001e-5)},
     "knn_classifier": {"n_neighbors": Whole(2, 20), "leaf_size": Whole(10, 50), "weights": ["uniform", "distance"]},
@@ -214,7 +215,12 @@ def _search(
     try:
 
         def run(params: dict) -> tuple[dict, list[float]]:
-            return params, cross_scores(folds, algorithm, features, label, key, params, cv, scoring)
+            """A trial that cannot be fitted has no score and ranks last; the search goes on."""
+            try:
+                scores = cross_scores(folds, algorithm, features, label, key, params, cv, scoring)
+            except (ValueError, TypeError, ArithmeticError, CapturedException):
+                return params, []
+            return params, [float(v) for v in scores if v is not None and not math.isnan(v)]
 
         if parallelism > 1:
             # independent trials share the cluster as concurrent Spark jobs
@@ -226,11 +232,13 @@ def _search(
                 done.append(run(params))
     finally:
         folds.unpersist()
-    means = [float(np.mean(s)) for _, s in done]
-    order = sorted(range(len(done)), key=lambda i: (-means[i], i))
+    means = [float(np.mean(s)) if s else None for _, s in done]
+    if not any(s for _, s in done):
+        raise ValueError("no trial could be scored")
+    order = sorted(range(len(done)), key=lambda i: (means[i] is None, -(means[i] or 0.0), i))
     rank = {i: r + 1 for r, i in enumerate(order)}
     rows = [
-        (i, json.dumps(p, sort_keys=True), means[i], float(np.std(s)), rank[i], [float(v) for v in s])
+        (i, json.dumps(p, sort_keys=True), means[i], float(np.std(s)) if s else None, rank[i], s)
         for i, (p, s) in enumerate(done)
     ]
     trials = rows_table(
