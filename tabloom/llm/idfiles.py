@@ -127,7 +127,11 @@ class ShardIndex:
 
     def to_bytes(self) -> bytes:
         out = io.BytesIO()
-        keys = pa.ipc.serialize_pandas(pd.DataFrame({"key": pd.Series(self.keys, dtype=object)})).to_pybytes()
+        batch = pa.RecordBatch.from_arrays([pa.array(self.keys)], names=["key"])
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, batch.schema) as stream:
+            stream.write_batch(batch)
+        keys = sink.getvalue().to_pybytes()
         np.savez(
             out, keys=np.frombuffer(keys, np.uint8), seed=self.seed, fingerprints=self.fingerprints,
             starts=self.starts, sizes=self.sizes, **{f"level{i}": v for i, v in enumerate(self.hash.levels)},
@@ -137,8 +141,7 @@ class ShardIndex:
     @classmethod
     def from_bytes(cls, data: bytes) -> ShardIndex:
         held = np.load(io.BytesIO(data))
-        keys = pa.ipc.deserialize_pandas(pa.py_buffer(held["keys"].tobytes()))["key"]
-        keys = [None if pd.isna(k) else k for k in keys.tolist()]
+        keys = pa.ipc.open_stream(pa.py_buffer(held["keys"].tobytes())).read_all().column("key").to_pylist()
         levels = [held[f"level{i}"] for i in range(sum(n.startswith("level") for n in held.files))]
         return cls(keys, int(held["seed"]), PerfectHash(levels), held["fingerprints"], held["starts"], held["sizes"])
 
@@ -169,6 +172,7 @@ class IdStore:
     manifest: DataFrame
     kind: str
     key: str
+    shards: int
 
 
 def write_ids(
@@ -231,7 +235,7 @@ def write_ids(
     starts = np.cumsum([0] + [n for _, n in shards]).tolist()
     begin = spark.createDataFrame([(s, at) for (s, _), at in zip(shards, starts)], "shard int, start long")
     kind = ids_table(tokenizer)[1]
-    return IdStore(folder, written.join(F.broadcast(begin), "shard"), kind, key)
+    return IdStore(folder, written.join(F.broadcast(begin), "shard"), kind, key, len(shards))
 
 
 def _shard_reader(store: IdStore):
@@ -278,7 +282,8 @@ def read_ids(store: IdStore, digests: bool = False) -> DataFrame:
 
     kind = store.manifest.schema["first_key"].dataType.simpleString()
     last = "ids_crc32 long" if digests else "ids array<long>"
-    shards = store.manifest.select("name", "start", "first_key").repartition("name")
+    # a stated number, else the few bytes of the manifest would bring all shards together in one task
+    shards = store.manifest.select("name", "start", "first_key").repartition(max(1, store.shards), "name")
     return shards.mapInArrow(run, f"`{key}` {kind}, start long, n_tokens long, {last}")
 
 
