@@ -157,7 +157,7 @@ def e10(spark, sf):
 
 @query(
     "t1_train_test_split",
-    f"SELECT o_orderkey, CASE WHEN {duck_hash('CAST(o_orderkey AS VARCHAR)')} % 10000 < 8000 THEN 'train' ELSE 'test' END AS part FROM orders",
+    f"SELECT o_orderkey, CASE WHEN {duck_hash('CAST(o_orderkey AS VARCHAR)')} < 3435973836.8 THEN 'train' ELSE 'test' END AS part FROM orders",
 )
 def t1(spark, sf):
     return split.with_part(table(spark, sf, "orders").select("o_orderkey"), "o_orderkey")
@@ -174,7 +174,9 @@ def t2(spark, sf):
 
 @query(
     "h5_fold_assignment",
-    "SELECT c_custkey, CAST(" + duck_hash("c_mktsegment || '|' || CAST(c_custkey AS VARCHAR)") + " % 5 AS BIGINT) AS fold FROM customer",
+    "SELECT c_custkey, CAST((row_number() OVER (PARTITION BY c_mktsegment ORDER BY "
+    + duck_hash("c_mktsegment || '|' || CAST(c_custkey AS VARCHAR)")
+    + ", c_custkey) - 1) % 5 AS BIGINT) AS fold FROM customer",
 )
 def h5(spark, sf):
     frame = table(spark, sf, "customer")

@@ -143,7 +143,7 @@ def m9b(spark, sf):
 
 _HASH = duck_hash("CAST(id AS VARCHAR)")
 _NEAR = f"""WITH p AS ({F4}),
-    tr AS (SELECT * FROM p WHERE {_HASH} % 10000 < 8000), te AS (SELECT * FROM p WHERE {_HASH} % 10000 >= 8000),
+    tr AS (SELECT * FROM p WHERE {_HASH} < 3435973836.8), te AS (SELECT * FROM p WHERE {_HASH} >= 3435973836.8),
     d AS (SELECT te.id, tr.id AS other, tr.label3, sqrt(power(te.acctbal - tr.acctbal, 2) + power(te.nation - tr.nation, 2) + power(te.n_orders - tr.n_orders, 2)) AS d
           FROM te, tr),
     k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, other) AS n FROM d)"""

@@ -36,7 +36,7 @@ def flagship(spark, sf):
     return done.metrics
 
 
-_SPLIT = f"CASE WHEN {duck_hash('CAST(id AS VARCHAR)')} % 10000 < 8000 THEN 1 ELSE 0 END"
+_SPLIT = f"CASE WHEN {duck_hash('CAST(id AS VARCHAR)')} < 3435973836.8 THEN 1 ELSE 0 END"
 
 
 @query(
