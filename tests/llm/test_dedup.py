@@ -127,8 +127,7 @@ def test_vector_query_and_edges(spark):
 
 @pytest.mark.parametrize("width", [1, 2, 5])
 def test_shingles(width):
-    words = "A b\tc\x0bd É  é".split(" ")
-    assert len(shingle_set("A b\tc\x0bd É  é", 1)) == 6 and len(words) == 4
+    assert len(shingle_set("A b\tc\x0bd É  é", 1)) == 6
     assert len(shingle_set("x y", width)) == (2 if width == 1 else 1)
     assert len(shingle_set(" \n", width)) == 0
     assert shingle_set("AB cd", width).tolist() == shingle_set("ab CD", width).tolist()
