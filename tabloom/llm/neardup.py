@@ -4,9 +4,10 @@ Texts with equal shingle sets are one node from the start, however many there ar
 tree of the forest sorts the nodes by its own order of the signature; neighbours in an
 order share the longest prefixes. A pair is a candidate from the depth on at which its
 region of the order has become small, so sparse regions are searched at shallow depth
-and crowded ones only deeper. Regions that stay crowded (large groups of near copies)
-also compare each row with the region's centre, the row on the path of the largest
-subregions. Orders are range-partitioned by the whole prefix and the node, so a group
+and crowded ones only deeper. In regions that stay crowded (large groups of near copies)
+each row is compared with the next one and with the region's centre, the row on the path
+of the largest subregions; rows that leave such a region early are compared with more
+rows around them, but only where the first comparisons have not joined the two yet. Orders are range-partitioned by the whole prefix and the node, so a group
 of any size spreads over partitions; rows at partition edges are matched in a second,
 small step. Candidates are confirmed on full sets.
 """
@@ -95,8 +96,8 @@ def common_depth(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return np.cumprod(left == right, axis=1).sum(axis=1)
 
 
-def slice_pairs(tree: np.ndarray, prefix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Row numbers of the candidate pairs in one sorted run of rows (see the module's text)."""
+def slice_pairs(tree: np.ndarray, prefix: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row numbers of the candidate pairs in one sorted run of rows, and which are left for later (see the module's text)."""
     n = len(tree)
     lcp = common_depth(prefix[1:], prefix[:-1])
     lcp[tree[1:] != tree[:-1]] = 0
@@ -107,16 +108,17 @@ def slice_pairs(tree: np.ndarray, prefix: np.ndarray) -> tuple[np.ndarray, np.nd
         sizes[d] = np.bincount(regions[d])[regions[d]]
     small = sizes[SHALLOWEST : DEPTH + 1] <= CROWDED
     enough = np.where(small.any(axis=0), SHALLOWEST + small.argmax(axis=0), DEPTH)
-    left, right = [], []
+    crowded = sizes[: DEPTH + 1] > CROWDED
+    deepest = np.where(crowded.any(axis=0), DEPTH - crowded[::-1].argmax(axis=0), 0)  # the deepest crowded region
+    left, right, later = [], [], []
     shared = lcp
     for k in range(1, min(NEIGHBOURS, n - 1) + 1):
         shared = lcp[: n - k] if k == 1 else np.minimum(shared[: n - k], lcp[k - 1 :])
         at = np.flatnonzero(shared >= np.minimum(enough[: n - k], enough[k:]))
         left.append(at)
         right.append(at + k)
-    # the deepest crowded region of each row, if it is more than a shallow coincidence
-    crowded = sizes[: DEPTH + 1] > CROWDED
-    deepest = np.where(crowded.any(axis=0), DEPTH - crowded[::-1].argmax(axis=0), 0)
+        later.append((deepest[at] >= OWN) & (k > 1))
+    # centres of crowded regions, if they are more than a shallow coincidence
     for d in range(OWN, DEPTH + 1):
         rows = np.flatnonzero(deepest >= d)
         if not len(rows):
@@ -128,6 +130,7 @@ def slice_pairs(tree: np.ndarray, prefix: np.ndarray) -> tuple[np.ndarray, np.nd
         at = deepest[rows[order]] == d
         left.append(rows[order][at])
         right.append(centre[at])
+        later.append(np.zeros(at.sum(), bool))
     # far from the centre of a crowded region: few rows may be close enough, so more of them are tried
     far = np.flatnonzero(deepest == OWN)
     for k in range(NEIGHBOURS + 1, FAR_NEIGHBOURS + 1):
@@ -138,10 +141,11 @@ def slice_pairs(tree: np.ndarray, prefix: np.ndarray) -> tuple[np.ndarray, np.nd
             same = regions[OWN, at] == regions[OWN, other]
             left.append(at[same])
             right.append(other[same])
+            later.append(np.ones(same.sum(), bool))
     if not left:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    a, b = np.concatenate(left), np.concatenate(right)
-    return a[a != b], b[a != b]
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, bool)
+    a, b, after = np.concatenate(left), np.concatenate(right), np.concatenate(later)
+    return a[a != b], b[a != b], after[a != b]
 
 
 def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,7 +158,7 @@ def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw = rows.column("prefix").to_pylist()
         prefix = np.frombuffer(b"".join(raw), ">u2").reshape(n, DEPTH)
         node = rows.column("node")
-        a, b = slice_pairs(tree, prefix)
+        a, b, later = slice_pairs(tree, prefix)
         edge = np.unique(np.r_[np.arange(min(n, NEIGHBOURS)), np.arange(max(0, n - NEIGHBOURS), n)])
         nodes = node.take(pa.array(np.r_[a, edge])).combine_chunks()
         others = pa.concat_arrays([
@@ -163,7 +167,8 @@ def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trees = pa.array(np.r_[np.full(len(a), -1), tree[edge]].astype(np.int32))
         prefixes = pa.array([None] * len(a) + [raw[i] for i in edge], pa.binary())
         return pa.RecordBatch.from_arrays(
-            [pa.array(nodes.to_pylist(), pa.binary()), others, trees, prefixes], names=["a", "b", "tree", "prefix"]
+            [pa.array(nodes.to_pylist(), pa.binary()), others, pa.array(np.r_[later, np.zeros(len(edge), bool)]), trees,
+             prefixes], names=["a", "b", "later", "tree", "prefix"],
         )
 
     held: list[pa.RecordBatch] = []
@@ -191,16 +196,20 @@ def _across_edges(edges: DataFrame) -> DataFrame:
 
 
 def candidates(nodes: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b), a below b, from a table of (node, signature)."""
+    """Distinct pairs (a, b, later), a below b, from a table of (node, signature)."""
     spark = nodes.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     orders = nodes.select("node", "signature").mapInArrow(_orders, "tree int, prefix binary, node binary")
     spread = orders.repartitionByRange(parts, "tree", "prefix", "node").sortWithinPartitions("tree", "prefix", "node")
-    found = settle(spread.mapInArrow(_search, "a binary, b binary, tree int, prefix binary"), "orders")
-    pairs = found.where("b IS NOT NULL").select("a", "b").unionByName(_across_edges(found.where("b IS NULL")))
+    found = settle(
+        spread.mapInArrow(_search, "a binary, b binary, later boolean, tree int, prefix binary"), "orders"
+    )
+    pairs = found.where("b IS NOT NULL").select("a", "b", "later").unionByName(
+        _across_edges(found.where("b IS NULL")).withColumn("later", F.lit(False))
+    )
     return (
-        pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where(F.col("a") != F.col("b"))
-        .distinct()
+        pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "later")
+        .where(F.col("a") != F.col("b")).groupBy("a", "b").agg(F.min("later").alias("later"))
     )
 
 
@@ -286,16 +295,30 @@ def near_duplicates(
             F.first("signature").alias("signature"),
         ), "nodes",
     )
-    pairs = settle(_likely(candidates(nodes), nodes, percent), "pairs")
-    wanted = (
-        pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        .join(nodes.select("node", F.col("first_key").alias(key)), "node")
-    )
-    sets = settle(_sets(texts, wanted, key, text, width), "sets")
-    links = settle(_confirmed(pairs, sets, percent), "links")
-    release(sets)
+    pairs = settle(candidates(nodes), "pairs")
+
+    def links_of(some: DataFrame) -> DataFrame:
+        likely = settle(_likely(some.select("a", "b"), nodes, percent), "likely")
+        wanted = (
+            likely.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+            .join(nodes.select("node", F.col("first_key").alias(key)), "node")
+        )
+        sets = settle(_sets(texts, wanted, key, text, width), "sets")
+        links = settle(_confirmed(likely, sets, percent), "links")
+        release(sets)
+        release(likely)
+        return links
+
+    links = links_of(pairs.where("NOT later"))
+    roots = settle(connected_components(links, "a", "b", small_edges=-1), "roots")
+    apart = pairs.where("later")
+    for end in ("a", "b"):
+        named = roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}"))
+        apart = apart.join(named, end, "left").withColumn(f"root_{end}", F.coalesce(f"root_{end}", end))
+    more = links_of(apart.where("root_a != root_b"))
     release(pairs)
-    roots = connected_components(links, "a", "b", small_edges=-1)
+    if not more.isEmpty():
+        roots = connected_components(links.unionByName(more), "a", "b", small_edges=-1)
     labelled = nodes.select("node", "first_key").join(roots, "node", "left")
     lowest = labelled.where("root IS NOT NULL").groupBy("root").agg(F.min("first_key").alias("lowest"))
     of_node = labelled.join(lowest, "root", "left").select(
