@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
+from ..operators.lookup import lookup
 from ..sources.shared import release, settle
 from .common import whole_texts
 from .shingles import Signature, overlap, same_share, shingle_set
@@ -39,6 +40,8 @@ CROWDED = 24
 NEIGHBOURS = 4
 #: The same to both sides, for rows that leave a crowded region early.
 FAR_NEIGHBOURS = 32
+#: Rows of a region of own positions from which on it has heads; in smaller ones the orders compare all rows.
+GATHERED = 2 * NEIGHBOURS
 #: Rows of an order held in memory at once.
 SLICE = 400_000
 #: Agreeing positions of a true pair lie below this share of what its similarity promises about once in a million.
@@ -213,6 +216,72 @@ def candidates(nodes: DataFrame) -> DataFrame:
     )
 
 
+def _regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per tree and node with the number of the region of the tree's own positions."""
+    for batch in batches:
+        n = batch.num_rows
+        if not n:
+            continue
+        own = np.frombuffer(b"".join(batch.column(1).to_pylist()), ">u2").reshape(n, TREES, OWN).astype(np.int64)
+        region = np.tile(np.arange(TREES, dtype=np.int64), (n, 1))
+        for j in range(OWN):
+            region = region << 16 | own[:, :, j]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(region.ravel()), batch.column(0).take(pa.array(np.repeat(np.arange(n), TREES)))],
+            names=["region", "node"],
+        )
+
+
+def gathered(nodes: DataFrame) -> DataFrame:
+    """(region, node, size) of the rows in regions of more than GATHERED rows."""
+    each = nodes.select("node", "signature").mapInArrow(_regions, "region long, node binary")
+    large = settle(each.groupBy("region").agg(F.count("*").alias("size")).where(F.col("size") > GATHERED), "regions")
+    return settle(lookup(each, large, "region", "size").where("size IS NOT NULL"), "gathered")
+
+
+def _round(members: DataFrame, roots: DataFrame, tried: DataFrame | None, salt: int) -> tuple[DataFrame, DataFrame]:
+    """Heads (region, size, heads) of the regions with more than one component, and the pairs (a, b) of rows and heads apart."""
+    placed = settle(members.join(roots, "node"), "placed")
+    parts = placed.groupBy("region", "root").agg(F.count("*").alias("n"))
+    regions = parts.groupBy("region").agg(
+        F.sum("n").alias("size"), (F.sum("n") - F.max("n")).alias("outside")
+    ).where("outside > 0")
+    here = settle(
+        lookup(placed.select("region", "node", "root"), settle(regions, "regions"), "region", "size")
+        .where("size IS NOT NULL"), "here",
+    )
+    release(placed)
+    of_node = Window.partitionBy("node")
+    scored = here.withColumn("all", F.sum("size").over(of_node)).withColumn("apart", F.sum("outside").over(of_node))
+    if tried is not None:
+        scored = scored.join(tried, ["region", "node"], "left_anti")
+    head, tie = F.struct("node", "root"), F.xxhash64("node", "region", F.lit(salt))
+    heads = settle(
+        scored.groupBy("region").agg(
+            F.max("size").alias("size"),
+            F.array_distinct(F.array(
+                F.max_by(head, F.struct("all", tie)), F.max_by(head, F.struct("apart", tie)),
+            )).alias("heads"),
+        ), "heads",
+    )
+    met = lookup(here.select("region", "node", "root"), heads, "region", "size").where("heads IS NOT NULL")
+    pairs = met.select(
+        "node", F.explode(F.filter("heads", lambda h: h["root"] != F.col("root"))).alias("head")
+    ).select(F.least("node", "head.node").alias("a"), F.greatest("node", "head.node").alias("b")).distinct()
+    return heads, settle(pairs, "pairs")
+
+
+def _joined(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, root) of every node after further links between components."""
+    between = links
+    for end in ("a", "b"):
+        between = between.join(roots.select(F.col("node").alias(end), F.hex("root").alias(f"root_{end}")), end)
+    over = connected_components(between.where("root_a != root_b"), "root_a", "root_b").select(
+        F.unhex("node").alias("root"), F.unhex("root").alias("top")
+    )
+    return settle(roots.join(over, "root", "left").select("node", F.coalesce("top", "root").alias("root")), "roots")
+
+
 def _with_both(pairs: DataFrame, table: DataFrame, columns: list[str]) -> DataFrame:
     """The pairs with the columns of both nodes, named with 1 and 2."""
     out = pairs
@@ -310,15 +379,29 @@ def near_duplicates(
         return links
 
     links = links_of(pairs.where("NOT later"))
-    roots = settle(connected_components(links, "a", "b", small_edges=-1), "roots")
+    linked = connected_components(links, "a", "b", small_edges=-1)
+    roots = settle(
+        nodes.select("node").join(linked, "node", "left").select("node", F.coalesce("root", "node").alias("root")), "roots"
+    )
     apart = pairs.where("later")
     for end in ("a", "b"):
-        named = roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}"))
-        apart = apart.join(named, end, "left").withColumn(f"root_{end}", F.coalesce(f"root_{end}", end))
+        apart = apart.join(roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}")), end)
     more = links_of(apart.where("root_a != root_b"))
     release(pairs)
     if not more.isEmpty():
-        roots = connected_components(links.unionByName(more), "a", "b", small_edges=-1)
+        roots = _joined(roots, more)
+    members, tried, salt = gathered(nodes), None, 0
+    while True:
+        heads, met = _round(members, roots, tried, salt)
+        more = links_of(met)
+        release(met)
+        if more.isEmpty():
+            break
+        before, roots = roots, _joined(roots, more)
+        release(before)
+        used = heads.select("region", F.explode("heads.node").alias("node"))
+        tried, salt = used if tried is None else tried.unionByName(used), salt + 1
+    release(members)
     labelled = nodes.select("node", "first_key").join(roots, "node", "left")
     lowest = labelled.where("root IS NOT NULL").groupBy("root").agg(F.min("first_key").alias("lowest"))
     of_node = labelled.join(lowest, "root", "left").select(

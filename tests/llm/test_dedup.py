@@ -70,6 +70,26 @@ def test_large_group_of_near_copies(spark):
     check(neardup.near_duplicates(df, width=2).collect(), docs, 2)
 
 
+@pytest.mark.parametrize("n, hub", [(500, 0), (2000, 1234)])
+def test_hub_with_disjoint_variants(spark, n, hub):
+    """Variants that reach 0.8 with their hub only."""
+    r = random.Random(n)
+    base = [f"w{i}" for i in range(200)]
+    docs = {hub: " ".join(base)}
+    for k in range(n + 1):
+        if k != hub:
+            words = list(base)
+            for at in r.sample(range(1, 200, 3), r.randint(9, 11)):
+                words[at] = f"v{k}x{at}"
+            docs[k] = " ".join(words)
+    sets = {k: set(shingle_set(t, 2).tolist()) for k, t in docs.items()}
+    alike = [len(s & sets[hub]) / len(s | sets[hub]) for k, s in sets.items() if k != hub]
+    assert 0.8 <= min(alike) and max(alike) < 0.85
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(5)
+    rows = neardup.near_duplicates(df, width=2).collect()
+    assert [r.doc_id for r in rows if r.component_id != 0] == []
+
+
 def test_odd_documents(spark):
     rows = neardup.near_duplicates(odd_documents(spark), width=5).collect()
     by = {r.doc_id: r for r in rows}
