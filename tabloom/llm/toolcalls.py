@@ -10,7 +10,8 @@ numbers in their shortest form.
 Links are made per call, so a conversation of any length spreads over tasks. Only the
 last step, whose result is one text per conversation, brings its turns together; a
 conversation is written in parts of ``TURNS_PER_PART`` turn numbers, and a part with
-more messages than that in several pieces.
+more messages than that in several pieces, cut at every ``TURNS_PER_PART``-th message of
+its order, so that parts and pieces in turn give the whole conversation in order.
 """
 
 from __future__ import annotations
@@ -20,9 +21,11 @@ import math
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import settle
+
 #: Turn numbers of one part, and messages of one output row up to which it is not cut.
 TURNS_PER_PART = 1_000
 
@@ -84,20 +87,20 @@ def faults(value: object, schema: dict, path: str = "$") -> list[str]:
     return out
 
 
-def parse_turn(role: str | None, text: str | None) -> tuple[list[dict], dict | None]:
-    """(calls, result) that a turn's text holds; a text that is no such JSON holds neither."""
+def parse_turn(role: str | None, text: str | None) -> tuple[dict | None, dict | None]:
+    """The object of a turn's text, as one with calls or as a result; a text that is no such JSON is neither."""
     if not text or "{" not in text or '"tool_call' not in text:
-        return [], None
+        return None, None
     try:
         found = json.loads(text)
     except ValueError:
-        return [], None
+        return None, None
     if not isinstance(found, dict):
-        return [], None
+        return None, None
     if role == "tool":
-        return [], found if isinstance(found.get("tool_call_id"), str) else None
+        return None, found if isinstance(found.get("tool_call_id"), str) else None
     calls = found.get("tool_calls")
-    return [c for c in calls if isinstance(c, dict)] if isinstance(calls, list) else [], None
+    return found if isinstance(calls, list) and any(isinstance(c, dict) for c in calls) else None, None
 
 
 def check_call(call: dict, schemas: dict[str, dict] | None) -> tuple[str | None, str, str, str]:
@@ -116,15 +119,24 @@ def check_call(call: dict, schemas: dict[str, dict] | None) -> tuple[str | None,
     return identifier, name, canonical(arguments), "; ".join(wrong)
 
 
-def message_json(role: str, text: str, calls: list[tuple], result: dict | None) -> str:
-    """Canonical message: content and role, and what it calls or answers."""
+def _object(fields: dict[str, str]) -> str:
+    return "{" + ",".join(f"{canonical(k)}:{fields[k]}" for k in sorted(fields)) + "}"
+
+
+def message_json(role: str, text: str, calling: dict | None, checked: list[tuple], result: dict | None) -> str:
+    """Canonical message: content and role, what it calls or answers, and all further fields of its text."""
     if result is not None:
-        return canonical({"content": result.get("content"), "role": role, "tool_call_id": result["tool_call_id"]})
-    if calls:
-        made = ",".join(
-            f'{{"arguments":{arguments},"id":{canonical(i)},"name":{canonical(name)}}}' for i, name, arguments, _ in calls
-        )
-        return f'{{"role":{canonical(role)},"tool_calls":[{made}]}}'
+        return canonical({"content": None, **result, "role": role})
+    if calling is not None:
+        made, done = [], iter(checked)
+        for c in calling["tool_calls"]:
+            if isinstance(c, dict):
+                fields = {k: canonical(v) for k, v in {"id": None, "name": "", **c}.items()}
+                made.append(_object(fields | {"arguments": next(done)[2]}))
+            else:
+                made.append(canonical(c))
+        fields = {k: canonical(v) for k, v in calling.items()}
+        return _object(fields | {"role": canonical(role), "tool_calls": f"[{','.join(made)}]"})
     return canonical({"content": text, "role": role})
 
 
@@ -137,11 +149,11 @@ def _parsed(turns: DataFrame, schemas: dict[str, dict] | None) -> DataFrame:
         for batch in batches:
             calls, answers, messages = [], [], []
             for role, text in zip(batch.column("role").to_pylist(), batch.column("text").to_pylist()):
-                made, result = parse_turn(role, text)
-                checked = [check_call(c, schemas) for c in made]
+                calling, result = parse_turn(role, text)
+                checked = [check_call(c, schemas) for c in calling["tool_calls"] if isinstance(c, dict)] if calling else []
                 calls.append([dict(zip(("id", "name", "arguments", "faults"), c)) for c in checked])
                 answers.append(result["tool_call_id"] if result else None)
-                messages.append(message_json(role, text, checked, result))
+                messages.append(message_json(role, text, calling, checked, result))
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(calls, kind), pa.array(answers, pa.string()), pa.array(messages, pa.string())],
                 names=[*batch.schema.names, "calls", "answers", "message"],
@@ -206,16 +218,38 @@ def _links(parsed: DataFrame) -> DataFrame:
     ))
 
 
+def _pieces(placed: DataFrame) -> DataFrame:
+    """The messages with their piece: their rank in the part's order over TURNS_PER_PART, ranked without one task per part."""
+    part, order = ["conv_id", "part"], ["at", "moved", "turn", "role", "text"]
+    long_ = settle(placed.groupBy(*part).agg(F.count("*").alias("n")).where(F.col("n") > TURNS_PER_PART).drop("n"), "long")
+    zero = F.lit(0).cast("long")
+    if long_.isEmpty():
+        return placed.withColumn("piece", zero)
+    parts = int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = settle(
+        placed.join(long_, part, "left_semi").repartitionByRange(parts, *part, *order)
+        .withColumn("range", F.spark_partition_id()), "ranges",
+    )
+    counts = ranges.groupBy(*part, "range").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy(*part).orderBy("range")) - F.col("n")
+    within = F.row_number().over(Window.partitionBy(*part, "range").orderBy(*order)) - 1
+    ranked = ranges.withColumn("within", within).join(
+        counts.select(*part, "range", before.alias("before")), [*part, "range"]
+    ).withColumn("piece", F.floor((F.col("before") + F.col("within")) / TURNS_PER_PART).cast("long"))
+    short = placed.join(long_, part, "left_anti").withColumn("piece", zero)
+    return short.unionByName(ranked.select(*short.columns))
+
+
 def format_conversations(
     df: DataFrame, schemas: dict[str, dict] | None = None, conversation: str = "conv_id", turn: str = "turn",
     role: str = "role", text: str = "text",
 ) -> DataFrame:
     """(conv_id, part, piece, n_turns, n_calls, n_linked, n_faulty, json) of every conversation.
 
-    Turns keep their order, but a result that stands before its call is moved behind it
+    Turns keep their order, but a result that does not stand behind its call is moved there
     (the order is topological: a call before its result, else by turn). ``json`` is the
     canonical array of messages with the keys content, role, tool_call_id and
-    tool_calls, absent ones left out; ``n_calls``, ``n_linked`` and ``n_faulty`` count
+    tool_calls and what else the turn's object holds, absent ones left out; ``n_calls``, ``n_linked`` and ``n_faulty`` count
     the conversation's calls, those with a result, and those whose arguments break
     their schema. Null texts are empty, null roles are ``user``; null turns come first;
     equal turns are ordered by role and text; equal rows count once. Rows with a null
@@ -224,21 +258,22 @@ def format_conversations(
     """
     parsed = _parsed(_turns(df, conversation, turn, role, text), schemas)
     links = _links(parsed)
-    late = links.where((F.col("status") == "linked") & (F.col("result_turn") < F.col("call_turn"))).select(
-        "conv_id", F.col("call_id").alias("answers"), F.col("result_turn").alias("turn"), "call_turn"
+    early = F.col("result_turn").isNull() | (F.col("result_turn") <= F.col("call_turn"))
+    late = links.where((F.col("status") == "linked") & early).select(
+        F.col("conv_id").alias("late_conv"), F.col("call_id").alias("late_id"), F.col("result_turn").alias("late_turn"),
+        "call_turn",
     ).distinct()
     counted = links.where("call_turn IS NOT NULL").groupBy("conv_id").agg(
         F.count("*").alias("n_calls"), F.sum((F.col("status") == "linked").cast("long")).alias("n_linked"),
         F.sum((F.col("faults") != "").cast("long")).alias("n_faulty"),
     )
-    placed = parsed.join(late, ["conv_id", "answers", "turn"], "left").withColumn(
-        "at", F.coalesce("call_turn", "turn")
+    same = (F.col("conv_id") == F.col("late_conv")) & (F.col("answers") == F.col("late_id"))
+    placed = parsed.join(late, same & F.col("turn").eqNullSafe(F.col("late_turn")), "left").select(
+        "conv_id", F.coalesce("call_turn", "turn").alias("at"), F.col("late_conv").isNotNull().alias("moved"), "turn",
+        "role", "text", "message",
     ).withColumn("part", F.floor(F.coalesce("at", F.lit(0)) / TURNS_PER_PART).cast("long"))
-    sizes = placed.groupBy("conv_id", "part").agg(F.ceil(F.count("*") / TURNS_PER_PART).alias("pieces"))
-    dealt = placed.join(sizes, ["conv_id", "part"]).withColumn(
-        "piece", F.pmod(F.xxhash64("at", "role", "text"), F.col("pieces"))
-    )
-    order = F.struct("at", F.col("call_turn").isNotNull().alias("moved"), "turn", "role", "text", "message")
+    dealt = _pieces(placed)
+    order = F.struct("at", "moved", "turn", "role", "text", "message")
     written = dealt.groupBy("conv_id", "part", "piece").agg(
         F.count("*").alias("n_turns"), F.sort_array(F.collect_list(order)).alias("turns")
     )

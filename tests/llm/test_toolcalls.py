@@ -73,6 +73,30 @@ def test_long_conversations_are_cut(spark, monkeypatch):
     assert len(second) > 1 and sorted(m["content"] for r in second for m in json.loads(r.json)) == sorted(f"s{k}" for k in range(45))
 
 
+def test_pieces_follow_the_order(spark, monkeypatch):
+    monkeypatch.setattr(toolcalls, "TURNS_PER_PART", 10)
+    rows = [(1, turn, "user", f"{k:03}") for k in range(60) for turn in (None, 0)]
+    rows += [(1, None, "tool", result("a", "answer")), (1, 0, "user", calls(("a", "add", {})))]
+    out = toolcalls.format_conversations(spark.createDataFrame(rows, KIND)).collect()
+    pieces = sorted(out, key=lambda r: (r.part, r.piece))
+    assert [r.piece for r in pieces] == list(range(13)) and {r.n_turns for r in pieces[:-1]} == {10}
+    messages = [m for r in pieces for m in json.loads(r.json)]
+    plain = [f"{k:03}" for k in range(60)]
+    assert [m.get("content", "call") for m in messages] == [*plain, *plain, "call", "answer"]
+
+
+def test_call_turns_lose_nothing(spark):
+    text = {"content": "let me see", "tool_calls": [{"id": "a", "name": "add", "arguments": "{}", "type": "f"}, 7], "n": 1.0}
+    answer = {"tool_call_id": "a", "content": 3, "ok": True}
+    rows = [(1, 0, "assistant", json.dumps(text)), (1, 1, "tool", json.dumps(answer))]
+    out = toolcalls.format_conversations(spark.createDataFrame(rows, KIND)).first()
+    assert out.json == (
+        '[{"content":"let me see","n":1,"role":"assistant","tool_calls":[{"arguments":{},"id":"a","name":"add","type":"f"},7]},'
+        '{"content":3,"ok":true,"role":"tool","tool_call_id":"a"}]'
+    )
+    assert (out.n_calls, out.n_linked) == (1, 1)
+
+
 @pytest.mark.parametrize("value, text", [
     ({"b": 1.0, "a": [True, None, "é"]}, '{"a":[true,null,"é"],"b":1}'), (float("nan"), "null"), (1e300, "1e+300"), (0.5, "0.5"),
 ])
