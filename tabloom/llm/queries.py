@@ -5,8 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontaminate, idfiles, lm, neardup, quality, sentencepieces, token_counts, toolcalls, toxicity, vectors
+from . import (
+    decontaminate, idfiles, lm, neardup, quality, repeats, sentencepieces, token_counts, toolcalls, toxicity, vectors,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -86,3 +89,9 @@ GROUP BY conv_id, coalesce(turn, 0) // 1000
 @query("op5_chat_formatting", CONVERSATIONS)
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     return toolcalls.format_conversations(table(spark, folder, "conversations"))
+
+
+@query("op13_suffix_array_dedup")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    found = repeats.remove_repeats(table(spark, folder, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
