@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (
-    decontaminate, idfiles, lm, neardup, quality, repeats, sentencepieces, token_counts, toolcalls, toxicity, vectors,
+    conversation_sql, decontaminate, idfiles, lm, neardup, prefix_trie, quality, repair, repeats, sentencepieces, token_counts,
+    toolcalls, toxicity, vectors,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -91,6 +92,17 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
     return toolcalls.format_conversations(table(spark, folder, "conversations"))
 
 
+@query("op11_conversation_prefix_trie", conversation_sql.TRIE)
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, folder, "conversations"), rebuild=True)
+
+
+@query("op12_conversation_repair", conversation_sql.REPAIR)
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    given = table(spark, folder, "conversations")
+    return repair.repair_conversations(repair.damage(given), ids=given)
+
+
 @query("op13_suffix_array_dedup")
 def op13(spark: SparkSession, folder: str) -> DataFrame:
     found = repeats.remove_repeats(table(spark, folder, "documents"))
