@@ -232,9 +232,11 @@ def _identified(docs: DataFrame, key: str, text: str) -> DataFrame:
 def _repeated(docs: DataFrame, length: int) -> tuple[DataFrame, list[DataFrame]]:
     """(t1, t2, begin, end) of covered bytes, and working tables to delete once they are read."""
     found = _anchors(docs, length)
-    grams = (
+    # settled groups make the joins back plain ones, whose skewed side Spark can split
+    grams = settle(
         found.groupBy("gram").agg(F.count("*").alias("n"), F.min("span").alias("low"), F.max("span").alias("high"))
-        .where("n > 1").select("gram", (F.col("low") != F.col("high")).alias("mixed"))
+        .where("n > 1").select("gram", (F.col("low") != F.col("high")).alias("mixed")),
+        "repeats-grams",
     )
     hits = settle(found.join(grams, "gram"), "repeats-anchors")
     mixed = hits.where("mixed")
@@ -247,17 +249,18 @@ def _repeated(docs: DataFrame, length: int) -> tuple[DataFrame, list[DataFrame]]
         _marks(mixed.join(spans.where("done").select("gram", "span"), ["gram", "span"]), length)
     )
     rows = settle(_contexts(docs, spans.select("one.*", "gram", "done"), length), "repeats-contexts")
-    tables = [hits, spans, rows]
+    tables = [grams, hits, spans, rows]
     for width in WIDTHS:
         cut = _narrowed(rows, width, length)
-        groups = (
+        groups = settle(
             cut.groupBy("gram", "shared").agg(
                 F.sum(F.when(F.col("done"), 2).otherwise(1)).alias("n"), F.min("full").alias("low"),
                 F.max("full").alias("high"), F.max(~F.col("done")).alias("open"),
-            ).where("n > 1 AND open").select("gram", "shared", (F.col("low") != F.col("high")).alias("mixed"))
+            ).where("n > 1 AND open").select("gram", "shared", (F.col("low") != F.col("high")).alias("mixed")),
+            "repeats-groups",
         )
         rows = settle(cut.join(groups, ["gram", "shared"]).drop("shared", "full"), "repeats-narrowed")
-        tables.append(rows)
+        tables += [groups, rows]
         marks = marks.unionByName(_marks(rows.where("NOT mixed AND NOT done"), length))
         rows = rows.where("mixed").select(*DOCUMENT, "loc", "gram", "done", "bytes")
     return marks, tables
