@@ -17,11 +17,12 @@ from tabloom.operators.tuning import Real, Whole, bayesian_search, grid_search,
 from tabloom.functions.names import rename_to
 from tabloom.plans import lineage
 from tabloom.plans.prepare import fit_preparation
+from tabloom.plans.store import Store, predict_registered
 from tabloom.plans.train import run_pipeline, train_model
 from tabloom.sources import files, registry
 from tabloom.sources.shared import shared_folder
 
-from .base import F1, F2, F4, F5, F9, MODELS, PREDICTIONS, duck_hash, query, rd, rounded, rows, table, union
+from .base import F1, F2, F4, F5, F8, F9, MODELS, PREDICTIONS, duck_hash, query, rd, rounded, rows, table, union
 
 INPUTS = ["acctbal", "nation", "n_orders"]
 
@@ -362,3 +363,88 @@ def l8(spark, sf):
 @query("l8_newest_datasets", f"SELECT CAST(id AS BIGINT) AS id, name FROM ({F9}) t ORDER BY id DESC LIMIT 10")
 def l8b(spark, sf):
     return rounded(registry.newest(rows(spark, sf, F9), "id", 10).select("id", "name"))
+
+
+@query(
+    "r2_reloaded_components",
+    f"{_CODED} SELECT id, {rd('(price - (SELECT avg(price) FROM e)) / (SELECT stddev_pop(price) FROM e)')} AS price,"
+    f" {rd('(v - (SELECT avg(v) FROM e)) / (SELECT stddev_pop(v) FROM e)')} AS priority FROM e",
+)
+def r2b(spark, sf):
+    """Components written by one session and applied by another."""
+    frame, steps = _steps(spark, sf)
+    folder = f"{shared_folder(spark)}/kept-{uuid.uuid4().hex}"
+    Store(spark, folder).save("orders", scoring.Preparation(steps))
+    again = Store(spark.newSession(), folder).load("orders")
+    return rounded(again.apply(frame).select("id", "price", "priority"))
+
+
+_RAW = """SELECT p_partkey AS id, p_brand AS brand, CAST(p_size AS DOUBLE) AS size, CAST(7 AS DOUBLE) AS constant,
+    CASE WHEN p_partkey % 97 = 0 THEN p_retailprice * 20 WHEN p_partkey % 31 = 0 THEN NULL ELSE p_retailprice END AS price,
+    CAST(3 AS DOUBLE) * p_size + CAST(0.05 AS DOUBLE) * p_retailprice AS y FROM {part}"""
+
+
+@query(
+    "l1_declared_scoring",
+    f"""WITH raw AS ({_RAW}), t AS (SELECT id, size, y, coalesce(price, (SELECT median(price) FROM raw)) AS price FROM raw),
+    p AS (SELECT id, y, greatest(least(price, {_UPPER}), {_LOWER}) * size AS v, {_SPLIT} AS train FROM t),
+    m AS (SELECT regr_slope(y, v) AS w, regr_intercept(y, v) AS b FROM p WHERE train = 1)
+    SELECT id, {rd('b + w * v', 4)} AS prediction FROM p, m""",
+)
+def l1c(spark, sf):
+    """Raw rows scored by the bundle of a run that fills, clips, multiplies, selects, scales and fits."""
+    frame = rows(spark, sf, _RAW)
+    done = run_pipeline(spark, [
+        {"step": "source", "key": "id", "target": "y"},
+        {"step": "preprocess", "missing": "median", "encoding": [{"column_name": "brand", "encoding_method": "frequency"}]},
+        {"step": "outliers", "method": "iqr", "action": "clip", "threshold": 1.5, "columns": ["price"]},
+        {"step": "polynomial", "columns": ["price", "size"], "interaction_only": True},
+        {"step": "select", "method": "variance", "threshold": 1e6},
+        {"step": "train", "algorithm": "linear_regression", "scale": "standard", "scale_target": True},
+    ], frame)
+    return rounded(done["training"].bundle.score(frame).select("id", "prediction"), 4)
+
+
+@query(
+    "s10_registered_prediction",
+    f"""WITH p AS (SELECT id, x2, y, {_SPLIT} AS train FROM ({F5}) f),
+    m AS (SELECT regr_slope(y, x2) AS w, regr_intercept(y, x2) AS b FROM p WHERE train = 1)
+    SELECT id, {rd('b + w * x2', 4)} AS prediction, count(*) OVER () AS row_count FROM p, m""",
+)
+def s10b(spark, sf):
+    """A model trained, kept and registered, then loaded by its id to score a dataset."""
+    folder = f"{shared_folder(spark)}/kept-{uuid.uuid4().hex}"
+    book, store = registry.Registry(spark, f"{folder}/registry"), Store(spark, f"{folder}/models")
+    frame = rows(spark, sf, F5).select("id", "x2", "y")
+    model = train_model(frame, "id", "linear_regression", "y", scale="standard").register(book, "parts", store=store)
+    predict_registered(book, store, model, frame, f"{folder}/scored", "parts")
+    entry = book.table("predictions").select("path", "row_count").first()
+    return rounded(spark.read.parquet(entry.path).select("id", "prediction", F.lit(entry.row_count).alias("row_count")), 4)
+
+
+@query(
+    "t7_train_clustering",
+    f"""WITH t AS ({F8}), c AS (SELECT blob, count(*) AS n, avg(x) AS mx, avg(y) AS my, var_pop(x) + var_pop(y) AS v FROM t WHERE blob >= 0 GROUP BY blob),
+    g AS (SELECT avg(x) AS gx, avg(y) AS gy FROM t WHERE blob >= 0)
+    SELECT 'n_clusters' AS metric, CAST((SELECT count(*) FROM c) AS DOUBLE) AS value
+    UNION ALL SELECT 'n_noise', CAST((SELECT count(*) FROM t WHERE blob < 0) AS DOUBLE)
+    UNION ALL SELECT 'calinski_harabasz_score', {rd('sum(n * (power(mx - gx, 2) + power(my - gy, 2))) * (sum(n) - count(*)) / (sum(n * v) * (count(*) - 1))', 4)} FROM c, g""",
+)
+def t7c(spark, sf):
+    """Clusters by name, with their scores."""
+    done = train_model(rows(spark, sf, F8).drop("blob"), "id", "dbscan", parameters={"eps": 1.0, "min_samples": 3})
+    return rounded(done.metrics.where("metric IN ('n_clusters', 'n_noise', 'calinski_harabasz_score')"), 4)
+
+
+@query(
+    "t7_train_reduction",
+    f"""WITH p AS ({F5}), c AS (SELECT count(*) AS n, var_samp(x1) AS a, covar_samp(x1, x2) AS b, var_samp(x2) AS d FROM p),
+    e AS (SELECT n, (a + d) / 2 + sqrt(power((a - d) / 2, 2) + b * b) AS big, (a + d) / 2 - sqrt(power((a - d) / 2, 2) + b * b) AS small FROM c)
+    SELECT 'explained_variance_ratio' AS metric, {rd('big / (big + small)')} AS value FROM e
+    UNION ALL SELECT 'n_samples', CAST(n AS DOUBLE) FROM e
+    UNION ALL SELECT 'reconstruction_error', {rd('small * (n - 1) / n / 2')} FROM e""",
+)
+def t7d(spark, sf):
+    """A reduction by name, with its scores."""
+    done = train_model(rows(spark, sf, F5).drop("y"), "id", "pca", parameters={"n_components": 1})
+    return rounded(done.metrics.where("metric IN ('explained_variance_ratio', 'n_samples', 'reconstruction_error')"))

@@ -6,7 +6,7 @@ import inspect
 
 from pyspark.sql import DataFrame
 
-from . import bayes, linear, margin, nearest, neural, trees
+from . import bayes, cluster, decomposition, density, graphs, linear, margin, nearest, neural, trees
 
 CLASSIFIERS = {
     "logistic_regression": linear.fit_logistic,
@@ -34,16 +34,57 @@ REGRESSORS = {
     "svr": margin.fit_svr,
     "mlp_regressor": neural.fit_mlp_regressor,
 }
+#: Fits that give a model for new rows, and those that give (key, cluster) of their own rows.
+CLUSTER_MODELS = {"kmeans": cluster.fit_kmeans, "gmm": cluster.fit_mixture}
+CLUSTER_LABELS = {"dbscan": density.dbscan, "hierarchical": cluster.hierarchical, "spectral": cluster.spectral}
+#: Projections for new rows (lda needs a target), and neighbour graphs (src, dst, weight).
+PROJECTIONS = {"pca": decomposition.fit_pca, "lda": decomposition.fit_discriminant}
+GRAPHS = {"tsne": graphs.perplexity_graph, "umap": graphs.fuzzy_graph}
+#: Parameters that have another name here.
+RENAMED = {"pca": {"n_components": "components"}, "lda": {"n_components": "components"}}
 
 
-def is_classifier(name: str) -> bool:
-    if name in CLASSIFIERS:
-        return True
-    if name in REGRESSORS:
-        return False
+def kind_of(name: str) -> str:
+    """classification, regression, clustering or reduction."""
+    kinds = {
+        "classification": (CLASSIFIERS,), "regression": (REGRESSORS,), "clustering": (CLUSTER_MODELS, CLUSTER_LABELS),
+        "reduction": (PROJECTIONS, GRAPHS),
+    }
+    for kind, tables in kinds.items():
+        if any(name in t for t in tables):
+            return kind
     raise ValueError(f"unknown algorithm {name!r}")
 
 
+def is_classifier(name: str) -> bool:
+    return kind_of(name) == "classification"
+
+
+def fit_unsupervised(
+    name: str, df: DataFrame, features: list[str], key: str, target: str | None = None, **params
+) -> tuple[object | None, DataFrame, dict[str, str]]:
+    """(model for new rows or None, result for these rows, notes).
+
+    Clusterings give the rows with ``cluster``, projections the rows with their components, and
+    neighbour graphs their edges.
+    """
+    fit = (CLUSTER_MODELS | CLUSTER_LABELS | PROJECTIONS | GRAPHS)[name]
+    params = {RENAMED.get(name, {}).get(k, k): v for k, v in params.items()}
+    known = inspect.signature(fit).parameters
+    notes = {k: f"ignored: {v}" for k, v in params.items() if k not in known}
+    used = {k: v for k, v in params.items() if k in known}
+    if name in CLUSTER_MODELS or name == "pca":
+        model = fit(df, features, **used)
+        return model, model.predict(df), notes
+    if name == "lda":
+        if target is None:
+            raise ValueError("lda needs a target column")
+        model = fit(df, features, target, **used)
+        return model, model.predict(df), notes
+    found = fit(df, key, features, **used)
+    return None, found if name in GRAPHS else df.join(found, key), notes
+
+
 def fit_named(name: str, df: DataFrame, features: list[str], label: str, key: str, **params):
     """Fit by name; parameters the estimator does not know are noted on the model."""
     fit = CLASSIFIERS[name] if is_classifier(name) else REGRESSORS[name]

@@ -27,6 +27,9 @@ class Projection:
     def components(self) -> list[str]:
         return [f"{self.prefix}{k + 1}" for k in range(self.vectors.shape[1])]
 
+    def predict(self, df: DataFrame) -> DataFrame:
+        return self.transform(df)
+
     def transform(self, df: DataFrame) -> DataFrame:
         return df.select(
             "*",

@@ -99,35 +99,70 @@ def remove(df: DataFrame, bounds: Bounds) -> DataFrame:
     return df
 
 
-def replace(df: DataFrame, bounds: Bounds, by: str) -> DataFrame:
-    """Replace outliers by the mean or median of the whole column, outliers included."""
+def replacements(df: DataFrame, bounds: Bounds, by: str) -> dict[str, float | None]:
+    """Mean or median of each bounded column, outliers included."""
     columns = list(bounds.limits)
-    if by == "mean":
-        values = df.agg(*[F.avg(clean_number(ref(c))).alias(c) for c in columns]).first().asDict() if columns else {}
-    elif by == "median":
-        values = {c: q[0] for c, q in exact_quantiles(df, {c: ref(c) for c in columns}, [0.5]).items()} if columns else {}
-    else:
+    if by not in ("mean", "median"):
         raise ValueError(f"unknown replacement {by!r}")
+    if not columns:
+        return {}
+    if by == "mean":
+        return df.agg(*[F.avg(clean_number(ref(c))).alias(c) for c in columns]).first().asDict()
+    return {c: q[0] for c, q in exact_quantiles(df, {c: ref(c) for c in columns}, [0.5]).items()}
+
+
+def put(df: DataFrame, bounds: Bounds, values: dict[str, float | None]) -> DataFrame:
     return replace_columns(
-        df, {c: F.when(bounds.flag(c), F.lit(values[c])).otherwise(clean_number(ref(c))) for c in columns}
+        df, {c: F.when(bounds.flag(c), F.lit(values[c])).otherwise(clean_number(ref(c))) for c in bounds.limits}
     )
 
 
-def handle_outliers(
+def replace(df: DataFrame, bounds: Bounds, by: str) -> DataFrame:
+    """Replace outliers by the mean or median of the whole column, outliers included."""
+    return put(df, bounds, replacements(df, bounds, by))
+
+
+@dataclass
+class Treatment:
+    """A fitted handling of outliers. New rows are clipped or replaced like the fitted ones, and never dropped."""
+
+    action: str
+    bounds: Bounds
+    values: dict[str, float | None] = field(default_factory=dict)
+    forest: IsolationForest | None = None
+
+    def treat(self, df: DataFrame) -> DataFrame:
+        """The fitted rows, without those that the action removes."""
+        if self.forest is not None:
+            return df.where(self.forest.anomaly(df) <= F.lit(self.forest.cut)) if self.forest.trees else df
+        return remove(df, self.bounds) if self.action == "remove" else self.apply(df)
+
+    def apply(self, df: DataFrame) -> DataFrame:
+        if self.action == "remove":
+            return df
+        here = Bounds(self.bounds.method, self.bounds.threshold, {c: v for c, v in self.bounds.limits.items() if c in df.columns})
+        return clip(df, here) if self.action == "clip" else put(df, here, self.values)
+
+
+def fit_treatment(
     df: DataFrame, method: str = "iqr", action: str = "clip", threshold: float = 1.5,
     columns: Sequence[str] | None = None, key: str | None = None,
-) -> DataFrame:
+) -> Treatment:
     if method == "isolation_forest":
         if action != "remove":
             raise ValueError("isolation forest flags whole rows: only action='remove' applies")
         forest = fit_isolation_forest(df, key, numeric_columns(df, columns), contamination=threshold)
-        return df.where(forest.anomaly(df) <= F.lit(forest.cut)) if forest.trees else df
+        return Treatment(action, Bounds(method, threshold), forest=forest)
     bounds = fit_bounds(df, method, threshold, columns)
-    if action == "clip":
-        return clip(df, bounds)
-    if action == "remove":
-        return remove(df, bounds)
-    return replace(df, bounds, action.removeprefix("replace_"))
+    by = action.removeprefix("replace_")
+    return Treatment(action, bounds, {} if action in ("clip", "remove") else replacements(df, bounds, by))
+
+
+def handle_outliers(
+    df: DataFrame, method: str = "iqr", action: str = "clip", threshold: float = 1.5,
+    columns: Sequence[str] | None = None, key: str | None = None,
+) -> DataFrame:
+    return fit_treatment(df, method, action, threshold, columns, key).treat(df)
 
 
 def before_after(

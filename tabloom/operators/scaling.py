@@ -41,6 +41,14 @@ class Scaler:
             new[c] = ref(c) * F.lit(spread) + F.lit(centre)
         return replace_columns(df, new)
 
+    def then(self, later: Scaler | None, column: str) -> Scaler:
+        """One scaler for ``column`` that does the work of this one and a later one."""
+        centre, spread = self.parameters[column]
+        if later is not None and column in later.parameters:
+            more, wider = later.parameters[column]
+            centre, spread = centre + spread * more, spread * wider
+        return Scaler(self.method, self.role, {column: (centre, spread)})
+
     def table(self, spark) -> DataFrame:
         rows = [(self.role, self.method, c, a, b) for c, (a, b) in self.parameters.items()]
         return rows_table(spark, rows, "role string, method string, column_name string, center double, scale double")

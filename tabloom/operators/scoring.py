@@ -10,11 +10,14 @@ from pyspark.sql import functions as F
 
 from ..functions.names import numeric_columns, ref, rename_to, replace_columns, text_columns
 from ..functions.parsing import clean_number
+from .construct import Products
 from .dates import to_epoch
 from .encoding import AutoEncoding, Encoder
 from .missing import Filler
+from .outliers import Treatment
 from .profiling import validate_input
 from .scaling import Scaler
+from .selection import Selection
 
 
 @dataclass
@@ -25,7 +28,19 @@ class DateStep:
         return to_epoch(df, [c for c in self.columns if c in text_columns(df)])
 
 
-Step = Filler | Encoder | AutoEncoding | Scaler | DateStep
+Step = Filler | Encoder | AutoEncoding | Scaler | DateStep | Treatment | Products | Selection
+
+
+def needed(steps: Sequence[Step], wanted: Sequence[str]) -> set[str]:
+    """Columns that the first step has to be given so that the last one leaves the wanted ones."""
+    names = set(wanted)
+    for step in reversed(steps):
+        if isinstance(step, Products):
+            names = step.inputs(names)
+        for e in step.encoders if isinstance(step, AutoEncoding) else [step] if isinstance(step, Encoder) else []:
+            if names & set(e.new_columns):
+                names = names - set(e.new_columns) | {e.column}
+    return names
 
 
 @dataclass
@@ -58,6 +73,12 @@ class Preparation:
                 rows.append((i, f"encode_{s.method}", s.column))
             elif isinstance(s, DateStep):
                 rows.append((i, "dates", ",".join(s.columns)))
+            elif isinstance(s, Treatment):
+                rows.append((i, f"outliers_{s.action}", ",".join(s.bounds.limits)))
+            elif isinstance(s, Products):
+                rows.append((i, "polynomial", ",".join(s.columns)))
+            elif isinstance(s, Selection):
+                rows.append((i, f"select_{s.method}", ",".join(s.selected)))
             else:
                 rows.append((i, "encode_auto", ",".join(e.column for e in s.encoders)))
         return spark.createDataFrame(rows, "position int, operation string, columns string")
@@ -94,6 +115,7 @@ class ScoringBundle:
     model: object
     target: str | None = None
     target_scaler: Scaler | None = None
+    target_encoder: Encoder | None = None
 
     def findings(self, df: DataFrame) -> DataFrame:
         return validate_input(rename_to(df, self.required).drop(self.key), self.required, self.types)
@@ -104,14 +126,14 @@ class ScoringBundle:
         names = named.columns
         if not _row_local(self.model):
             ready = align(self.preparation.apply(named), self.features, [self.key])
-            scored = restore(self.model.predict(ready), "prediction", self.target_scaler, None, self.target)
+            scored = restore(self.model.predict(ready), "prediction", self.target_scaler, self.target_encoder, self.target)
             added = [c for c in scored.columns if c not in self.features and c != self.key]
             return named.join(scored.select(ref(self.key), *[ref(c) for c in added]), self.key)
         # the inputs ride along under other names, so no join is needed
         inputs = [f"_in_{c}" for c in names]
         carried = named.select("*", *[ref(c).alias(n) for c, n in zip(names, inputs)])
         ready = align(self.preparation.apply(carried), self.features, inputs)
-        scored = restore(self.model.predict(ready), "prediction", self.target_scaler, None, self.target)
+        scored = restore(self.model.predict(ready), "prediction", self.target_scaler, self.target_encoder, self.target)
         added = [c for c in scored.columns if c not in self.features and c not in inputs]
         return scored.select(*[ref(n).alias(c) for c, n in zip(names, inputs)], *[ref(c) for c in added])
 

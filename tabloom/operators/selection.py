@@ -37,7 +37,8 @@ class Selection:
         """Selected columns, then the columns that took no part, then the target."""
         rest = [c for c in df.columns if c not in self.considered and c != self.target]
         last = [self.target] if self.target in df.columns else []
-        return df.select(*[ref(c) for c in [*self.selected, *rest, *last]])
+        kept = [c for c in self.selected if c in df.columns]
+        return df.select(*[ref(c) for c in [*kept, *rest, *last]])
 
     def report(self, spark) -> DataFrame:
         rows = [

@@ -8,14 +8,14 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 
 from ..functions.names import numeric_columns, ref
-from ..operators.construct import polynomial_features
+from ..operators.construct import Products
 from ..operators.dates import date_columns
 from ..operators.encoding import fit_auto_encoding
 from ..operators.missing import check_target, drop_missing, fill_by_neighbors, fill_by_trees, fit_filler
-from ..operators.outliers import handle_outliers
+from ..operators.outliers import Treatment, fit_treatment
 from ..operators.scaling import Scaler, fit_scaler
 from ..operators.scoring import DateStep, Preparation
-from ..operators.selection import select_features
+from ..operators.selection import Selection, select_features
 
 FITTED_FILLS = ("mean", "median", "mode", "most_frequent", "constant")
 
@@ -88,19 +88,35 @@ def prepare(df: DataFrame, key: str, **options) -> DataFrame:
     return fit_preparation(df, key, **options).df
 
 
-def apply_outliers(df: DataFrame, key: str, target: str | None, options: dict) -> DataFrame:
-    columns = options.get("columns") or [c for c in numeric_columns(df) if c not in (key, target)]
-    return handle_outliers(
-        df, options.get("method", "iqr"), options.get("action", "clip"), options.get("threshold", 1.5), columns, key
+def _numbers(df: DataFrame, key: str, target: str | None, options: dict) -> list[str]:
+    return options.get("columns") or [c for c in numeric_columns(df) if c not in (key, target)]
+
+
+def fit_outliers(df: DataFrame, key: str, target: str | None, options: dict) -> Treatment:
+    return fit_treatment(
+        df, options.get("method", "iqr"), options.get("action", "clip"), options.get("threshold", 1.5),
+        _numbers(df, key, target, options), key,
     )
 
 
-def apply_selection(df: DataFrame, key: str, target: str | None, options: dict) -> DataFrame:
+def fit_selection(df: DataFrame, key: str, target: str | None, options: dict) -> Selection:
     settings = {k: v for k, v in options.items() if k != "method"}
-    settings.setdefault("columns", [c for c in numeric_columns(df) if c not in (key, target)])
-    return select_features(df, options.get("method", "variance"), target, **settings).apply(df)
+    settings["columns"] = _numbers(df, key, target, options)
+    return select_features(df, options.get("method", "variance"), target, **settings)
+
+
+def fit_polynomial(df: DataFrame, key: str, target: str | None, options: dict) -> Products:
+    columns = numeric_columns(df, _numbers(df, key, target, options))
+    return Products(columns, options.get("degree", 2), options.get("interaction_only", False))
+
+
+def apply_outliers(df: DataFrame, key: str, target: str | None, options: dict) -> DataFrame:
+    return fit_outliers(df, key, target, options).treat(df)
+
+
+def apply_selection(df: DataFrame, key: str, target: str | None, options: dict) -> DataFrame:
+    return fit_selection(df, key, target, options).apply(df)
 
 
 def apply_polynomial(df: DataFrame, key: str, target: str | None, options: dict) -> DataFrame:
-    columns = options.get("columns") or [c for c in numeric_columns(df) if c not in (key, target)]
-    return polynomial_features(df, columns, options.get("degree", 2), options.get("interaction_only", False))
+    return fit_polynomial(df, key, target, options).apply(df)
