@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from tabloom.operators import encoding, split
+from tabloom.plans.train import train_model
 
 from .base import F10, FIT10, duck_hash, query, rd, rounded, rows, table, union
 
@@ -181,3 +183,40 @@ def t2(spark, sf):
 def h5(spark, sf):
     frame = table(spark, sf, "customer")
     return rounded(split.with_fold(frame, "c_custkey", 5, "c_mktsegment").select("c_custkey", "fold"))
+
+
+@query(
+    "e2_sparse_onehot",
+    """WITH f AS (SELECT DISTINCT p_name FROM part WHERE p_partkey % 3 <> 0), c AS (SELECT p_name, row_number() OVER (ORDER BY p_name) - 1 AS code FROM f)
+    SELECT p.p_partkey AS id, c.code AS place, CAST(CASE WHEN c.code IS NULL THEN 0 ELSE 1 END AS BIGINT) AS ones, (SELECT count(*) FROM c) AS size
+    FROM part p LEFT JOIN c ON c.p_name = p.p_name""",
+)
+def e2b(spark, sf):
+    """A one-hot code as a sparse vector; names that were not fitted are all zero."""
+    frame = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), "p_name")
+    coder = encoding.fit_encoder(frame.where("id % 3 <> 0"), "onehot", "p_name", sparse=True)
+    shown = coder.apply(frame).withColumn("v", vector_to_array("p_name_onehot"))
+    place = F.array_position("v", F.lit(1.0)) - 1
+    return shown.select(
+        "id", F.when(place >= 0, place).alias("place"), F.size(F.filter("v", lambda x: x != 0)).cast("long").alias("ones"),
+        F.size("v").cast("long").alias("size"),
+    )
+
+
+@query(
+    "e9_sparse_training",
+    f"""WITH t AS (SELECT p_partkey AS id, p_brand || p_size AS kind, p_retailprice AS y,
+      CASE WHEN {duck_hash('CAST(p_partkey AS VARCHAR)')} < 3435973836.8 THEN 1 ELSE 0 END AS train FROM part),
+    m AS (SELECT kind, avg(y) AS v FROM t WHERE train = 1 GROUP BY kind)
+    SELECT t.id, {rd('coalesce(m.v, 0)', 3)} AS prediction FROM t LEFT JOIN m ON m.kind = t.kind""",
+)
+def e9b(spark, sf):
+    """Least squares on a sparse one-hot column alone: the mean of each category, zero for an unseen one."""
+    frame = table(spark, sf, "part").select(
+        F.col("p_partkey").alias("id"), F.concat("p_brand", "p_size").alias("kind"), F.col("p_retailprice").alias("y")
+    )
+    done = train_model(
+        frame, "id", "linear_regression", "y", parameters={"fit_intercept": False}, scale="standard",
+        encoding=[{"column_name": "kind", "encoding_method": "onehot", "sparse": True}],
+    )
+    return rounded(done.bundle.score(frame).select("id", "prediction"), 3)

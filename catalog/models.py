@@ -463,3 +463,30 @@ def m32b(spark, sf):
     # no broadcast allowed: the pruned cell join answers
     frame = embeddings(spark, sf)
     return rounded(neighbor_join(frame, frame, "vec_id", DIMENSIONS[:3], 3, "manhattan", True, small_values=0))
+
+
+_GAPS = " ".join(f"- 0.5 * ln(2 * pi() * v{i}) - power(x{i} - m{i}, 2) / (2 * v{i})" for i in (1, 2, 3))
+
+
+@query(
+    "m9_many_classes",
+    f"""WITH p AS ({F5}), t AS (SELECT id, x1, x2, y AS x3, id % 1200 AS c FROM p),
+    g AS (SELECT 0.01 * greatest(var_pop(x1), var_pop(x2), var_pop(x3)) AS extra FROM t),
+    k AS (SELECT c, ln(count(*) / (SELECT CAST(count(*) AS DOUBLE) FROM t)) AS prior,
+      {", ".join(f"avg(x{i}) AS m{i}, var_pop(x{i}) + (SELECT extra FROM g) AS v{i}" for i in (1, 2, 3))} FROM t GROUP BY c),
+    s AS (SELECT t.id, k.c, prior {_GAPS} AS l FROM t, k)
+    SELECT id, arg_max(c, l) AS prediction FROM s GROUP BY id""",
+)
+def m9c(spark, sf):
+    """Over a thousand classes: probabilities are one array, names come from a table."""
+    frame = rows(spark, sf, F5).withColumn("c", F.col("id") % 1200)
+    model = bayes.fit_naive_bayes(frame, ["x1", "x2", "y"], "c", var_smoothing=0.01)
+    return rounded(model.predict(frame).select("id", "prediction"))
+
+
+@query("m10_many_classes", f"SELECT id, 'part ' || id AS prediction FROM ({F5}) t")
+def m10c(spark, sf):
+    """As many classes as rows; with one neighbour every row finds its own."""
+    frame = rows(spark, sf, F5).withColumn("name", F.concat(F.lit("part "), "id")).withColumn("x3", F.col("id").cast("double"))
+    model = nearest.fit_nearest(frame, ["x1", "x2", "x3"], "name", "id", n_neighbors=1, weights="distance")
+    return model.predict(frame).select("id", "prediction")

@@ -6,6 +6,8 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
+from pyspark.ml.feature import OneHotEncoder
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,10 +17,12 @@ from ..functions.names import numeric_columns, ref, text_columns
 from ..functions.parsing import clean_number, to_number
 from ..sources.shared import settle
 from .lookup import lookup, rows_table
+from .models.base import sized
 from .ordering import running_totals
 
 LOCAL_CATEGORIES = 10_000
-MAX_ONE_HOT = 1000
+#: Beyond so many categories a one-hot code is one sparse vector column instead of a column for each.
+WIDE_ONE_HOT = 1000
 METHODS = ("label", "onehot", "ordinal", "target", "frequency", "binary", "hash")
 
 
@@ -37,12 +41,18 @@ class Encoder:
     table: DataFrame | None = None
     options: dict[str, object] = field(default_factory=dict)
 
+    @property
+    def sparse(self) -> bool:
+        return self.method == "onehot" and bool(self.options.get("sparse"))
+
     @property
     def bits(self) -> int:
         return max(1, math.ceil(math.log2(self.size))) if self.size > 1 else 1
 
     @property
     def new_columns(self) -> list[str]:
+        if self.sparse:
+            return [f"{self.column}_onehot"]
         if self.method == "onehot":
             return [f"{self.column}_{c}" for c in self.names]
         if self.method == "binary":
@@ -56,10 +66,12 @@ class Encoder:
         text = ref(self.column).cast("string")
         if self.method == "hash":
             return self._swap(df, self._hashed(text))
-        if self.method == "onehot":
+        if self.method == "onehot" and not self.sparse:
             return self._swap(df, self._hot(text))
         probe = df.select(*[ref(c) for c in df.columns], text.alias("category"))
         joined = lookup(probe, self.table, "category", "n", size=self.size)
+        if self.sparse:
+            return self._swap(self._vectors(joined), [sized(F.col("_hot"), self.new_columns[0], self.size)], df.columns)
         return self._swap(joined, self._from_code(), df.columns)
 
     def _swap(self, df: DataFrame, new: list[Column], columns: Sequence[str] | None = None) -> DataFrame:
@@ -84,6 +96,16 @@ class Encoder:
             flags = [F.when(known, f).otherwise(self._unseen(text)) for f in flags]
         return [f.alias(name) for f, name in zip(flags, self.new_columns)]
 
+    def _vectors(self, df: DataFrame) -> DataFrame:
+        """Codes as sparse vectors; null and unseen categories are all zero."""
+        code = F.col("code")
+        if self.options.get("handle_unknown", "ignore") == "error":
+            code = F.when(F.col("category").isNull() | code.isNotNull(), code.cast("double")).otherwise(self._unseen(F.col("category")))
+        # fitted on the last code alone, which says how many there are
+        last = df.sparkSession.createDataFrame([(float(max(self.size - 1, 0)),)], "_at double")
+        coder = OneHotEncoder(inputCols=["_at"], outputCols=["_hot"], handleInvalid="keep", dropLast=True).fit(last)
+        return coder.transform(df.withColumn("_at", F.coalesce(code.cast("double"), F.lit(float(self.size)))))
+
     def _unseen(self, text: Column) -> Column:
         return F.raise_error(F.concat(F.lit(f"unseen category in {self.column}: "), text)).cast("double")
 
@@ -115,11 +137,14 @@ class Encoder:
             raise ValueError(f"{self.method} encoding cannot be inverted")
         used = [column or self.column] if self.method in ("label", "ordinal") else self.new_columns
         rest = [c for c in df.columns if c not in used]
-        if self.method == "onehot":
+        if self.sparse:
+            code = F.array_position(vector_to_array(ref(used[0])), F.lit(1.0)) - 1
+            code = F.when(code >= 0, code)
+        elif self.method == "onehot":
             place = F.array_position(F.array(*[ref(c) for c in used]), F.lit(1.0))
             name = F.when(place > 0, F.element_at(F.array(*[F.lit(c) for c in self.names]), place.cast("int")))
             return df.select(*[ref(c) for c in rest], name.alias(self.column))
-        if self.method == "binary":
+        elif self.method == "binary":
             code = sum(
                 (ref(c).cast("bigint") * (1 << (self.bits - 1 - i)) for i, c in enumerate(used)), F.lit(0)
             )
@@ -156,6 +181,7 @@ def fit_encoder(
     normalize: bool = False,
     n_features: int = 8,
     handle_unknown: str = "ignore",
+    sparse: bool | None = None,
     local_categories: int = LOCAL_CATEGORIES,
 ) -> Encoder:
     if method not in METHODS:
@@ -196,16 +222,12 @@ def fit_encoder(
                 "category", (F.col("upto") - 1).cast("long").alias("code"), "n", "mean"), "categories")
         names = None
         size, total = table.agg(F.count("*"), F.sum("n")).first()
-    if method == "onehot" and (names is None or size > MAX_ONE_HOT):
-        raise ValueError(
-            f"{column} has {size} categories; one-hot allows {MAX_ONE_HOT}, use target, frequency or hash encoding"
-        )
     if method == "target":
         options = {"smoothing": float(smoothing), "global_mean": df.agg(F.avg(goal)).first()[0]}
     elif method == "frequency":
         options = {"normalize": normalize, "total": total}
     elif method == "onehot":
-        options = {"handle_unknown": handle_unknown}
+        options = {"handle_unknown": handle_unknown, "sparse": size > WIDE_ONE_HOT if sparse is None else sparse and size > 0}
     return Encoder(method, column, names, size, table, options)
 
 
@@ -216,6 +238,8 @@ class AutoEncoding:
 
     def apply(self, df: DataFrame) -> DataFrame:
         for e in self.encoders:
+            if e.sparse and e.column not in df.columns:
+                df = df.withColumn(e.column, F.lit(None).cast("string"))  # models need the vector, if only zeros
             if e.column in df.columns:
                 df = e.apply(df)
         return df
@@ -246,7 +270,7 @@ def fit_auto_encoding(
             continue
         if method is None and c not in texts:
             continue
-        options = {k: config[k] for k in ("categories", "smoothing", "normalize", "n_features", "handle_unknown") if k in config}
+        options = {k: config[k] for k in ("categories", "smoothing", "normalize", "n_features", "handle_unknown", "sparse") if k in config}
         try:
             if method == "target" and target is None:
                 raise ValueError("target encoding needs a target column")

@@ -6,12 +6,17 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ...functions.names import ref
 from ..lookup import rows_table
-from .base import MAX_CLASSES, Fitted, require_numeric, with_probabilities
+from .base import Fitted, require_columns, with_probabilities
+
+#: Numbers of means that are written into one expression; models with more are applied as a matrix.
+WRITTEN = 100
 
 
 @dataclass
@@ -29,7 +34,8 @@ class NaiveBayes(Fitted):
         ]
         return rows_table(spark, rows, "class string, prior double, feature string, mean double, variance double")
 
-    def predict(self, df: DataFrame) -> DataFrame:
+    def _log_densities(self) -> Column:
+        """Joint log density of each class, for few numbers as one expression."""
         logs = []
         for i in range(len(self.classes)):
             total = F.lit(math.log(self.priors[i]))
@@ -37,7 +43,31 @@ class NaiveBayes(Fitted):
                 gap = ref(c).cast("double") - F.lit(m)
                 total = total - F.lit(0.5 * math.log(2 * math.pi * v)) - gap * gap / F.lit(2 * v)
             logs.append(total)
-        staged = df.withColumn("_l", F.array(*logs)).withColumn("_m", F.array_max("_l"))
+        return F.array(*logs)
+
+    def _matrix_shares(self) -> Column:
+        """Probabilities for many classes: rows of a batch against all classes, in blocks."""
+        prior, mean, var = np.log(self.priors), np.array(self.means), np.array(self.variances)
+        start = prior - 0.5 * np.log(2 * np.pi * var).sum(axis=1)
+
+        @F.pandas_udf("array<double>")
+        def run(x: pd.Series) -> pd.Series:
+            out = []
+            for begin in range(0, len(x), 64):
+                rows = np.stack([np.asarray(v, float) for v in x.iloc[begin : begin + 64]])
+                total = np.tile(start, (len(rows), 1))
+                for j in range(mean.shape[1]):
+                    total -= (rows[:, j : j + 1] - mean[:, j]) ** 2 / (2 * var[:, j])
+                total = np.exp(total - total.max(axis=1, keepdims=True))
+                out += list(total / total.sum(axis=1, keepdims=True))
+            return pd.Series(out, dtype=object)
+
+        return run(F.array(*[ref(c).cast("double") for c in self.features]))
+
+    def predict(self, df: DataFrame) -> DataFrame:
+        if len(self.classes) * len(self.features) > WRITTEN:
+            return with_probabilities(df, self._matrix_shares(), self.classes)
+        staged = df.withColumn("_l", self._log_densities()).withColumn("_m", F.array_max("_l"))
         weights = F.transform("_l", lambda v: F.exp(v - F.col("_m")))
         staged = staged.withColumn("_w", weights)
         whole = F.aggregate("_w", F.lit(0.0), lambda a, v: a + v)
@@ -46,7 +76,7 @@ class NaiveBayes(Fitted):
 
 
 def fit_naive_bayes(df: DataFrame, features: Sequence[str], label: str, var_smoothing: float = 1e-9) -> NaiveBayes:
-    require_numeric(df, features)
+    require_columns(df, features, "naive Bayes")
     features = list(features)
     kept = df.dropna(subset=[*features, label])
     x = [ref(c).cast("double") for c in features]
@@ -54,10 +84,8 @@ def fit_naive_bayes(df: DataFrame, features: Sequence[str], label: str, var_smoo
     rows = (
         kept.groupBy(ref(label).alias("c"))
         .agg(F.count("*").alias("n"), F.array(*[F.avg(c) for c in x]).alias("m"), F.array(*[F.var_pop(c) for c in x]).alias("v"))
-        .limit(MAX_CLASSES + 1).collect()
+        .collect()  # one row a class, which the model holds anyway
     )
-    if len(rows) > MAX_CLASSES:
-        raise ValueError(f"{label} has more than {MAX_CLASSES} classes")
     rows.sort(key=lambda r: r.c)
     total = sum(r.n for r in rows)
     extra = var_smoothing * (top or 0.0)

@@ -12,7 +12,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ...functions.names import ref
-from .base import Fitted, MlClassifier, assemble, class_code, class_list, require_numeric, right_size
+from .base import (
+    Fitted, MlClassifier, assemble, attach_vector, class_list, fold, is_vector, require_columns, right_size, widths, with_code,
+)
 from .matrices import covariance, dot
 
 
@@ -20,12 +22,16 @@ from .matrices import covariance, dot
 class LinearModel(Fitted):
     coefficients: list[float] = field(default_factory=list)
     intercept: float = 0.0
+    spans: list[int] = field(default_factory=list)
+    model: object = None
 
     def predict(self, df: DataFrame) -> DataFrame:
+        if self.model is not None:  # vector columns
+            return self.model.transform(attach_vector(df, self.features)).select(*[ref(c) for c in df.columns], "prediction")
         return df.withColumn("prediction", dot(self.features, self.coefficients, self.intercept))
 
     def importances(self) -> dict[str, float]:
-        return {c: abs(w) for c, w in zip(self.features, self.coefficients)}
+        return dict(zip(self.features, fold(np.abs(self.coefficients), self.spans or [1] * len(self.features))))
 
 
 def _fit(df, features, label, fit_intercept, **settings) -> LinearModel:
@@ -33,7 +39,11 @@ def _fit(df, features, label, fit_intercept, **settings) -> LinearModel:
     model = LinearRegression(
         featuresCol="_x", labelCol="_y", fitIntercept=fit_intercept, standardization=False, **settings
     ).fit(data)
-    return LinearModel(list(features), coefficients=model.coefficients.toArray().tolist(), intercept=float(model.intercept))
+    spans = widths(df, features)
+    return LinearModel(
+        list(features), coefficients=model.coefficients.toArray().tolist(), intercept=float(model.intercept),
+        spans=spans, model=model if any(is_vector(df, c) for c in features) else None,
+    )
 
 
 def _target_facts(df: DataFrame, features: Sequence[str], label: str) -> tuple[int, float]:
@@ -46,8 +56,8 @@ def fit_linear(
 ) -> LinearModel:
     """Least squares; ``positive`` solves the non-negative problem on the Gram matrix."""
     if not positive:
-        return _fit(df, features, label, fit_intercept, solver=_solver(features), regParam=0.0)
-    require_numeric(df, features)
+        return _fit(df, features, label, fit_intercept, solver=_solver(df, features), regParam=0.0)
+    require_columns(df, features, "a non-negative fit")
     moments = covariance(df.dropna(subset=[*features, label]), [*features, label])
     d = len(features)
     gram, mean = moments.scatter.copy(), moments.mean
@@ -58,9 +68,9 @@ def fit_linear(
     return LinearModel(list(features), coefficients=weights.tolist(), intercept=intercept)
 
 
-def _solver(features: Sequence[str]) -> str:
+def _solver(df: DataFrame, features: Sequence[str]) -> str:
     """The normal equations hold d x d numbers on the driver, and Spark takes them up to 4,096 features."""
-    return "normal" if len(features) <= 4096 else "l-bfgs"
+    return "normal" if sum(widths(df, features)) <= 4096 else "l-bfgs"
 
 
 def non_negative(gram: np.ndarray, target: np.ndarray) -> np.ndarray:
@@ -92,7 +102,7 @@ def non_negative(gram: np.ndarray, target: np.ndarray) -> np.ndarray:
 
 def fit_ridge(df: DataFrame, features: Sequence[str], label: str, alpha: float = 1.0, fit_intercept: bool = True) -> LinearModel:
     n, spread = _target_facts(df, features, label)
-    return _fit(df, features, label, fit_intercept, solver=_solver(features), regParam=alpha * (spread or 1.0) / n)
+    return _fit(df, features, label, fit_intercept, solver=_solver(df, features), regParam=alpha * (spread or 1.0) / n)
 
 
 def fit_lasso(
@@ -129,7 +139,8 @@ def fit_logistic(
         for r in df.dropna(subset=[*features, label]).groupBy(ref(label).alias("c")).agg(F.count("*").alias("n")).collect()
     }
     n = sum(counts.values())
-    code = class_code(ref(label), classes)
+    df = with_code(df, label, classes)
+    code = F.col("_code")
     weight = None
     if class_weight == "balanced":
         shares = F.array(*[F.lit(n / (len(counts) * counts.get(c, 1))) for c in classes])
@@ -144,4 +155,4 @@ def fit_logistic(
     )
     if weight is not None:
         estimator = estimator.setWeightCol("_w")
-    return MlClassifier(list(features), model=estimator.fit(data), classes=classes)
+    return MlClassifier(list(features), model=estimator.fit(data), classes=classes, spans=widths(df, features))

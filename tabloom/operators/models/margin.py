@@ -11,12 +11,16 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.classification import LinearSVC, LogisticRegression
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ...functions.names import ref
 from ...sources.shared import release
-from .base import Fitted, class_code, class_list, class_name, require_numeric, right_size
+from .base import (
+    Fitted, assemble, attach_vector, class_list, feature_array, fold, require_numeric, right_size, widths, with_code,
+    with_probabilities,
+)
 from .neural import SHARD_VALUES, Network, Settings, pack, train
 
 
@@ -62,9 +66,15 @@ def fit_kernel_map(
 ) -> KernelMap:
     if kernel == "sigmoid":
         raise ValueError("the sigmoid kernel has no explicit feature map")
-    d = len(features)
+    d = sum(widths(df, features))
     if gamma == "auto":
         gamma = 1.0 / d
+    elif gamma == "scale" and d > len(features):
+        packed = assemble(df, features).agg(Summarizer.metrics("mean", "variance", "count").summary(F.col("_x")).alias("s")).first().s
+        mean = packed.mean.toArray()
+        var = packed.variance.toArray() * (packed["count"] - 1) / max(packed["count"], 1)
+        whole = float(var.mean() + mean.var())
+        gamma = 1.0 / (d * whole) if whole > 0 else 1.0
     elif gamma == "scale":
         row = df.agg(*[F.avg(ref(c).cast("double")) for c in features], *[F.var_pop(ref(c).cast("double")) for c in features]).first()
         mean, var = np.array(row[:d], dtype=float), np.array(row[d:], dtype=float)
@@ -79,8 +89,8 @@ def fit_kernel_map(
     )
 
 
-def mapped(kernel: KernelMap, features: Sequence[str]) -> Column:
-    x = F.array(*[ref(c).cast("double") for c in features])
+def mapped(df: DataFrame, kernel: KernelMap, features: Sequence[str]) -> Column:
+    x = feature_array(df, features)
     if kernel.kind == "linear":
         return x
 
@@ -91,7 +101,7 @@ def mapped(kernel: KernelMap, features: Sequence[str]) -> Column:
     return run(x)
 
 
-def scored(kernel: KernelMap, features: Sequence[str], weights: np.ndarray, bias: np.ndarray) -> Column:
+def scored(df: DataFrame, kernel: KernelMap, features: Sequence[str], weights: np.ndarray, bias: np.ndarray) -> Column:
     """Array of linear scores in the mapped space, one per column of ``weights``."""
 
     @F.pandas_udf("array<double>")
@@ -100,7 +110,7 @@ def scored(kernel: KernelMap, features: Sequence[str], weights: np.ndarray, bias
             return pd.Series([], dtype=object)
         return pd.Series(list(kernel(np.stack(v.to_numpy()).astype(float)) @ weights + bias))
 
-    return run(F.array(*[ref(c).cast("double") for c in features]))
+    return run(feature_array(df, features))
 
 
 @dataclass
@@ -111,13 +121,14 @@ class MarginClassifier(Fitted):
     slopes: list[float] = field(default_factory=list)
     offsets: list[float] = field(default_factory=list)
     classes: list = field(default_factory=list)
+    spans: list[int] = field(default_factory=list)
 
-    def margins(self) -> Column:
-        return scored(self.kernel, self.features, self.weights, self.bias)
+    def margins(self, df: DataFrame) -> Column:
+        return scored(df, self.kernel, self.features, self.weights, self.bias)
 
     def predict(self, df: DataFrame) -> DataFrame:
         """The class of the largest margin; probabilities from a logistic fit on margins."""
-        staged = df.withColumn("_m", self.margins())
+        staged = df.withColumn("_m", self.margins(df))
         odds = [1 / (1 + F.exp(-(F.col("_m")[i] * a + b))) for i, (a, b) in enumerate(zip(self.slopes, self.offsets))]
         if len(self.classes) == 2:
             best = (F.col("_m")[0] > 0).cast("int")
@@ -126,15 +137,12 @@ class MarginClassifier(Fitted):
             best = F.array_position("_m", F.array_max("_m")) - 1
             total = sum(odds, F.lit(0.0))
             shares = [o / total for o in odds]
-        return staged.select(
-            *[ref(c) for c in df.columns], class_name(best, self.classes).alias("prediction"),
-            *[s.alias(f"probability_{c}") for s, c in zip(shares, self.classes)],
-        )
+        return with_probabilities(staged, F.array(*shares), self.classes, best).drop("_m")
 
     def importances(self) -> dict[str, float] | None:
         if self.kernel.kind != "linear":
             return None
-        return dict(zip(self.features, np.abs(self.weights).mean(axis=1).tolist()))
+        return dict(zip(self.features, fold(np.abs(self.weights).mean(axis=1), self.spans or [1] * len(self.features))))
 
 
 def fit_svm(
@@ -146,9 +154,9 @@ def fit_svm(
     require_numeric(df, features)
     classes = class_list(df, label)
     space = fit_kernel_map(df, features, kernel, gamma, degree, components, random_state)
-    rows = df.dropna(subset=[*features, label]).select(
-        array_to_vector(mapped(space, features)).alias("_x"), class_code(ref(label), classes).alias("_c")
-    ).persist()
+    coded = with_code(df.dropna(subset=[*features, label]), label, classes)
+    x = F.col("_x") if kernel == "linear" else array_to_vector(mapped(coded, space, features)).alias("_x")
+    rows = (attach_vector(coded, features) if kernel == "linear" else coded).select(x, F.col("_code").alias("_c")).persist()
     try:
         n = rows.count()
         sized = right_size(rows, n).persist()
@@ -173,7 +181,7 @@ def fit_svm(
         rows.unpersist()
     return MarginClassifier(
         list(features), {k: f"ignored: {v}" for k, v in ignored.items()}, space, np.stack(weights, axis=1), np.array(bias),
-        slopes, offsets, classes,
+        slopes, offsets, classes, widths(df, features),
     )
 
 
@@ -184,7 +192,7 @@ class MarginRegressor(Fitted):
     bias: float = 0.0
 
     def predict(self, df: DataFrame) -> DataFrame:
-        score = scored(self.kernel, self.features, self.weights[:, None], np.array([self.bias]))
+        score = scored(df, self.kernel, self.features, self.weights[:, None], np.array([self.bias]))
         return df.withColumn("prediction", score[0])
 
 
@@ -197,7 +205,7 @@ def fit_svr(
     require_numeric(df, features)
     space = fit_kernel_map(df, features, kernel, gamma, degree, components, random_state)
     base = df.dropna(subset=[*features, label])
-    packed, shards, count = pack(base, key, mapped(space, features), [ref(label)], space.size, shard_values)
+    packed, shards, count = pack(base, key, mapped(base, space, features), [ref(label)], space.size, shard_values)
     net = Network([space.size, 1], "identity", "epsilon", epsilon)
     s = Settings(rate=learning_rate_init, decay=1.0 / (C * max(count, 1)), max_iter=max_iter, seed=random_state, tol=1e-5)
     try:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ...functions.names import ref
 from ..neighbors import SMALL_VALUES, TILE_ROWS, nearest
-from .base import Fitted, class_code, class_list, class_name, require_numeric
+from .base import WIDE_CLASSES, Fitted, class_list, require_columns, with_code, with_probabilities
 
 
 @dataclass
@@ -25,47 +25,62 @@ class NearestClassifier(Fitted):
     tile_rows: int = TILE_ROWS
 
     def votes(self, df: DataFrame) -> DataFrame:
-        """(key, _code, w) weighted votes of the k nearest training rows."""
+        """(key, _hits): the k nearest training rows of each row as (code, weight), at most k of them."""
         hits = nearest(
             df, self.train, self.key, self.features, self.k, self.metric, carry=["_code"],
             small_values=self.small_values, tile_rows=self.tile_rows,
         )
+        found = hits.groupBy(F.col("left_key").alias(self.key)).agg(
+            F.sort_array(F.collect_list(F.struct("rank", "distance", "_code"))).alias("_near")
+        )
+        weight = lambda h: F.lit(1.0)
         if self.weights == "distance":
             # a neighbour at distance zero outweighs all others
-            zero = hits.groupBy("left_key").agg(F.count_if(F.col("distance") == 0).alias("_zeros"))
-            hits = hits.join(zero, "left_key").withColumn(
-                "w",
-                F.when(F.col("_zeros") > 0, (F.col("distance") == 0).cast("double")).otherwise(1 / F.nullif(F.col("distance"), F.lit(0.0))),
+            zero = F.exists("_near", lambda h: h["distance"] == 0)
+            weight = lambda h: F.when(zero, (h["distance"] == 0).cast("double")).otherwise(
+                1 / F.nullif(h["distance"], F.lit(0.0))
             )
-        else:
-            hits = hits.withColumn("w", F.lit(1.0))
-        return hits.groupBy(F.col("left_key").alias(self.key), "_code").agg(F.sum("w").alias("w"))
+        return found.select(
+            ref(self.key), F.transform("_near", lambda h: F.struct(h["_code"].alias("code"), weight(h).alias("w"))).alias("_hits")
+        )
 
     def predict(self, df: DataFrame) -> DataFrame:
-        """Appends prediction and probabilities; ties go to the lower class."""
-        total = F.sum("w")
-        per = self.votes(df).groupBy(ref(self.key)).agg(
-            F.max_by("_code", F.struct(F.col("w"), -F.col("_code"))).alias("_best"),
-            *[
-                (F.sum(F.when(F.col("_code") == i, F.col("w")).otherwise(0.0)) / total).alias(f"probability_{c}")
-                for i, c in enumerate(self.classes)
-            ],
+        """Appends prediction and probabilities; ties go to the lower class, rows with gaps get none."""
+        codes = F.array_distinct(F.transform("_hits", lambda h: h["code"]))
+        total = F.aggregate("_hits", F.lit(0.0), lambda a, h: a + h["w"])
+        per = self.votes(df).withColumn("_total", total).withColumn("_sums", F.transform(
+            codes,
+            lambda c: F.struct(
+                F.aggregate("_hits", F.lit(0.0), lambda a, h: a + F.when(h["code"] == c, h["w"]).otherwise(0.0)).alias("w"),
+                (-c).alias("low"),
+            ),
+        )).select(
+            ref(self.key), (-F.array_max("_sums")["low"]).alias("_best"),
+            F.map_from_entries(F.transform("_sums", lambda s: F.struct((-s["low"]).cast("int"), s["w"] / F.col("_total")))).alias("_shares"),
         )
-        return df.join(per, self.key).select(
-            *[ref(c) for c in df.columns], class_name(F.col("_best"), self.classes).alias("prediction"),
-            *[ref(f"probability_{c}") for c in self.classes],
+        joined = df.join(per, self.key, "left")
+        shares = F.when(F.col("_shares").isNotNull(), F.transform(
+            F.sequence(F.lit(0), F.lit(len(self.classes) - 1)), lambda i: F.coalesce(F.try_element_at("_shares", i), F.lit(0.0))
+        ))
+        best = F.when(F.col("_shares").isNotNull(), F.col("_best"))
+        return with_probabilities(joined, shares, self.classes, best).select(
+            *[ref(c) for c in df.columns], "prediction", *self._shown()
         )
 
+    def _shown(self) -> list:
+        wide = len(self.classes) > WIDE_CLASSES
+        return [F.col("probabilities")] if wide else [ref(f"probability_{c}") for c in self.classes]
+
 
 def fit_nearest(
     df: DataFrame, features: Sequence[str], label: str, key: str, n_neighbors: int = 5, weights: str = "uniform",
     metric: str = "minkowski", p: float = 2, small_values: int = SMALL_VALUES, tile_rows: int = TILE_ROWS, **ignored,
 ) -> NearestClassifier:
-    require_numeric(df, features)
+    require_columns(df, features, "neighbour voting")
     if metric == "minkowski":
         metric = {1: "manhattan", 2: "euclidean"}.get(p, f"minkowski:{p}")
     classes = class_list(df, label)
-    train = df.select(ref(key), *[ref(c) for c in features], class_code(ref(label), classes).alias("_code"))
+    train = with_code(df, label, classes).select(ref(key), *[ref(c) for c in features], "_code")
     return NearestClassifier(
         list(features), {k: f"ignored: {v}" for k, v in ignored.items()}, train, key, classes, n_neighbors, weights,
         metric, small_values, tile_rows,

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from ...functions.hashing import hash_bucket
 from ...functions.names import ref
 from ...sources.shared import release, settle
-from .base import Fitted, class_code, class_list, require_numeric, with_probabilities
+from .base import Fitted, class_list, feature_array, require_numeric, widths, with_code, with_probabilities
 
 SHARDS = 8
 SHARD_VALUES = 4_000_000
@@ -257,7 +257,7 @@ class NetworkFit(Fitted):
                 return pd.Series([], dtype=object)
             return pd.Series(list(net.outputs(w, np.stack(x.to_numpy()).astype(float))[-1]))
 
-        return run(F.array(*[ref(c).cast("double") for c in self.features]))
+        return run(feature_array(df, self.features))
 
     def predict(self, df: DataFrame) -> DataFrame:
         if self.classes is not None:
@@ -267,8 +267,8 @@ class NetworkFit(Fitted):
 
 def _fit(df, features, target, key, net, s, shard_values):
     require_numeric(df, features)
-    x = F.array(*[ref(c).cast("double") for c in features])
-    packed, shards, _ = pack(df, key, x, [target], len(features), shard_values)
+    x = feature_array(df, features)
+    packed, shards, _ = pack(df, key, x, [target], sum(widths(df, features)), shard_values)
     try:
         return train(packed, shards, net, s)
     finally:
@@ -292,9 +292,10 @@ def fit_mlp_classifier(
     shard_values: int = SHARD_VALUES,
 ) -> NetworkFit:
     classes = class_list(df, label)
-    net = Network([len(features), *hidden_layer_sizes, len(classes)], activation, "softmax")
+    net = Network([sum(widths(df, features)), *hidden_layer_sizes, len(classes)], activation, "softmax")
     s, notes = _settings(solver, learning_rate_init, learning_rate, alpha, max_iter, random_state, tol)
-    weights, curve = _fit(df, features, class_code(ref(label), classes), key, net, s, shard_values)
+    coded = with_code(df, label, classes)
+    weights, curve = _fit(coded, features, F.col("_code"), key, net, s, shard_values)
     return NetworkFit(list(features), notes, net, weights, classes=classes, loss_curve=curve)
 
 
@@ -304,7 +305,7 @@ def fit_mlp_regressor(
     learning_rate_init: float = 0.001, max_iter: int = 200, random_state: int = 42, tol: float = 1e-4,
     shard_values: int = SHARD_VALUES,
 ) -> NetworkFit:
-    net = Network([len(features), *hidden_layer_sizes, 1], activation, "squared")
+    net = Network([sum(widths(df, features)), *hidden_layer_sizes, 1], activation, "squared")
     s, notes = _settings(solver, learning_rate_init, learning_rate, alpha, max_iter, random_state, tol)
     weights, curve = _fit(df, features, ref(label), key, net, s, shard_values)
     return NetworkFit(list(features), notes, net, weights, loss_curve=curve)

@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 
 from ...functions.names import ref, text_columns
 from ..encoding import Encoder, fit_encoder
-from .base import Fitted, MlClassifier, MlRegressor, RestClassifier, assemble, class_code, class_list, right_size
+from .base import Fitted, MlClassifier, MlRegressor, RestClassifier, assemble, class_list, right_size, widths, with_code
 
+#: Fixed value: the deepest tree that pyspark.ml grows.
 DEEPEST = 30
 
 
@@ -22,6 +23,14 @@ def _depth(value: int | None) -> int:
     return DEEPEST if value is None or value < 0 else min(value, DEEPEST)
 
 
+def _depth_note(value: int | None, options: dict) -> dict[str, str]:
+    """Notes on ignored options and on a depth that is cut."""
+    notes = _notes(options)
+    if value is not None and value > DEEPEST:
+        notes["max_depth"] = f"{DEEPEST} instead of {value}"
+    return notes
+
+
 def _subset(value) -> str:
     if value in (None, "all", 1.0):
         return "all"
@@ -41,8 +50,8 @@ def fit_tree_classifier(
     model = DecisionTreeClassifier(
         featuresCol="_x", labelCol="_y", impurity=criterion, maxDepth=_depth(max_depth),
         minInstancesPerNode=min_samples_leaf, maxBins=max_bins, seed=random_state,
-    ).fit(assemble(df, features, class_code(ref(label), classes)))
-    return MlClassifier(list(features), _notes(ignored), model, classes)
+    ).fit(assemble(with_code(df, label, classes), features, F.col("_code"), classes=len(classes)))
+    return MlClassifier(list(features), _depth_note(max_depth, ignored), model, classes, widths(df, features))
 
 
 def fit_forest_classifier(
@@ -55,8 +64,8 @@ def fit_forest_classifier(
         featuresCol="_x", labelCol="_y", numTrees=n_estimators, impurity=criterion, maxDepth=_depth(max_depth),
         featureSubsetStrategy=_subset(max_features), minInstancesPerNode=min_samples_leaf, bootstrap=bootstrap,
         maxBins=max_bins, seed=random_state,
-    ).fit(assemble(df, features, class_code(ref(label), classes)))
-    return MlClassifier(list(features), _notes(ignored), model, classes)
+    ).fit(assemble(with_code(df, label, classes), features, F.col("_code"), classes=len(classes)))
+    return MlClassifier(list(features), _depth_note(max_depth, ignored), model, classes, widths(df, features))
 
 
 def fit_boosting_classifier(
@@ -66,23 +75,22 @@ def fit_boosting_classifier(
 ) -> MlClassifier | RestClassifier:
     """Two classes boost once; more classes boost one-versus-rest."""
     classes = class_list(df, label)
-    code = class_code(ref(label), classes)
     base = GBTClassifier(
         featuresCol="_x", labelCol="_y", maxIter=n_estimators, stepSize=learning_rate, maxDepth=_depth(max_depth),
         subsamplingRate=subsample, minInstancesPerNode=min_samples_leaf, featureSubsetStrategy=_subset(max_features),
         minInfoGain=min_gain, maxBins=max_bins, seed=random_state,
     )
-    whole = assemble(df, features, code).persist()
+    whole = assemble(with_code(df, label, classes), features, F.col("_code")).persist()
     try:
         data = right_size(whole, whole.count())
         if len(classes) <= 2:
-            return MlClassifier(list(features), _notes(ignored), base.fit(data), classes)
+            return MlClassifier(list(features), _depth_note(max_depth, ignored), base.fit(data), classes, widths(df, features))
         models = [
             base.fit(data.withColumn("_y", (F.col("_y") == i).cast("double"))) for i in range(len(classes))
         ]
     finally:
         whole.unpersist()
-    return RestClassifier(list(features), _notes(ignored), models, classes)
+    return RestClassifier(list(features), _depth_note(max_depth, ignored), models, classes, widths(df, features))
 
 
 def fit_tree_regressor(
@@ -93,7 +101,7 @@ def fit_tree_regressor(
         featuresCol="_x", labelCol="_y", maxDepth=_depth(max_depth), minInstancesPerNode=min_samples_leaf,
         maxBins=max_bins, seed=random_state,
     ).fit(assemble(df, features, ref(label)))
-    return MlRegressor(list(features), _notes(ignored), model)
+    return MlRegressor(list(features), _depth_note(max_depth, ignored), model, widths(df, features))
 
 
 def fit_forest_regressor(
@@ -106,7 +114,7 @@ def fit_forest_regressor(
         featureSubsetStrategy=_subset(max_features), minInstancesPerNode=min_samples_leaf, bootstrap=bootstrap,
         maxBins=max_bins, seed=random_state,
     ).fit(assemble(df, features, ref(label)))
-    return MlRegressor(list(features), _notes(ignored), model)
+    return MlRegressor(list(features), _depth_note(max_depth, ignored), model, widths(df, features))
 
 
 def fit_boosting_regressor(
@@ -119,7 +127,7 @@ def fit_boosting_regressor(
         subsamplingRate=subsample, minInstancesPerNode=min_samples_leaf, featureSubsetStrategy=_subset(max_features),
         minInfoGain=min_gain, maxBins=max_bins, seed=random_state,
     ).fit(assemble(df, features, ref(label)))
-    return MlRegressor(list(features), _notes(ignored), model)
+    return MlRegressor(list(features), _depth_note(max_depth, ignored), model, widths(df, features))
 
 
 def xgboost_preset(
@@ -190,7 +198,7 @@ def fit_lightgbm_classifier(df, features, label, random_state: int = 42, **optio
 def fit_catboost_classifier(df, features, label, random_state: int = 42, **options):
     """Text features are target-encoded against the class code before boosting."""
     classes = class_list(df, label)
-    coded = df.withColumn("_code", class_code(ref(label), classes))
+    coded = with_code(df, label, classes)
     encoders = [fit_encoder(coded, "target", c, "_code", smoothing=1.0) for c in text_columns(df, features)]
     for e in encoders:
         coded = e.apply(coded)

@@ -14,6 +14,7 @@ from .construct import Products
 from .dates import to_epoch
 from .encoding import AutoEncoding, Encoder
 from .missing import Filler
+from .models.base import is_vector
 from .outliers import Treatment
 from .profiling import validate_input
 from .scaling import Scaler
@@ -85,10 +86,14 @@ class Preparation:
 
 
 def align(df: DataFrame, features: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
-    """Training columns in training order; absent columns and leftover nulls are 0, others are dropped."""
+    """Training columns in training order; absent columns and leftover nulls are 0, others are dropped.
+
+    Vector columns pass as they are; their encoder gives zeros where there is nothing.
+    """
     present = set(df.columns)
     out = [
-        F.coalesce(clean_number(ref(c)), F.lit(0.0)).alias(c) if c in present else F.lit(0.0).alias(c)
+        F.lit(0.0).alias(c) if c not in present else ref(c) if is_vector(df, c)
+        else F.coalesce(clean_number(ref(c)), F.lit(0.0)).alias(c)
         for c in features
     ]
     return df.select(*[ref(c) for c in keep], *out)
