@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tabloom.operators import encoding, split
 from tabloom.plans.train import train_model
 
-from .base import F10, FIT10, duck_hash, query, rd, rounded, rows, table, union
+from .base import F1, F10, FIT10, duck_hash, query, rd, rounded, rows, table, union
 
 BRANDS = "SELECT brand, row_number() OVER (ORDER BY brand) - 1 AS code, count(*) AS n, avg(y) AS m FROM f GROUP BY brand"
 WITH = f"WITH f AS ({FIT10}), a AS ({F10}), c AS ({BRANDS})"
@@ -220,3 +220,16 @@ def e9b(spark, sf):
         encoding=[{"column_name": "kind", "encoding_method": "onehot", "sparse": True}],
     )
     return rounded(done.bundle.score(frame).select("id", "prediction"), 3)
+
+
+@query(
+    "m7_ordered_statistics",
+    f"""WITH t AS ({F1}), w AS (SELECT id, priority, y, count(*) OVER o AS n, sum(y) OVER o AS s FROM t WHERE priority IS NOT NULL
+      WINDOW o AS (PARTITION BY priority ORDER BY {duck_hash('id')}, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+    SELECT t.id, {rd('coalesce((coalesce(w.s, 0) + g.m) / (w.n + 1), g.m)', 3)} AS priority
+    FROM t LEFT JOIN w ON w.id = t.id, (SELECT avg(y) AS m FROM t) g""",
+)
+def m7b(spark, sf):
+    """The target mean of the rows before each one, in a hashed order within its category."""
+    frame = rows(spark, sf, F1).select("id", "priority", "y")
+    return rounded(encoding.ordered_target(frame, "priority", "y", "id").select("id", "priority"), 3)

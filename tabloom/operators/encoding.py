@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.hashing import hash_feature
+from ..functions.hashing import hash_feature, seeded_hash
 from ..functions.names import numeric_columns, ref, text_columns
 from ..functions.parsing import clean_number, to_number
 from ..sources.shared import settle
@@ -231,6 +231,34 @@ def fit_encoder(
     return Encoder(method, column, names, size, table, options)
 
 
+def ordered_target(
+    df: DataFrame, column: str, target: str, key: str | None = None, smoothing: float = 1.0, seed: int = 42
+) -> DataFrame:
+    """Replace a category by the smoothed target mean of the rows before it in a hashed order.
+
+    No row sees its own target, so the code of a rare category does not give its target away. The order is
+    that of the key's hash, or of the whole row's where there is no key; rows that are equal in it share
+    what came before them. Null categories and first rows get the overall mean. Sums run over range
+    partitions, so a category with most of the rows is spread like any other.
+    """
+    place = seeded_hash(ref(key), seed) if key else F.xxhash64(F.lit(seed), *[ref(c) for c in df.columns])
+    tie = ref(key) if key else F.lit(0)
+    rows = df.select(*[ref(c) for c in df.columns], ref(column).cast("string").alias("_cat"), place.alias("_at"), tie.alias("_tie"))
+    known = rows.where(F.col("_cat").isNotNull())
+    steps = known.groupBy("_cat", "_at", "_tie").agg(
+        F.count(ref(target)).alias("_n"), F.coalesce(F.sum(ref(target).cast("double")), F.lit(0.0)).alias("_y")
+    )
+    mean = df.agg(F.avg(ref(target).cast("double"))).first()[0]
+    overall = F.lit(0.0 if mean is None else float(mean))
+    upto = running_totals(settle(steps, "ordered"), ["_at", "_tie"], {"_rows": "_n", "_sum": "_y"}, by=["_cat"])
+    before = upto.select(
+        "_cat", "_at", "_tie",
+        ((F.col("_sum") - F.col("_y") + F.lit(smoothing) * overall) / (F.col("_rows") - F.col("_n") + F.lit(smoothing))).alias("_ordered"),
+    )
+    joined = rows.join(before, ["_cat", "_at", "_tie"], "left")
+    return joined.select(*[F.coalesce("_ordered", overall).alias(c) if c == column else ref(c) for c in df.columns])
+
+
 @dataclass
 class AutoEncoding:
     encoders: list[Encoder]

@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ...functions.names import ref, text_columns
-from ..encoding import Encoder, fit_encoder
+from ...sources.shared import settle
+from ..encoding import Encoder, fit_encoder, ordered_target
 from .base import Fitted, MlClassifier, MlRegressor, RestClassifier, assemble, class_list, right_size, widths, with_code
 
 #: Fixed value: the deepest tree that pyspark.ml grows.
@@ -195,14 +196,18 @@ def fit_lightgbm_classifier(df, features, label, random_state: int = 42, **optio
     return fit_boosting_classifier(df, features, label, random_state=random_state, **lightgbm_preset(**options))
 
 
-def fit_catboost_classifier(df, features, label, random_state: int = 42, **options):
-    """Text features are target-encoded against the class code before boosting."""
+def fit_catboost_classifier(df, features, label, key: str | None = None, random_state: int = 42, **options):
+    """Text features become ordered target statistics of the class code before boosting.
+
+    A fitted row is coded by the rows before it in a hashed order, a new row by all fitted rows.
+    """
     classes = class_list(df, label)
-    coded = with_code(df, label, classes)
-    encoders = [fit_encoder(coded, "target", c, "_code", smoothing=1.0) for c in text_columns(df, features)]
-    for e in encoders:
-        coded = e.apply(coded)
-    inner = fit_boosting_classifier(coded, features, label, random_state=random_state, **catboost_preset(**options))
+    coded = with_code(df, label, classes).where(F.col("_code").isNotNull())
+    texts = text_columns(df, features)
+    encoders = [fit_encoder(coded, "target", c, "_code", smoothing=1.0) for c in texts]
+    for i, c in enumerate(texts):
+        coded = settle(ordered_target(coded, c, "_code", key, 1.0, random_state + i), "ordered")
+    inner = fit_boosting_classifier(coded.drop("_code"), features, label, random_state=random_state, **catboost_preset(**options))
     return EncodedFit(list(features), inner.notes, inner, encoders)
 
 

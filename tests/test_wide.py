@@ -173,3 +173,23 @@ def test_a_cut_depth_is_noted(spark):
     assert fit_tree_regressor(df, ["a"], "b", max_depth=DEEPEST).notes == {}
     assert fit_tree_regressor(df, ["a"], "b", max_depth=49).notes == {"max_depth": "30 instead of 49"}
     assert "max_depth" in fit_named("random_forest_classifier", df, ["a"], "c", "id", n_estimators=1, max_depth=31).notes
+
+
+def test_ordered_statistics_hide_the_own_target(spark):
+    from tabloom.operators.encoding import ordered_target
+
+    df = spark.range(300).select(
+        "id", F.when(F.col("id") % 50 == 9, None).otherwise(F.concat(F.lit("k"), F.col("id") % 3)).alias("kind"),
+        (F.col("id") * 7 % 11).cast("double").alias("y"),
+    )
+    mean = df.agg(F.avg("y")).first()[0]
+    coded = {r.id: r.kind for r in ordered_target(df, "kind", "y", "id").collect()}
+    changed = {r.id: r.kind for r in ordered_target(df.withColumn("y", F.col("y") + F.when(F.col("id") == 5, 0.0).otherwise(0.0)), "kind", "y", "id").collect()}
+    assert coded == changed and len(coded) == 300
+    assert all(coded[i] == pytest.approx(mean) for i in range(9, 300, 50))
+    firsts = [c for i, c in coded.items() if i % 50 != 9 and c == pytest.approx(mean)]
+    assert len(firsts) >= 3  # the first row of each category has nothing before it
+    alone = spark.createDataFrame([(i, f"c{i}", float(i)) for i in range(20)], "id long, kind string, y double")
+    assert {r.kind for r in ordered_target(alone, "kind", "y", "id").collect()} == {9.5}  # plain means would give y away
+    assert ordered_target(alone.unionAll(alone), "kind", "y").count() == 40
+    assert ordered_target(alone.where("false"), "kind", "y", "id").count() == 0
