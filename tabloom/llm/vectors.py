@@ -123,6 +123,8 @@ def _matrix(values: list[bytes], kind: str) -> np.ndarray:
 
 
 def unit_rows(x: np.ndarray) -> np.ndarray:
+    """Rows of length one; scaled first, since squares of very small or large numbers leave the range."""
+    x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.sqrt((x**2).sum(axis=1, keepdims=True))
 
 
@@ -235,31 +237,11 @@ def tile_links(index: Index, members: pd.DataFrame, visitors: pd.DataFrame, cosi
     })
 
 
-def near_vectors(df: DataFrame, cosine: float = 0.95, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """(key, n_links, component_id, kept) of every row.
-
-    Two vectors are linked when their cosine, in double precision, is at least
-    ``cosine``. ``n_links`` counts the other rows linked directly, ``component_id`` is
-    the smallest key reachable and ``kept`` marks it. A vector that is null, empty, all
-    zeros, or holds a null or a number that is not finite is linked with nothing, and so
-    is one whose length is not the most frequent one, and a row with a null key; each is
-    its own component and kept. Repeated rows are vectors of their own. Other columns
-    are ignored; an empty table gives an empty result.
-    """
-    kind = "f4" if isinstance(df.schema[vector].dataType.elementType, T.FloatType) else "f8"
-    spark = df.sparkSession
-    rows = settle(
-        _nodes(df, key, vector, kind).withColumn("size", F.length("raw"))
-        .withColumn("node", F.when(F.col(key).isNotNull(), F.unhex(F.sha2("raw", 256)))), "vectors",
-    )
-    sizes = rows.where("node IS NOT NULL").groupBy("size").count().orderBy(F.desc("count"), "size").first()
-    if sizes is None:
-        return rows.select(
-            key, F.lit(0).cast("long").alias("n_links"), F.col(key).alias("component_id"), F.lit(True).alias("kept")
-        )
-    fit = F.col("node").isNotNull() & (F.col("size") == sizes[0])
+def _of_one_length(rows: DataFrame, key: str, kind: str, cosine: float) -> DataFrame:
+    """(node, n_links, component_id) of the distinct vectors of rows (key, raw, node) that all have one length."""
+    spark = rows.sparkSession
     nodes = settle(
-        rows.where(fit).groupBy("node").agg(
+        rows.groupBy("node").agg(
             F.first("raw").alias("raw"), F.count("*").alias("n"), F.min(key).alias("first_key")
         ), "nodes",
     )
@@ -302,11 +284,38 @@ def near_vectors(df: DataFrame, cosine: float = 0.95, key: str = "vec_id", vecto
         .join(roots, "node", "left")
     )
     lowest = labelled.where("root IS NOT NULL").groupBy("root").agg(F.min("first_key").alias("lowest"))
-    of_node = labelled.join(lowest, "root", "left").select(
+    return labelled.join(lowest, "root", "left").select(
         "node", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"),
         F.coalesce("lowest", "first_key").alias("component_id"),
     )
-    out = rows.select(key, F.when(fit, F.col("node")).alias("node")).join(of_node, "node", "left").select(
+
+
+def near_vectors(df: DataFrame, cosine: float = 0.95, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """(key, n_links, component_id, kept) of every row.
+
+    Two vectors are linked when their cosine, in double precision, is at least
+    ``cosine``. ``n_links`` counts the other rows linked directly, ``component_id`` is
+    the smallest key reachable and ``kept`` marks it. A vector that is null, empty, all
+    zeros, or holds a null or a number that is not finite is linked with nothing, and so
+    is a row with a null key; each is its own component and kept. Vectors of different
+    lengths are not linked; each length is searched by itself. Repeated rows are vectors of their own. Other columns
+    are ignored; an empty table gives an empty result.
+    """
+    kind = "f4" if isinstance(df.schema[vector].dataType.elementType, T.FloatType) else "f8"
+    rows = settle(
+        _nodes(df, key, vector, kind).withColumn("size", F.length("raw"))
+        .withColumn("node", F.when(F.col(key).isNotNull(), F.unhex(F.sha2("raw", 256)))), "vectors",
+    )
+    known = rows.where("node IS NOT NULL")
+    of_node = None
+    for found in known.select("size").distinct().orderBy("size").collect():  # lengths, of which there are few
+        part = _of_one_length(known.where(F.col("size") == found["size"]), key, kind, cosine)
+        of_node = part if of_node is None else of_node.unionByName(part)
+    if of_node is None:
+        return rows.select(
+            key, F.lit(0).cast("long").alias("n_links"), F.col(key).alias("component_id"), F.lit(True).alias("kept")
+        )
+    out = rows.select(key, "node").join(of_node, "node", "left").select(
         key, F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
         F.coalesce("component_id", F.col(key)).alias("component_id"),
     )

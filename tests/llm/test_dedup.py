@@ -151,3 +151,14 @@ def test_shingles(width):
     assert len(shingle_set("x y", width)) == (2 if width == 1 else 1)
     assert len(shingle_set(" \n", width)) == 0
     assert shingle_set("AB cd", width).tolist() == shingle_set("ab CD", width).tolist()
+
+
+def test_tiny_huge_and_other_lengths(spark):
+    """Numbers whose squares leave the range, and vectors of several lengths, link like any other."""
+    r = np.random.default_rng(4)
+    base = r.normal(size=(40, 8))
+    rows = [(i, v.tolist()) for i, v in enumerate(base)] + [(100 + i, (v * s).tolist()) for i, (v, s) in enumerate(zip(base, [1e-200, 1e200, 3.0]))]
+    rows += [(200, [1.0, 2.0]), (201, [2.0, 4.0]), (202, [1.0, -2.0]), (203, [5.0])]
+    got = {x.vec_id: x for x in vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert len(got) == len(rows) and [got[100 + i].component_id for i in range(3)] == [0, 1, 2]
+    assert (got[200].n_links, got[201].component_id, got[201].kept, got[202].n_links, got[203].kept) == (1, 200, False, 0, True)
