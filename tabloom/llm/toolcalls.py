@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import json
 import math
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -53,8 +54,21 @@ def canonical(value: object) -> str:
     return json.dumps(plain(value), sort_keys=True, separators=(",", ":"), ensure_ascii=False)
 
 
+def same(a: object, b: object) -> bool:
+    """Equal as JSON: true is not 1."""
+    return canonical(a) == canonical(b)
+
+
+#: Words of the schema language that are looked at; others are reported as not checked.
+CHECKED = {
+    "type", "enum", "const", "anyOf", "oneOf", "minimum", "maximum", "exclusiveMinimum", "exclusiveMaximum", "minLength", "maxLength",
+    "minItems", "maxItems", "pattern", "uniqueItems", "properties", "required", "additionalProperties", "items",
+    "title", "description", "default", "examples", "format", "$schema", "$id", "$comment",
+}
+
+
 def faults(value: object, schema: dict, path: str = "$") -> list[str]:
-    """Where a value breaks a schema (type, enum, required, properties, additionalProperties, items, bounds)."""
+    """Where a value breaks a schema, and which words of the schema are not checked (see ``CHECKED``)."""
     out: list[str] = []
     kind = schema.get("type")
     if kind is not None:
@@ -66,13 +80,36 @@ def faults(value: object, schema: dict, path: str = "$") -> list[str]:
         ]
         if not any(fits):
             return [f"{path}: not {'/'.join(map(str, kinds))}"]
-    if "enum" in schema and value not in schema["enum"]:
+    if "enum" in schema and not any(same(value, e) for e in schema["enum"]):
         out.append(f"{path}: not in enum")
+    if "const" in schema and not same(value, schema["const"]):
+        out.append(f"{path}: not the constant")
+    for word, least, most in (("anyOf", 1, None), ("oneOf", 1, 1)):
+        if word in schema:
+            n = sum(not faults(value, s, path) for s in schema[word])
+            if n < least or most is not None and n > most:
+                out.append(f"{path}: {n} of {word} fit")
+    out += [f"{path}: {word} not checked" for word in sorted(schema.keys() - CHECKED)]
     if isinstance(value, (int, float)) and not isinstance(value, bool):
         if "minimum" in schema and value < schema["minimum"]:
             out.append(f"{path}: below minimum")
         if "maximum" in schema and value > schema["maximum"]:
             out.append(f"{path}: above maximum")
+        if "exclusiveMinimum" in schema and value <= schema["exclusiveMinimum"]:
+            out.append(f"{path}: below minimum")
+        if "exclusiveMaximum" in schema and value >= schema["exclusiveMaximum"]:
+            out.append(f"{path}: above maximum")
+    size = len(value) if isinstance(value, (str, list)) else None
+    if size is not None:
+        low, high = ("minLength", "maxLength") if isinstance(value, str) else ("minItems", "maxItems")
+        if size < schema.get(low, 0):
+            out.append(f"{path}: shorter than {low}")
+        if size > schema.get(high, size):
+            out.append(f"{path}: longer than {high}")
+    if isinstance(value, str) and "pattern" in schema and not re.search(schema["pattern"], value):
+        out.append(f"{path}: does not match the pattern")
+    if isinstance(value, list) and schema.get("uniqueItems") and len({canonical(v) for v in value}) < len(value):
+        out.append(f"{path}: repeated items")
     if isinstance(value, dict):
         known = schema.get("properties") or {}
         out += [f"{path}.{k}: missing" for k in schema.get("required") or () if k not in value]
@@ -87,14 +124,21 @@ def faults(value: object, schema: dict, path: str = "$") -> list[str]:
     return out
 
 
+def loaded(text: str) -> object:
+    """The JSON of a text, or None where there is none that can be written again: lone surrogates, nesting too deep."""
+    try:
+        found = json.loads(text)
+        canonical(found).encode("utf-8")
+    except (ValueError, RecursionError):  # an encoding error is a ValueError
+        return None
+    return found
+
+
 def parse_turn(role: str | None, text: str | None) -> tuple[dict | None, dict | None]:
     """The object of a turn's text, as one with calls or as a result; a text that is no such JSON is neither."""
     if not text or "{" not in text or '"tool_call' not in text:
         return None, None
-    try:
-        found = json.loads(text)
-    except ValueError:
-        return None, None
+    found = loaded(text)
     if not isinstance(found, dict):
         return None, None
     if role == "tool":
@@ -103,16 +147,24 @@ def parse_turn(role: str | None, text: str | None) -> tuple[dict | None, dict |
     return found if isinstance(calls, list) and any(isinstance(c, dict) for c in calls) else None, None
 
 
+def call_body(call: dict) -> dict:
+    """Where name and arguments stand: in the call, or in its ``function`` object."""
+    inner = call.get("function")
+    return inner if isinstance(inner, dict) and "name" not in call else call
+
+
 def check_call(call: dict, schemas: dict[str, dict] | None) -> tuple[str | None, str, str, str]:
     """(id, name, canonical arguments, faults joined by '; ') of a call."""
-    arguments = call.get("arguments")
+    body = call_body(call)
+    arguments = body.get("arguments")
     wrong: list[str] = []
     if isinstance(arguments, str):
-        try:
-            arguments = json.loads(arguments)
-        except ValueError:
+        found = loaded(arguments)
+        if found is None and arguments.strip() != "null":
             wrong.append("$: not JSON")
-    name = call.get("name") if isinstance(call.get("name"), str) else ""
+        else:
+            arguments = found
+    name = body.get("name") if isinstance(body.get("name"), str) else ""
     if schemas is not None and not wrong:
         wrong += faults(arguments, schemas[name]) if name in schemas else ["unknown tool"]
     identifier = call.get("id") if isinstance(call.get("id"), str) else None
@@ -131,8 +183,10 @@ def message_json(role: str, text: str, calling: dict | None, checked: list[tuple
         made, done = [], iter(checked)
         for c in calling["tool_calls"]:
             if isinstance(c, dict):
-                fields = {k: canonical(v) for k, v in {"id": None, "name": "", **c}.items()}
-                made.append(_object(fields | {"arguments": next(done)[2]}))
+                body = call_body(c)
+                inner = {k: canonical(v) for k, v in {"name": "", **body}.items()} | {"arguments": next(done)[2]}
+                outer = {"id": canonical(None)} | {k: canonical(v) for k, v in c.items()}
+                made.append(_object(outer | ({"function": _object(inner)} if body is not c else inner)))
             else:
                 made.append(canonical(c))
         fields = {k: canonical(v) for k, v in calling.items()}

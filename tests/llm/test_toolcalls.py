@@ -111,3 +111,35 @@ def test_canonical(value, text):
 ])
 def test_schemas(value, schema, n):
     assert len(faults(value, schema)) == n
+
+
+def test_json_that_cannot_be_written_again_stays_text():
+    deep = '{"tool_calls":[{"a":' + "[" * 5_000 + "]" * 5_000 + "}]}"
+    for text in (deep, '{"tool_calls":[{"id":"\\ud800"}]}', '{"tool_calls":'):
+        assert toolcalls.parse_turn("assistant", text) == (None, None)
+    assert toolcalls.parse_turn("tool", '{"tool_call_id":"\\udfff"}') == (None, None)
+    call = {"id": "c", "name": "f", "arguments": "[" * 5_000 + "]" * 5_000}
+    assert toolcalls.check_call(call, None)[3] == "$: not JSON"
+
+
+def test_odd_json_runs_through_spark(spark):
+    long = "x" * 200_000
+    rows = [
+        (1, 0, "assistant", '{"tool_calls":[{"id":"\\ud800","name":"f"}]}'), (1, 1, "tool", '{"tool_call_id":"\\ud800"}'),
+        (1, 2, "assistant", '{"tool_calls":[{"id":"a","type":"function","function":{"name":"f","arguments":"{\\"q\\":1}"}}]}'),
+        (1, 3, "tool", '{"tool_call_id":"a"}'), (2, 0, "user", long),
+    ]
+    got = {r.conv_id: r for r in toolcalls.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert (got[1].n_calls, got[1].n_linked) == (1, 1) and '"function":{"arguments":{"q":1},"name":"f"}' in got[1].json
+    assert long in got[2].json
+
+
+@pytest.mark.parametrize("value, schema, n", [
+    (True, {"enum": [1]}, 1), (1.0, {"enum": [1]}, 0), ("b", {"const": "a"}, 1), (5, {"exclusiveMaximum": 5, "exclusiveMinimum": 4}, 1),
+    ("abc", {"minLength": 4}, 1), ("abc", {"maxLength": 2}, 1), ([1], {"minItems": 2}, 1), ([1, 1], {"uniqueItems": True}, 1),
+    ([1, True], {"uniqueItems": True}, 0), ("ax", {"pattern": "^a.$"}, 0), ("bx", {"pattern": "^a"}, 1),
+    (1, {"anyOf": [{"type": "string"}, {"minimum": 2}]}, 1), (3, {"oneOf": [{"type": "integer"}, {"minimum": 2}]}, 1),
+    ({}, {"$ref": "#/x", "title": "t"}, 1),
+])
+def test_more_words_of_a_schema(value, schema, n):
+    assert len(toolcalls.faults(value, schema)) == n
