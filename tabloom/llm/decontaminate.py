@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import add_columns, whole_texts
 from .shingles import U, mix, window_hashes, word_hashes
@@ -206,6 +207,7 @@ def benchmark_matches(
     kinds = {key: texts.schema[key].dataType.simpleString(), item: benchmark.schema[item].dataType.simpleString()}
     schema = f"`{key}` {kinds[key]}, `{item}` {kinds[item]}, edits int, first_word long, n_words long"
     out = df.sparkSession.createDataFrame([], schema)
+    item_type = to_arrow_type(benchmark.schema[item].dataType)
     for block in blocks_of(benchmark, item, item_text):
         shared = df.sparkSession.sparkContext.broadcast(block)
 
@@ -220,19 +222,18 @@ def benchmark_matches(
                         for column, v in zip(rest, numbers):
                             column.append(v)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(rows, pa.int64())), pa.array(ids), pa.array(rest[0], pa.int32()),
+                    [batch.column(0).take(pa.array(rows, pa.int64())), pa.array(ids, item_type), pa.array(rest[0], pa.int32()),
                      pa.array(rest[1], pa.int64()), pa.array(rest[2], pa.int64())],
                     names=[key, item, "edits", "first_word", "n_words"],
-                ) if rows else _none(batch.schema.field(0).type, kinds[item], key, item)
+                ) if rows else _none(batch.schema.field(0).type, item_type, key, item)
 
         out = out.unionByName(texts.mapInArrow(run, schema))
     return out
 
 
-def _none(key_type: pa.DataType, item_kind: str, key: str, item: str) -> pa.RecordBatch:
-    kinds = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
+def _none(key_type: pa.DataType, item_type: pa.DataType, key: str, item: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
-        [pa.nulls(0, key_type), pa.nulls(0, kinds[item_kind]), pa.nulls(0, pa.int32()), pa.nulls(0, pa.int64()),
+        [pa.nulls(0, key_type), pa.nulls(0, item_type), pa.nulls(0, pa.int32()), pa.nulls(0, pa.int64()),
          pa.nulls(0, pa.int64())], names=[key, item, "edits", "first_word", "n_words"],
     )
 

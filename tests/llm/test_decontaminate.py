@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from tabloom.llm import decontaminate, queries
 from tabloom.llm.decontaminate import Matcher, allowed, best_match
@@ -98,3 +99,13 @@ def test_odd_documents_and_blocks(spark, monkeypatch):
     assert kept.columns == odd_documents(spark).columns and kept.count() == 7
     assert decontaminate.benchmark_matches(no_documents(spark), items).count() == 0
     assert decontaminate.benchmark_matches(odd_documents(spark), items.where("false")).count() == 0
+
+
+@pytest.mark.parametrize("kind", ["byte", "short", "int", "long", "string", "decimal(4,0)"])
+def test_item_ids_of_any_type(spark, kind):
+    words = " ".join(f"w{i}" for i in range(12))
+    items = spark.createDataFrame([(7, words), (9, "none of these words is in any text at all here")], "item_id int, text string")
+    items = items.withColumn("item_id", items.item_id.cast(kind))
+    docs = spark.createDataFrame([(1, f"before {words} after"), (2, "nothing")], "doc_id long, text string").repartition(3)
+    rows = decontaminate.benchmark_matches(docs, items).collect()
+    assert [(r.doc_id, str(r.item_id), r.edits) for r in rows] == [(1, "7", 0)]
