@@ -16,7 +16,7 @@ from .test_dedup import brute
 
 
 def test_every_operator_has_a_query():
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 14))
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
@@ -68,3 +68,15 @@ def test_odd_documents_pass_all_stages(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = corpus_pipeline.settle(stage(spark, docs, DATA))
     assert json.dumps(docs.columns) and docs.count() > 0
+
+
+def test_a_unique_text_of_a_repeated_key_stays(spark):
+    words = " ".join(f"w{i}" for i in range(60))
+    other = " ".join(f"v{i}" for i in range(60))
+    rows = [(1, words), (5, words), (5, other), (None, words), (7, None), (7, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'clash' AS node", "'x' AS row_key")
+    left = corpus_pipeline.dedup_stage(spark, docs, DATA)
+    assert left.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in left.collect()), key=str) == sorted(
+        [(1, words), (5, other), (None, words), (7, None), (7, "")], key=str
+    )
