@@ -27,9 +27,15 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays, the one with the smallest id."""
-    found = neardup.near_duplicates(docs, width=5, percent=80)
-    return docs.join(found.where(~F.col("kept")).select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    """One document of each group of near copies stays, the one with the smallest id.
+
+    A row is known by its id and its text, so that of two texts under one id only the copy goes.
+    """
+    row = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", F.xxhash64("text").alias("at"), F.md5("text").alias("is")))
+    named = docs.select(row.alias("row"), "text")
+    found = neardup.near_duplicates(named, width=5, percent=80, key="row")
+    gone = found.where(~F.col("kept")).select("row").distinct()
+    return docs.join(gone, row.eqNullSafe(F.col("row")), "left_anti").select(*docs.columns)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
