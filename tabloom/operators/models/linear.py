@@ -56,7 +56,7 @@ def fit_linear(
 ) -> LinearModel:
     """Least squares; ``positive`` solves the non-negative problem on the Gram matrix."""
     if not positive:
-        return _fit(df, features, label, fit_intercept, solver=_solver(df, features), regParam=0.0)
+        return _fit(df, features, label, fit_intercept, solver=_solver(range(sum(widths(df, features)))), regParam=0.0)
     require_columns(df, features, "a non-negative fit")
     moments = covariance(df.dropna(subset=[*features, label]), [*features, label])
     d = len(features)
@@ -68,9 +68,9 @@ def fit_linear(
     return LinearModel(list(features), coefficients=weights.tolist(), intercept=intercept)
 
 
-def _solver(df: DataFrame, features: Sequence[str]) -> str:
+def _solver(features: Sequence) -> str:
     """The normal equations hold d x d numbers on the driver, and Spark takes them up to 4,096 features."""
-    return "normal" if sum(widths(df, features)) <= 4096 else "l-bfgs"
+    return "normal" if len(features) <= 4096 else "l-bfgs"
 
 
 def non_negative(gram: np.ndarray, target: np.ndarray) -> np.ndarray:
@@ -102,7 +102,7 @@ def non_negative(gram: np.ndarray, target: np.ndarray) -> np.ndarray:
 
 def fit_ridge(df: DataFrame, features: Sequence[str], label: str, alpha: float = 1.0, fit_intercept: bool = True) -> LinearModel:
     n, spread = _target_facts(df, features, label)
-    return _fit(df, features, label, fit_intercept, solver=_solver(df, features), regParam=alpha * (spread or 1.0) / n)
+    return _fit(df, features, label, fit_intercept, solver=_solver(range(sum(widths(df, features)))), regParam=alpha * (spread or 1.0) / n)
 
 
 def fit_lasso(
