@@ -12,7 +12,7 @@ from tabloom.operators.neighbors import nearest as neighbor_join
 from tabloom.operators.scaling import fit_scaler
 from tabloom.operators.split import train_test
 
-from .base import DIMENSIONS, F4, F5, F7, F8, duck_hash, embeddings, query, rd, rounded, rows, union
+from .base import DIMENSIONS, F4, F5, F7, F8, duck_hash, embeddings, query, rd, rounded, rows, table, union
 
 INPUTS = ["acctbal", "nation", "n_orders"]
 
@@ -490,3 +490,17 @@ def m10c(spark, sf):
     frame = rows(spark, sf, F5).withColumn("name", F.concat(F.lit("part "), "id")).withColumn("x3", F.col("id").cast("double"))
     model = nearest.fit_nearest(frame, ["x1", "x2", "x3"], "name", "id", n_neighbors=1, weights="distance")
     return model.predict(frame).select("id", "prediction")
+
+
+@query(
+    "m31_projected_rows",
+    f"SELECT vec_id AS src, CAST(15 AS BIGINT) AS n, {rd('log2(15)', 3)} AS total FROM embeddings WHERE vec_id % 2 = 1",
+)
+def m31b(spark, sf):
+    """New vectors placed on the graph of kept ones: k weights each, which sum to log2(k)."""
+    frame = table(spark, sf, "embeddings").select(
+        "vec_id", *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(64)]
+    )
+    model = graphs.fit_fuzzy_projection(frame.where("vec_id % 2 = 0"), "vec_id", [f"e{i}" for i in range(64)], 15)
+    edges = model.project(frame.where("vec_id % 2 = 1"))
+    return rounded(edges.groupBy("src").agg(F.count("*").alias("n"), F.sum("w").alias("total")), 3)

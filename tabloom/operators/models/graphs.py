@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ...functions.names import ref
+from ...sources.shared import settle
 from ..neighbors import SMALL_VALUES, TILE_ROWS, nearest
 
 
@@ -24,9 +27,10 @@ def neighbor_graph(
     return both.groupBy("src", "dst").agg(F.max("distance").alias("distance"), (F.count("*") * 0.5).alias("share"))
 
 
-def _neighbor_lists(df, key, features, k, metric, small_values, tile_rows) -> DataFrame:
-    """(src, ds, dsts): at most k distances per row, nearest first."""
-    hits = nearest(df, df, key, features, k, metric, True, small_values=small_values, tile_rows=tile_rows)
+def _neighbor_lists(df, key, features, k, metric, small_values, tile_rows, among: DataFrame | None = None) -> DataFrame:
+    """(src, ds, dsts): at most k distances per row, nearest first, to rows of another table or of its own."""
+    right = df if among is None else among
+    hits = nearest(df, right, key, features, k, metric, True, small_values=small_values, tile_rows=tile_rows)
     packed = hits.groupBy(F.col("left_key").alias("src")).agg(
         F.array_sort(F.collect_list(F.struct("distance", F.col("right_key").alias("dst")))).alias("h")
     )
@@ -124,3 +128,36 @@ def fuzzy_graph(
     pair = directed.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), "w")
     total = F.sum("w") - F.when(F.count("*") > 1, F.max("w") * F.min("w")).otherwise(0.0)
     return pair.groupBy("src", "dst").agg(total.alias("w"))
+
+
+@dataclass
+class FuzzyProjection:
+    """A kept neighbour graph that new rows can be placed on."""
+
+    features: list[str]
+    key: str
+    rows: DataFrame
+    n_neighbors: int = 15
+    metric: str = "euclidean"
+    small_values: int = SMALL_VALUES
+    tile_rows: int = TILE_ROWS
+
+    def project(self, df: DataFrame) -> DataFrame:
+        """(src, dst, w): weights of each row towards its nearest kept rows, which sum to log2(k).
+
+        A row that is kept itself (by its key) is no neighbour of its own, so it gets the weights it has in
+        the graph. Rows with gaps have no edges. Only the new rows search; the kept graph is not changed.
+        """
+        lists = _neighbor_lists(
+            df, self.key, self.features, self.n_neighbors, self.metric, self.small_values, self.tile_rows, self.rows
+        )
+        kind, k = df.schema[self.key].dataType.simpleString(), self.n_neighbors
+        return _directed(lists, lambda d: fuzzy_weights(d, k), kind)
+
+
+def fit_fuzzy_projection(
+    df: DataFrame, key: str, features: Sequence[str], n_neighbors: int = 15, metric: str = "euclidean",
+    small_values: int = SMALL_VALUES, tile_rows: int = TILE_ROWS,
+) -> FuzzyProjection:
+    kept = settle(df.select(ref(key), *[ref(c) for c in features]), "projection")
+    return FuzzyProjection(list(features), key, kept, n_neighbors, metric, small_values, tile_rows)

@@ -193,3 +193,22 @@ def test_ordered_statistics_hide_the_own_target(spark):
     assert {r.kind for r in ordered_target(alone, "kind", "y", "id").collect()} == {9.5}  # plain means would give y away
     assert ordered_target(alone.unionAll(alone), "kind", "y").count() == 40
     assert ordered_target(alone.where("false"), "kind", "y", "id").count() == 0
+
+
+def test_known_rows_project_to_their_own_weights(spark, tmp_path):
+    from tabloom.operators.models.graphs import fit_fuzzy_projection, fuzzy_graph
+
+    r = np.random.default_rng(3)
+    rows = [(i, *map(float, v)) for i, v in enumerate(r.normal(size=(60, 3)))] + [(99, None, 0.0, 0.0)]
+    df = spark.createDataFrame(rows, "id long, a double, b double, c double")
+    model = fit_fuzzy_projection(df, "id", ["a", "b", "c"], 6)
+    store = Store(spark, str(tmp_path))
+    store.save("graph", model)
+    want = {(x.src, x.dst): x.w for x in fuzzy_graph(df, "id", ["a", "b", "c"], 6, symmetric=False).collect()}
+    for m in (model, store.load("graph")):
+        assert {(x.src, x.dst): x.w for x in m.project(df).collect()} == pytest.approx(want)
+    new = spark.createDataFrame([(500, 0.1, 0.2, 0.3), (501, 9.0, 9.0, 9.0), (502, None, 1.0, 1.0)], df.schema)
+    got = {}
+    for x in model.project(new).collect():
+        got.setdefault(x.src, []).append(x.w)
+    assert set(got) == {500, 501} and all(len(w) == 6 and sum(w) == pytest.approx(np.log2(6), abs=1e-6) for w in got.values())
