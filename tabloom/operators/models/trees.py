@@ -1,8 +1,7 @@
-"""Decision trees, forests and boosting, with presets for the boosting libraries."""
+"""Decision trees, forests and boosting, with settings for the boosting libraries' parameters."""
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -15,6 +14,7 @@ from ...functions.names import ref, text_columns
 from ...sources.shared import settle
 from ..encoding import Encoder, fit_encoder, ordered_target
 from .base import Fitted, MlClassifier, MlRegressor, RestClassifier, assemble, class_list, right_size, widths, with_code
+from .histogram import Growth, fit_boosted_trees
 
 #: Fixed value: the deepest tree that pyspark.ml grows.
 DEEPEST = 30
@@ -131,28 +131,38 @@ def fit_boosting_regressor(
     return MlRegressor(list(features), _depth_note(max_depth, ignored), model, widths(df, features))
 
 
-def xgboost_preset(
-    n_estimators: int = 100, learning_rate: float = 0.1, max_depth: int = 6, min_child_weight: int = 1,
-    subsample: float = 1.0, colsample_bytree: float = 1.0, gamma: float = 0.0, **rest,
+def xgboost_settings(
+    n_estimators: int = 100, learning_rate: float = 0.1, max_depth: int = 6, min_child_weight: float = 1.0,
+    subsample: float = 1.0, colsample_bytree: float = 1.0, gamma: float = 0.0, reg_alpha: float = 0.0, reg_lambda: float = 1.0,
+    max_leaves: int = 0, max_bin: int = 255, **rest,
 ) -> dict:
-    """Boosting settings for XGBoost parameters; leaf penalties stay in ``rest`` and are reported."""
+    """Level by level; second derivatives of several classes count twice.
+
+    ``gamma`` is the least gain of a split; a split below it is not tried further, there is no later pruning.
+    """
     return {
-        "n_estimators": n_estimators, "learning_rate": learning_rate, "max_depth": max_depth,
-        "min_samples_leaf": max(1, round(min_child_weight)), "subsample": subsample,
-        "max_features": colsample_bytree, "min_gain": gamma, **{"reg_alpha": 0.0, "reg_lambda": 1.0, **rest},
+        "n_estimators": n_estimators, "subsample": subsample, "colsample": colsample_bytree, "max_bins": max_bin, "class_factor": 2.0,
+        "rule": Growth(
+            rate=learning_rate, max_depth=max_depth, leaves=max_leaves or None, alpha=reg_alpha, penalty=reg_lambda, min_gain=gamma,
+            min_weight=min_child_weight,
+        ),
+        "notes": _notes(rest),
     }
 
 
-def lightgbm_preset(
-    n_estimators: int = 100, learning_rate: float = 0.1, max_depth: int = -1, num_leaves: int = 31,
-    min_child_samples: int = 20, subsample: float = 1.0, colsample_bytree: float = 1.0, **rest,
+def lightgbm_settings(
+    n_estimators: int = 100, learning_rate: float = 0.1, max_depth: int = -1, num_leaves: int = 31, min_child_samples: int = 20,
+    min_child_weight: float = 1e-3, min_split_gain: float = 0.0, subsample: float = 1.0, colsample_bytree: float = 1.0,
+    reg_alpha: float = 0.0, reg_lambda: float = 0.0, max_bin: int = 255, **rest,
 ) -> dict:
-    """Leaf-wise growth becomes the depth that holds as many leaves."""
-    depth = math.ceil(math.log2(max(num_leaves, 2)))
+    """Best leaf first up to ``num_leaves``. ``subsample`` is drawn anew in every round."""
     return {
-        "n_estimators": n_estimators, "learning_rate": learning_rate,
-        "max_depth": depth if max_depth <= 0 else min(depth, max_depth), "min_samples_leaf": min_child_samples,
-        "subsample": subsample, "max_features": colsample_bytree, **{"reg_alpha": 0.0, "reg_lambda": 0.0, **rest},
+        "n_estimators": n_estimators, "subsample": subsample, "colsample": colsample_bytree, "max_bins": max_bin,
+        "rule": Growth(
+            rate=learning_rate, max_depth=max_depth, leaves=num_leaves, alpha=reg_alpha, penalty=reg_lambda, min_gain=min_split_gain,
+            min_weight=min_child_weight, min_rows=min_child_samples,
+        ),
+        "notes": _notes(rest),
     }
 
 
@@ -188,12 +198,12 @@ class EncodedFit(Fitted):
         return self.inner.importances()
 
 
-def fit_xgboost_classifier(df, features, label, random_state: int = 42, **options):
-    return fit_boosting_classifier(df, features, label, random_state=random_state, **xgboost_preset(**options))
+def fit_xgboost_classifier(df, features, label, key: str | None = None, random_state: int = 42, **options):
+    return fit_boosted_trees(df, features, label, "classification", key, random_state=random_state, **xgboost_settings(**options))
 
 
-def fit_lightgbm_classifier(df, features, label, random_state: int = 42, **options):
-    return fit_boosting_classifier(df, features, label, random_state=random_state, **lightgbm_preset(**options))
+def fit_lightgbm_classifier(df, features, label, key: str | None = None, random_state: int = 42, **options):
+    return fit_boosted_trees(df, features, label, "classification", key, random_state=random_state, **lightgbm_settings(**options))
 
 
 def fit_catboost_classifier(df, features, label, key: str | None = None, random_state: int = 42, **options):
@@ -211,9 +221,9 @@ def fit_catboost_classifier(df, features, label, key: str | None = None, random_
     return EncodedFit(list(features), inner.notes, inner, encoders)
 
 
-def fit_xgboost_regressor(df, features, label, random_state: int = 42, **options):
-    return fit_boosting_regressor(df, features, label, random_state=random_state, **xgboost_preset(**options))
+def fit_xgboost_regressor(df, features, label, key: str | None = None, random_state: int = 42, **options):
+    return fit_boosted_trees(df, features, label, "regression", key, random_state=random_state, **xgboost_settings(**options))
 
 
-def fit_lightgbm_regressor(df, features, label, random_state: int = 42, **options):
-    return fit_boosting_regressor(df, features, label, random_state=random_state, **lightgbm_preset(**options))
+def fit_lightgbm_regressor(df, features, label, key: str | None = None, random_state: int = 42, **options):
+    return fit_boosted_trees(df, features, label, "regression", key, random_state=random_state, **lightgbm_settings(**options))

@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from ..operators.construct import Products
 from ..operators.encoding import AutoEncoding, Encoder
 from ..operators.missing import Filler
-from ..operators.models import base, bayes, cluster, decomposition, graphs, linear, margin, nearest, neural, trees
+from ..operators.models import base, bayes, cluster, decomposition, graphs, histogram, linear, margin, nearest, neural, trees
 from ..operators.outliers import Bounds, IsolationForest, Treatment
 from ..operators.scaling import Scaler
 from ..operators.scoring import DateStep, Preparation, ScoringBundle
@@ -39,7 +39,7 @@ KINDS = {
         Filler, Encoder, AutoEncoding, Scaler, DateStep, Bounds, IsolationForest, Treatment, Products, Selection, Preparation,
         ScoringBundle, base.MlClassifier, base.MlRegressor, base.RestClassifier, linear.LinearModel, bayes.NaiveBayes,
         nearest.NearestClassifier, margin.KernelMap, margin.MarginClassifier, margin.MarginRegressor, neural.Network,
-        neural.NetworkFit, trees.EncodedFit, cluster.Centers, cluster.Mixture, decomposition.Projection, decomposition.Pca,
+        neural.NetworkFit, trees.EncodedFit, histogram.BoostedTrees, cluster.Centers, cluster.Mixture, decomposition.Projection, decomposition.Pca,
         graphs.FuzzyProjection,
     )
 }

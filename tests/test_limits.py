@@ -76,4 +76,6 @@ def test_wide_inputs_are_not_cut(spark):
 
 def test_solver_and_depth_choices():
     assert linear._solver(["x"] * 4096) == "normal" and linear._solver(["x"] * 5000) == "l-bfgs"
-    assert trees.lightgbm_preset(max_depth=0)["max_depth"] == trees.lightgbm_preset()["max_depth"] == 5
+    for depth in (0, -1):
+        rule = trees.lightgbm_settings(max_depth=depth)["rule"]
+        assert rule.leaves == 31 and rule.open(1000, 1e9, 10**9)
