@@ -249,6 +249,21 @@ def m19(spark, sf):
     return _scored(trees.fit_xgboost_regressor(frame, ["x1", "x2"], "y", n_estimators=8), frame, "y")
 
 
+@query(
+    "m19_first_split",
+    f"""WITH p AS ({F5}), m AS (SELECT avg(y) AS base FROM p), r AS (SELECT x1, y - base AS g FROM p, m),
+    s AS (SELECT x1, sum(sum(g)) OVER (ORDER BY x1) AS gl, sum(count(*)) OVER (ORDER BY x1) AS nl FROM r GROUP BY x1),
+    t AS (SELECT sum(g) AS g, count(*) AS n FROM r),
+    b AS (SELECT x1 AS cut, gl, nl, g - gl AS gr, n - nl AS nr FROM s, t WHERE nl < n
+      ORDER BY gl * gl / (nl + 1) + (g - gl) * (g - gl) / (n - nl + 1) DESC, x1 LIMIT 1)
+    SELECT id, {rd("base + 0.3 * CASE WHEN x1 <= cut THEN gl / (nl + 1) ELSE gr / (nr + 1) END", 4)} AS prediction FROM p, m, b""",
+)
+def m19b(spark, sf):
+    frame = rows(spark, sf, F5)
+    model = trees.fit_xgboost_regressor(frame, ["x1"], "y", n_estimators=1, learning_rate=0.3, max_depth=1)
+    return model.predict(frame).select("id", (F.round("prediction", 4) + 0.0).alias("prediction"))
+
+
 @query("m20_lightgbm_regressor")
 def m20(spark, sf):
     frame = rows(spark, sf, F5)
