@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from itertools import combinations_with_replacement
 
 import numpy as np
@@ -29,7 +29,9 @@ class KernelMap:
     """Feature map whose inner product is (linear, poly) or approaches (rbf) the kernel.
 
     rbf draws random Fourier features; poly lists all monomials of the exact degree,
-    the map of the kernel with offset zero.
+    the map of the kernel with offset zero. With landmarks any of rbf, poly and sigmoid goes through
+    the kernel with them, times the root of the pseudo-inverse of their own kernel matrix: exact
+    on what the landmarks span.
     """
 
     kind: str
@@ -38,16 +40,35 @@ class KernelMap:
     width: int = 1
     directions: np.ndarray | None = None
     phases: np.ndarray | None = None
+    landmarks: np.ndarray | None = None
+    root: np.ndarray | None = None
+    offset: float = 0.0
 
     @property
     def size(self) -> int:
+        if self.root is not None:
+            return self.root.shape[1]
         if self.kind == "rbf":
             return len(self.phases)
         if self.kind == "poly":
             return math.comb(self.width + self.degree - 1, self.degree)
         return self.width
 
+    def kernel(self, x: np.ndarray, z: np.ndarray) -> np.ndarray:
+        """Kernel of all rows of ``x`` with all of ``z``."""
+        inner = x @ z.T
+        if self.kind == "rbf":
+            apart = (x * x).sum(axis=1)[:, None] + (z * z).sum(axis=1) - 2 * inner
+            return np.exp(-self.gamma * np.maximum(apart, 0))
+        if self.kind == "poly":
+            return (self.gamma * inner + self.offset) ** self.degree
+        if self.kind == "sigmoid":
+            return np.tanh(self.gamma * inner + self.offset)
+        return inner
+
     def __call__(self, x: np.ndarray) -> np.ndarray:
+        if self.root is not None:
+            return self.kernel(x, self.landmarks) @ self.root
         if self.kind == "rbf":
             return math.sqrt(2.0 / len(self.phases)) * np.cos(x @ self.directions + self.phases)
         if self.kind == "poly":
@@ -61,11 +82,36 @@ class KernelMap:
         return x
 
 
+def pick_landmarks(df: DataFrame, features: Sequence[str], count: int, seed: int) -> np.ndarray:
+    """``count`` different rows by a hash of their values, whatever the layout; rows with gaps are left out."""
+    rows = df.dropna(subset=list(features)).select(feature_array(df, features).alias("x"))
+    drawn = rows.groupBy("x").agg(F.xxhash64(F.lit(seed), F.col("x")).alias("at")).orderBy("at", "x").limit(count)
+    return np.array([r.x for r in drawn.collect()], dtype=float).reshape(-1, sum(widths(df, features)))
+
+
+def with_landmarks(kernel: KernelMap, landmarks: np.ndarray, small: float = 1e-12) -> KernelMap:
+    """The map through landmarks. Directions whose eigenvalue is at most ``small`` of the largest are left out.
+
+    The sigmoid kernel can have negative eigenvalues; they have no real root and are left out too.
+    """
+    if not len(landmarks):
+        raise ValueError("no complete row to take landmarks from")
+    values, vectors = np.linalg.eigh(kernel.kernel(landmarks, landmarks))
+    keep = values > small * max(values[-1], 0.0)
+    if not keep.any():
+        raise ValueError("the kernel vanishes on all landmarks")
+    return replace(kernel, directions=None, phases=None, landmarks=landmarks, root=vectors[:, keep] / np.sqrt(values[keep]))
+
+
 def fit_kernel_map(
-    df: DataFrame, features: Sequence[str], kernel: str, gamma: str | float, degree: int, components: int, seed: int
+    df: DataFrame, features: Sequence[str], kernel: str, gamma: str | float, degree: int, components: int, seed: int,
+    method: str = "explicit", offset: float = 0.0,
 ) -> KernelMap:
-    if kernel == "sigmoid":
-        raise ValueError("the sigmoid kernel has no explicit feature map")
+    """``method="landmarks"`` goes through ``components`` landmarks (see KernelMap) and knows sigmoid kernels and offsets."""
+    if method not in ("explicit", "landmarks"):
+        raise ValueError(f"unknown method {method!r}")
+    if kernel == "sigmoid" and method == "explicit":
+        raise ValueError("the sigmoid kernel has no explicit feature map; use method='landmarks'")
     d = sum(widths(df, features))
     if gamma == "auto":
         gamma = 1.0 / d
@@ -80,6 +126,9 @@ def fit_kernel_map(
         mean, var = np.array(row[:d], dtype=float), np.array(row[d:], dtype=float)
         whole = float(var.mean() + mean.var())
         gamma = 1.0 / (d * whole) if whole > 0 else 1.0
+    if method == "landmarks" and kernel != "linear":
+        space = KernelMap(kernel, gamma, degree, d, offset=offset)
+        return with_landmarks(space, pick_landmarks(df, features, components, seed))
     if kernel != "rbf":
         return KernelMap(kernel, gamma, degree, d)
     generator = np.random.default_rng(seed)
@@ -89,6 +138,12 @@ def fit_kernel_map(
     )
 
 
+def _notes(ignored: dict, method: str, offset: float) -> dict[str, str]:
+    """What a fit did not use; explicit maps have offset zero."""
+    unused = {**ignored, "coef0": offset} if method == "explicit" and offset else ignored
+    return {k: f"ignored: {v}" for k, v in unused.items()}
+
+
 def mapped(df: DataFrame, kernel: KernelMap, features: Sequence[str]) -> Column:
     x = feature_array(df, features)
     if kernel.kind == "linear":
@@ -148,12 +203,12 @@ class MarginClassifier(Fitted):
 def fit_svm(
     df: DataFrame, features: Sequence[str], label: str, C: float = 1.0, kernel: str = "rbf", degree: int = 3,
     gamma: str | float = "scale", components: int = 200, max_iter: int = 100, tol: float = 1e-3, random_state: int = 42,
-    **ignored,
+    method: str = "explicit", coef0: float = 0.0, **ignored,
 ) -> MarginClassifier:
     """Linear machine in the kernel's feature space; several classes go one against the rest."""
     require_numeric(df, features)
     classes = class_list(df, label)
-    space = fit_kernel_map(df, features, kernel, gamma, degree, components, random_state)
+    space = fit_kernel_map(df, features, kernel, gamma, degree, components, random_state, method, coef0)
     coded = with_code(df.dropna(subset=[*features, label]), label, classes)
     x = F.col("_x") if kernel == "linear" else array_to_vector(mapped(coded, space, features)).alias("_x")
     rows = (attach_vector(coded, features) if kernel == "linear" else coded).select(x, F.col("_code").alias("_c")).persist()
@@ -180,7 +235,7 @@ def fit_svm(
     finally:
         rows.unpersist()
     return MarginClassifier(
-        list(features), {k: f"ignored: {v}" for k, v in ignored.items()}, space, np.stack(weights, axis=1), np.array(bias),
+        list(features), _notes(ignored, method, coef0), space, np.stack(weights, axis=1), np.array(bias),
         slopes, offsets, classes, widths(df, features),
     )
 
@@ -199,11 +254,12 @@ class MarginRegressor(Fitted):
 def fit_svr(
     df: DataFrame, features: Sequence[str], label: str, key: str, C: float = 1.0, epsilon: float = 0.1,
     kernel: str = "rbf", degree: int = 3, gamma: str | float = "scale", components: int = 200, max_iter: int = 200,
-    learning_rate_init: float = 0.02, random_state: int = 42, shard_values: int = SHARD_VALUES, **ignored,
+    learning_rate_init: float = 0.02, random_state: int = 42, shard_values: int = SHARD_VALUES, method: str = "explicit",
+    coef0: float = 0.0, **ignored,
 ) -> MarginRegressor:
     """Epsilon-insensitive loss with the weight penalty 1/(C n), trained by mini-batch steps."""
     require_numeric(df, features)
-    space = fit_kernel_map(df, features, kernel, gamma, degree, components, random_state)
+    space = fit_kernel_map(df, features, kernel, gamma, degree, components, random_state, method, coef0)
     base = df.dropna(subset=[*features, label])
     packed, shards, count = pack(base, key, mapped(base, space, features), [ref(label)], space.size, shard_values)
     net = Network([space.size, 1], "identity", "epsilon", epsilon)
@@ -214,5 +270,5 @@ def fit_svr(
         release(packed)
     layer = net.layers(flat)[0]
     return MarginRegressor(
-        list(features), {k: f"ignored: {v}" for k, v in ignored.items()}, space, layer[:-1, 0], float(layer[-1, 0])
+        list(features), _notes(ignored, method, coef0), space, layer[:-1, 0], float(layer[-1, 0])
     )
