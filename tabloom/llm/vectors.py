@@ -38,6 +38,8 @@ PROBE = 3.5
 #: Members and visitors of a tile at most.
 MEMBERS = 4_096
 VISITORS = 8_192
+#: Pairs of a tile compared exactly at once; a group of copies that fills a tile has millions of them.
+PAIRS = 16_384
 
 
 def nearest(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
@@ -96,15 +98,18 @@ class Index:
         gap = np.sqrt(((a - b) ** 2).sum(axis=1))
         return (((unit - b) ** 2).sum(axis=1) - ((unit - a) ** 2).sum(axis=1)) / np.maximum(2 * gap, 1e-12)
 
+    def gaps(self) -> np.ndarray:
+        """Distance of every list centroid to every other."""
+        return np.stack([np.sqrt(((self.coarse - c) ** 2).sum(axis=1)) for c in self.coarse])
+
     def reach(self) -> float:
         """A linked vector is at most ``radius`` away, in a direction of which the border sees a share."""
         return min(self.radius, PROBE * self.radius / np.sqrt(self.coarse.shape[1])) + 1e-9
 
-    def probes(self, unit: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(row, list) of every list that each vector searches, its own included."""
+    def probes(self, unit: np.ndarray, own: np.ndarray, gaps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, list) of every list that each vector searches, its own included; ``gaps`` are those of the lists."""
         d = (self.coarse**2).sum(axis=1) - 2 * unit @ self.coarse.T
-        gap = np.sqrt(((self.coarse[own][:, None] - self.coarse[None]) ** 2).sum(axis=2))
-        behind = (d - d[np.arange(len(unit)), own][:, None]) / np.maximum(2 * gap, 1e-12)
+        behind = (d - d[np.arange(len(unit)), own][:, None]) / np.maximum(2 * gaps[own], 1e-12)
         behind[np.arange(len(unit)), own] = 0
         return np.nonzero(behind <= self.reach())
 
@@ -155,12 +160,13 @@ def _indexed(nodes: DataFrame, index: Index, kind: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = Index(*shared.value)
         for batch in batches:
-            if batch.num_rows:
-                unit = unit_rows(_matrix(batch.column(1).to_pylist(), kind))
+            for start in range(0, batch.num_rows, 1024):
+                part = batch.slice(start, 1024)
+                unit = unit_rows(_matrix(part.column(1).to_pylist(), kind))
                 own = nearest(unit, found.coarse)
                 codes, error = found.encode(unit, own)
                 yield pa.RecordBatch.from_arrays(
-                    [*batch.columns, pa.array(own.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary()),
+                    [*part.columns, pa.array(own.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary()),
                      pa.array(error)],
                     names=["node", "raw", "n", "list", "codes", "error"],
                 )
@@ -176,11 +182,12 @@ def _visits(members: DataFrame, index: Index, kind: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = Index(*shared.value)
+        gaps = found.gaps()
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
                 own = part.column(3).to_numpy()
-                rows, lists = found.probes(unit_rows(_matrix(part.column(1).to_pylist(), kind)), own)
+                rows, lists = found.probes(unit_rows(_matrix(part.column(1).to_pylist(), kind)), own, gaps)
                 taken = part.select(["node", "raw", "n", "list"]).take(pa.array(rows))
                 yield pa.RecordBatch.from_arrays(
                     [*taken.columns, pa.array(lists.astype(np.int32))], names=["node", "raw", "n", "own", "list"]
@@ -191,6 +198,24 @@ def _visits(members: DataFrame, index: Index, kind: str) -> DataFrame:
     )
 
 
+def join(parent: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Lowest member of what each node is joined with, after links are added to a finished ``parent``."""
+    while True:
+        a, b = parent[left], parent[right]
+        low = np.minimum(a, b)
+        if (a == b).all():
+            return parent
+        new = parent.copy()
+        np.minimum.at(new, a, low)
+        np.minimum.at(new, b, low)
+        while True:
+            further = new[new]
+            if (further == new).all():
+                break
+            new = further
+        parent = new
+
+
 def tile_links(index: Index, members: pd.DataFrame, visitors: pd.DataFrame, cosine: float, kind: str) -> pd.DataFrame:
     """Links in one tile: counts (b null), and edges that join what is linked."""
     empty = pd.DataFrame({"a": [], "b": [], "n": []})
@@ -200,34 +225,31 @@ def tile_links(index: Index, members: pd.DataFrame, visitors: pd.DataFrame, cosi
     codes = np.frombuffer(b"".join(members["codes"]), np.uint8).reshape(len(members), SUBSPACES)
     x, q = unit_rows(_matrix(list(members["raw"]), kind)), unit_rows(_matrix(list(visitors["raw"]), kind))
     limit = ((index.radius + members["error"].to_numpy() + 1e-4) ** 2).astype(np.float32)
-    left, right = [], []
-    for start in range(0, len(q), 512):
-        rows, columns = np.nonzero(index.lookup(q[start : start + 512], at, codes) <= limit)
-        exact = np.einsum("ij,ij->i", q[start + rows], x[columns]) >= cosine
-        left.append(start + rows[exact])
-        right.append(columns[exact])
-    left, right = np.concatenate(left), np.concatenate(right)
     ids, others = visitors["node"].to_numpy(), members["node"].to_numpy()
-    other = ids[left] != others[right]
-    left, right = left[other], right[other]
-    if not len(left):
-        return empty
-    counts = np.bincount(left, members["n"].to_numpy()[right], len(q)).astype(np.int64)
-    # a member that does not search its visitor's list learns of the link here
-    alone = index.behind(x[right], np.full(len(right), at), visitors["own"].to_numpy()[left]) > index.reach()
-    alone &= visitors["own"].to_numpy()[left] != at
-    back = np.bincount(right[alone], visitors["n"].to_numpy()[left[alone]], len(x)).astype(np.int64)
+    q_rows, x_rows = visitors["n"].to_numpy(), members["n"].to_numpy()
+    own = visitors["own"].to_numpy()
+    counts, back = np.zeros(len(q), np.int64), np.zeros(len(x), np.int64)
     # one edge for each linked node: to the first node of what it is joined with in this tile
     parent = np.arange(len(q) + len(x))
-    while True:
-        low = np.minimum(parent[left], parent[len(q) + right])
-        new = parent.copy()
-        np.minimum.at(new, left, low)
-        np.minimum.at(new, len(q) + right, low)
-        new = np.minimum(new, new[new])
-        if (new == parent).all():
-            break
-        parent = new
+    for start in range(0, len(q), 512):
+        rows, columns = np.nonzero(index.lookup(q[start : start + 512], at, codes) <= limit)
+        # the links of a tile can be as many as its pairs, so they are used up piece by piece
+        for cut in range(0, len(rows), PAIRS):
+            left, right = start + rows[cut : cut + PAIRS], columns[cut : cut + PAIRS]
+            linked = np.einsum("ij,ij->i", q[left], x[right]) >= cosine
+            linked &= ids[left] != others[right]
+            left, right = left[linked], right[linked]
+            if not len(left):
+                continue
+            np.add.at(counts, left, x_rows[right])
+            # a member that does not search its visitor's list learns of the link here
+            away = own[left] != at
+            l, r = left[away], right[away]
+            alone = index.behind(x[r], np.full(len(r), at), own[l]) > index.reach()
+            np.add.at(back, r[alone], q_rows[l[alone]])
+            parent = join(parent, left, len(q) + right)
+    if not counts.any():
+        return empty
     nodes = np.concatenate([ids, others])
     joined = np.flatnonzero(parent != np.arange(len(parent)))
     return pd.DataFrame({

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from tabloom.llm import neardup, queries, vectors
@@ -162,3 +163,28 @@ def test_tiny_huge_and_other_lengths(spark):
     got = {x.vec_id: x for x in vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
     assert len(got) == len(rows) and [got[100 + i].component_id for i in range(3)] == [0, 1, 2]
     assert (got[200].n_links, got[201].component_id, got[201].kept, got[202].n_links, got[203].kept) == (1, 200, False, 0, True)
+
+
+def test_a_tile_full_of_copies_takes_bounded_memory():
+    """600 vectors that are all linked: 360,000 pairs, of which few are held at once."""
+    import tracemalloc
+
+    random = np.random.default_rng(3)
+    unit = vectors.unit_rows(random.normal(size=64) + random.normal(0, 0.01, (600, 64)))
+    index = vectors.Index.fit(unit, 4, 0.95)
+    own = vectors.nearest(unit, index.coarse)
+    codes, error = index.encode(unit, np.zeros(600, int))
+    members = pd.DataFrame({
+        "list": 0, "node": [b"%04d" % i for i in range(600)], "raw": [u.tobytes() for u in unit], "n": 1,
+        "codes": [c.tobytes() for c in codes], "error": error,
+    })
+    tracemalloc.start()
+    try:
+        out = vectors.tile_links(index, members, members.assign(own=own), 0.95, "f8")
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 150_000_000
+    visits = out[out["b"].isna() & out["a"].isin(members["node"])].groupby("a")["n"].max()
+    assert len(visits) == 600 and (visits >= 599).all()
+    assert len(out[out["b"].notna()]["b"].unique()) == 1
