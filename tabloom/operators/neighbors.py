@@ -26,6 +26,11 @@ TILE_ROWS = 8192
 MAX_PIVOTS = 1024
 BLOCK = 1_000_000
 GROUP = 256
+#: Right rows that share a box, and right rows measured at once by a group.
+LEAF = 512
+CHUNK = 2048
+#: Beyond this, squares and their differences are not formed.
+LARGE = 1e100
 
 
 METRICS = ("euclidean", "cosine", "correlation", "manhattan", "chebyshev")
@@ -58,6 +63,39 @@ def distances(x: np.ndarray, y: np.ndarray, metric: str) -> np.ndarray:
     return np.sqrt(total) if metric in ("euclidean", *UNIT) else total
 
 
+def pair_distances(x: np.ndarray, y: np.ndarray, metric: str) -> np.ndarray:
+    """Distance of each row of x to the same row of y, the very numbers that ``distances`` gives."""
+    out = np.zeros(len(x))
+    for j in range(x.shape[1]):
+        gap = np.abs(x[:, j] - y[:, j])
+        if metric == "chebyshev":
+            np.maximum(out, gap, out=out)
+        elif metric == "manhattan":
+            out += gap
+        elif metric.startswith("minkowski"):
+            out += gap ** float(metric.split(":")[1])
+        else:
+            out += gap * gap
+    if metric.startswith("minkowski"):
+        return out ** (1 / float(metric.split(":")[1]))
+    return np.sqrt(out) if metric in ("euclidean", *UNIT) else out
+
+
+def pieces(x: np.ndarray, size: int) -> list[np.ndarray]:
+    """Rows in parts of at most ``size``, halved along their widest dimension, so that a part fits a small box."""
+    out, waiting = [], [np.arange(len(x))]
+    while waiting:
+        part = waiting.pop()
+        if len(part) <= size:
+            out.append(part)
+            continue
+        v = x[part]
+        half = len(part) // 2
+        cut = np.argpartition(v[:, int((v.max(axis=0) - v.min(axis=0)).argmax())], half)
+        waiting += [part[cut[half:]], part[cut[:half]]]
+    return out
+
+
 def matrix(column: pd.Series, width: int) -> np.ndarray:
     return np.stack(column.to_numpy()) if len(column) else np.zeros((0, width))
 
@@ -70,12 +108,19 @@ def blocks(rows: int, other: int) -> Iterator[slice]:
 
 
 class RightSide:
-    """Right rows of a block, kept in order of their most spread dimension."""
+    """Right rows of a block, kept in boxes of neighbouring rows."""
 
     def __init__(self, y: np.ndarray, keys: np.ndarray, labels: np.ndarray | None, carry: dict[str, np.ndarray]):
-        self.axis = int(y.std(axis=0).argmax())
-        order = np.argsort(y[:, self.axis], kind="stable")
-        self.y, self.line = y[order], y[order, self.axis]
+        parts = pieces(y, LEAF)
+        order = np.concatenate(parts)
+        self.ends = np.cumsum([0, *map(len, parts)])
+        self.y = y[order]
+        self.low = np.minimum.reduceat(self.y, self.ends[:-1])
+        self.high = np.maximum.reduceat(self.y, self.ends[:-1])
+        self.plain = bool(np.abs(self.y).max() < LARGE)
+        self.centre = self.y.mean(axis=0) if self.plain else np.zeros(y.shape[1])
+        self.z = self.y - self.centre
+        self.square = (self.z * self.z).sum(axis=1) if self.plain else None
         self.keys = keys[order]
         by_key = np.argsort(self.keys, kind="stable")
         self.sorted_keys, self.spot = self.keys[by_key], by_key
@@ -96,62 +141,91 @@ class RightSide:
         at = np.minimum(np.searchsorted(self.sorted_keys, keys), len(self.sorted_keys) - 1)
         return np.where(self.sorted_keys[at] == keys, self.spot[at], -1)
 
+    def search(
+        self, x: np.ndarray, k: int, metric: str, own: np.ndarray | None, labels: np.ndarray | None, within: np.ndarray
+    ) -> tuple[np.ndarray, ...]:
+        """(row, position, distance, place) of the k nearest rows no farther than ``within``.
+
+        Boxes are visited by their distance from the group's box until none can hold a nearer row. A product of
+        matrices finds the few rows that may count; their distances are then taken dimension by dimension.
+        """
+        gap = np.maximum(np.maximum(self.low - x.max(axis=0), x.min(axis=0) - self.high), 0.0)
+        apart = distances(np.nan_to_num(gap, nan=0.0, posinf=np.inf), np.zeros((1, x.shape[1])), metric)[:, 0]
+        near = np.argsort(apart, kind="stable")
+        squared = metric in ("euclidean", *UNIT) and self.plain and bool(np.abs(x).max() < LARGE)
+        if squared:
+            z = x - self.centre
+            square = (z * z).sum(axis=1)
+        need = k + (own is not None)
+        value, spot = np.full((len(x), k), np.inf), np.zeros((len(x), k), int)
+        bound, at = within, 0
+        while at < len(near):
+            open_to = float(bound.max()) * (1 + 1e-9) + 1e-12
+            stop, rows = at, 0
+            while stop < len(near) and apart[near[stop]] <= open_to:
+                size = self.ends[near[stop] + 1] - self.ends[near[stop]]
+                if stop > at and rows + size > CHUNK:
+                    break
+                rows, stop = rows + size, stop + 1
+            if stop == at:
+                break
+            spots = np.concatenate([np.arange(self.ends[i], self.ends[i + 1]) for i in near[at:stop]])
+            at = stop
+            if squared:
+                d = z @ (-2 * self.z[spots].T)
+                d += square[:, None]
+                d += self.square[spots]
+                slack = 4e-16 * (x.shape[1] + 8) * float(square.max() + self.square[spots].max())
+                limit = bound * bound * (1 + 1e-9) + slack
+            else:
+                d = distances(x, self.y[spots], metric)
+                slack = 0.0
+                limit = bound * (1 + 1e-9)
+            if labels is not None:
+                d[labels[:, None] == self.labels[spots]] = np.inf
+            if d.shape[1] >= need and np.isinf(bound).any():
+                limit = np.minimum(limit, np.partition(d, need - 1, axis=1)[:, need - 1] * (1 + 1e-9) + 2 * slack)
+            r, c = np.nonzero(d <= limit[:, None])
+            c = spots[c]
+            if own is not None:
+                r, c = r[c != own[r]], c[c != own[r]]
+            if labels is not None:
+                other = labels[r] != self.labels[c]
+                r, c = r[other], c[other]
+            exact = pair_distances(x[r], self.y[c], metric) if squared or len(r) < d.size else d[r, c]
+            fits = np.isfinite(exact) & (exact <= bound[r])
+            if not fits.any():
+                continue
+            old = np.nonzero(np.isfinite(value))
+            r, c = np.concatenate([old[0], r[fits]]), np.concatenate([spot[old], c[fits]])
+            exact = np.concatenate([value[old], exact[fits]])
+            order = np.lexsort((self.rank[c], exact, r))
+            r, c, exact = r[order], c[order], exact[order]
+            place = np.arange(len(r)) - np.searchsorted(r, r)
+            kept = place < k
+            r, c, exact, place = r[kept], c[kept], exact[kept], place[kept]
+            value[r, place], spot[r, place] = exact, c
+            bound = np.minimum(within, value[:, k - 1])
+        r, place = np.nonzero(np.isfinite(value))
+        return r, spot[r, place], value[r, place], place + 1
+
 
 def top_rows(
     left: pd.DataFrame, right: RightSide, k: int, metric: str, exclude_self: bool, labelled: bool
 ) -> pd.DataFrame:
-    """k nearest right rows of each left row, nearest first, lower key first on ties.
-
-    Left rows go along one dimension in small groups. The rows next to a group bound its
-    k-th distance, and no right row farther away than that in the one dimension can
-    matter, because a difference in one dimension never exceeds the distance.
-    """
+    """k nearest right rows of each left row, nearest first, lower key first on ties; none beyond ``_within``, if given."""
     columns = ["left_key", "right_key", "distance", "rank", *right.carry]
     x = np.stack(left["_x"].to_numpy())
-    walk = np.argsort(x[:, right.axis], kind="stable")
-    x, left_keys = x[walk], left["left_key"].to_numpy()[walk]
-    labels = left["_l"].to_numpy()[walk] if labelled else None
+    left_keys = left["left_key"].to_numpy()
+    labels = left["_l"].to_numpy() if labelled else None
     own = right.own(left_keys) if exclude_self else None
-    total = len(right.line)
-
-    def measure(rows: slice, lo: int, hi: int) -> np.ndarray:
-        d = distances(x[rows], right.y[lo:hi], metric)
-        if exclude_self:
-            mine = own[rows]
-            inside = np.nonzero((mine >= lo) & (mine < hi))[0]
-            d[inside, mine[inside] - lo] = np.inf
-        if labelled:
-            d[labels[rows][:, None] == right.labels[None, lo:hi]] = np.inf
-        return d
-
+    within = left["_within"].to_numpy(float) if "_within" in left else np.full(len(x), np.inf)
     out: list[tuple[np.ndarray, ...]] = []
-    for start in range(0, len(x), GROUP):
-        group = slice(start, min(start + GROUP, len(x)))
-        first, last = x[group.start, right.axis], x[group.stop - 1, right.axis]
-        reach = 2 * k + 8
-        lo = max(0, np.searchsorted(right.line, first) - reach)
-        hi = min(total, np.searchsorted(right.line, last) + reach)
-        if hi - lo < total and hi - lo >= k:
-            bound = 0.0
-            for part in blocks(group.stop - group.start, hi - lo):
-                rows = slice(group.start + part.start, min(group.start + part.stop, group.stop))
-                bound = max(bound, float(np.partition(measure(rows, lo, hi), k - 1, axis=1)[:, k - 1].max()))
-            slack = bound * (1 + 1e-9) + 1e-12
-            lo, hi = np.searchsorted(right.line, first - slack), np.searchsorted(right.line, last + slack, "right")
-        else:
-            lo, hi = 0, total
-        for part in blocks(group.stop - group.start, hi - lo):
-            rows = slice(group.start + part.start, min(group.start + part.stop, group.stop))
-            d = measure(rows, lo, hi)
-            keep = min(k, d.shape[1])
-            limit = np.partition(d, keep - 1, axis=1)[:, keep - 1]
-            r, c = np.nonzero((d <= limit[:, None]) & np.isfinite(d))
-            value, c = d[r, c], c + lo
-            order = np.lexsort((right.rank[c], value, r))
-            r, c, value = r[order], c[order], value[order]
-            place = np.arange(len(r)) - np.searchsorted(r, r)
-            chosen = place < k
-            out.append((r[chosen] + rows.start, c[chosen], value[chosen], place[chosen] + 1))
+    for group in pieces(x, GROUP):
+        r, c, value, place = right.search(
+            x[group], k, metric, None if own is None else own[group], None if labels is None else labels[group], within[group]
+        )
+        out.append((group[r], c, value, place))
     r, c, value, place = (np.concatenate([o[i] for o in out]) for i in range(4))
     if metric in UNIT:
         value = value * value / 2
@@ -275,46 +349,32 @@ def _tiled_nearest(lrows, rrows, width, k, metric, exclude_self, labelled, carry
         for part in parts:
             x = matrix(part["_x"], width)
             visits: list[np.ndarray] = []
+            first = "_within" not in part
+            reached: list[np.ndarray] = []
             for rows in blocks(len(x), len(live) * depth * 4):
                 d = distances(x[rows], live, base)
-                reach = d[:, :, None] + near[None, :, :]
-                if labelled:
-                    mine = part["_l"].to_numpy()[rows]
-                    reach[near_label[None, :, :] == mine[:, None, None]] = np.inf
-                flat = reach.reshape(len(d), -1)
-                nth = min(need, flat.shape[1]) - 1
-                bound = np.partition(flat, nth, axis=1)[:, nth] if flat.shape[1] >= need else np.full(len(d), np.inf)
-                bound = bound * (1 + 1e-9) + 1e-12
+                if first:
+                    reach = d[:, :, None] + near[None, :, :]
+                    if labelled:
+                        mine = part["_l"].to_numpy()[rows]
+                        reach[near_label[None, :, :] == mine[:, None, None]] = np.inf
+                    flat = reach.reshape(len(d), -1)
+                    nth = min(need, flat.shape[1]) - 1
+                    bound = np.partition(flat, nth, axis=1)[:, nth] if flat.shape[1] >= need else np.full(len(d), np.inf)
+                    reached.append(bound * (1 + 1e-9) + 1e-12)
+                    visits += list(cells[d.argmin(axis=1)[:, None]].astype("int32"))
+                    continue
+                bound = part["_within"].to_numpy(float)[rows]
                 gap = np.maximum(d - high[None, :], low[None, :] - d)
                 gap = np.maximum(gap, (d - d.min(axis=1)[:, None]) / 2)
+                # rows that are placed by their nearest pivot lie on its side of the border
                 open_cells = gap <= bound[:, None]
+                open_cells[np.arange(len(d)), d.argmin(axis=1)] = False
                 visits += [cells[row].astype("int32") for row in open_cells]
+            if first:
+                part = part.assign(_within=np.concatenate(reached) if reached else [])
             yield part.assign(_cells=pd.Series(visits, index=part.index, dtype=object))
 
-    left_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in lrows.schema.fields)
-    # each left row costs a distance to every pivot, so spread them evenly first
-    visiting = settle(lrows.mapInPandas(visit, left_schema + ", _cells array<int>"), "visits")
-    visitors = {r["_cell"]: r.n for r in visiting.select(F.explode("_cells").alias("_cell")).groupBy("_cell").agg(F.count("*").alias("n")).collect()}
-    plan_rows = [
-        (int(r["_cell"]), math.ceil(r.n / tile_rows), math.ceil(visitors.get(r["_cell"], 1) / tile_rows)) for r in sizes
-    ]
-    # one row per cell, at most MAX_PIVOTS rows
-    plan = lrows.sparkSession.createDataFrame(plan_rows, "_cell int, _chunks int, _salts int")
-    ltiles = (
-        visiting.withColumn("_cell", F.explode("_cells")).drop("_cells")
-        .join(F.broadcast(plan), "_cell")
-        .withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1)))
-        .withColumn("_salt", F.pmod(F.xxhash64("left_key"), F.col("_salts")).cast("int"))
-        .drop("_chunks", "_salts")
-    )
-    rtiles = (
-        placed.drop("_far")
-        .join(F.broadcast(plan), "_cell")
-        .withColumn("_chunk", F.pmod(F.xxhash64("right_key"), F.col("_chunks")).cast("int"))
-        .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1)))
-        .drop("_chunks", "_salts")
-    )
-
     columns = ["left_key", "right_key", "distance", "rank", *carry]
 
     def tile(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
@@ -323,11 +383,51 @@ def _tiled_nearest(lrows, rrows, width, k, metric, exclude_self, labelled, carry
         return top_rows(a, RightSide.of(b, carry, labelled), k, metric, exclude_self, labelled)
 
     spots = ["_cell", "_chunk", "_salt"]
-    # a fixed number of partitions, because the work is far larger than the bytes
-    tiles = sum(chunks * salts for _, chunks, salts in plan_rows)
-    parts = max(1, min(tiles, 20_000))
-    ltiles, rtiles = ltiles.repartition(parts, *spots), rtiles.repartition(parts, *spots)
-    return ltiles.groupBy(*spots).cogroup(rtiles.groupBy(*spots)).applyInPandas(tile, schema)
+
+    def visited(visiting: DataFrame) -> DataFrame:
+        """Hits of every visitor in the cells that it visits."""
+        visitors = {
+            r["_cell"]: r.n
+            for r in visiting.select(F.explode("_cells").alias("_cell")).groupBy("_cell").agg(F.count("*").alias("n")).collect()
+        }
+        plan_rows = [
+            (int(r["_cell"]), math.ceil(r.n / tile_rows), math.ceil(visitors.get(r["_cell"], 1) / tile_rows)) for r in sizes
+        ]
+        # one row per cell, at most MAX_PIVOTS rows
+        plan = lrows.sparkSession.createDataFrame(plan_rows, "_cell int, _chunks int, _salts int")
+        ltiles = (
+            visiting.withColumn("_cell", F.explode("_cells")).drop("_cells")
+            .join(F.broadcast(plan), "_cell")
+            .withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1)))
+            .withColumn("_salt", F.pmod(F.xxhash64("left_key"), F.col("_salts")).cast("int"))
+            .drop("_chunks", "_salts")
+        )
+        rtiles = (
+            placed.drop("_far")
+            .join(F.broadcast(plan), "_cell")
+            .withColumn("_chunk", F.pmod(F.xxhash64("right_key"), F.col("_chunks")).cast("int"))
+            .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1)))
+            .drop("_chunks", "_salts")
+        )
+        # a fixed number of partitions, because the work is far larger than the bytes
+        tiles = sum(chunks * salts for _, chunks, salts in plan_rows)
+        parts = max(1, min(tiles, 20_000))
+        ltiles, rtiles = ltiles.repartition(parts, *spots), rtiles.repartition(parts, *spots)
+        return ltiles.groupBy(*spots).cogroup(rtiles.groupBy(*spots)).applyInPandas(tile, schema)
+
+    left_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in lrows.schema.fields)
+    left_schema += ", _within double, _cells array<int>"
+    # each row asks its own cell first; what it finds there says how far the others have to be searched
+    first = settle(lrows.mapInPandas(visit, left_schema), "visits")
+    hits = settle(visited(first), "hits")
+    order = Window.partitionBy("left_key").orderBy("distance", "right_key")
+    last = hits.withColumn("_n", F.row_number().over(order)).where(F.col("_n") == k)
+    far = F.sqrt(2 * F.col("distance")) if metric in UNIT else F.col("distance")
+    last = last.select(F.col("left_key").alias("_last_key"), (far * (1 + 1e-9) + 1e-12).alias("_last"))
+    again = first.drop("_cells").join(last, F.col("left_key").eqNullSafe(F.col("_last_key")), "left")
+    again = again.withColumn("_within", F.least("_within", "_last")).select(*[f.name for f in lrows.schema.fields], "_within")
+    second = settle(again.mapInPandas(visit, left_schema), "visits")
+    return hits.unionByName(visited(second))
 
 
 def pair_blocks(
@@ -366,6 +466,40 @@ def pair_blocks(
     return a.groupBy("_a", "_b").cogroup(b.groupBy("_a", "_b")).applyInPandas(tile, schema)
 
 
+def label_sums(x: np.ndarray, y: np.ndarray, codes: np.ndarray, labels: int, metric: str) -> np.ndarray:
+    """(row of x, label): summed distances to the rows of y, which are sorted by their label's code.
+
+    Euclidean distances come from a product of matrices, in blocks that stay in a core's cache. Pairs so near
+    that the differences of squares lose digits are measured again dimension by dimension.
+    """
+    total = np.zeros((len(x), labels))
+    if metric != "euclidean" or not max(np.abs(x).max(), np.abs(y).max()) < LARGE:
+        member = np.zeros((len(y), labels))
+        member[np.arange(len(y)), codes] = 1.0
+        return np.concatenate([distances(x[p], y, metric) @ member for p in blocks(len(x), len(y))])
+    centre = y.mean(axis=0)
+    zx, zy = x - centre, y - centre
+    xx, yy = (zx * zx).sum(axis=1), (zy * zy).sum(axis=1)
+    for at in range(0, len(y), LEAF):
+        some = slice(at, at + LEAF)
+        here = codes[some]
+        starts = np.flatnonzero(np.r_[True, here[1:] != here[:-1]])
+        turned = -2 * zy[some].T
+        for first in range(0, len(x), GROUP):
+            rows = slice(first, first + GROUP)
+            d = zx[rows] @ turned
+            d += xx[rows, None]
+            d += yy[some]
+            close = 1e-7 * (xx[rows].max() + yy[some].max())
+            if d.min() < close:
+                r, c = np.nonzero(d < close)
+                exact = pair_distances(x[first + r], y[at + c], metric)
+                d[r, c] = exact * exact
+            np.sqrt(d, out=d)
+            total[rows, here[starts]] += np.add.reduceat(d, starts, axis=1) if len(starts) > 1 else d.sum(axis=1)[:, None]
+    return total
+
+
 def distance_sums(
     df: DataFrame, key: str, features: Sequence[str], label: str, metric: str = "euclidean",
     small_values: int = SMALL_VALUES, tile_rows: int = TILE_ROWS,
@@ -380,11 +514,10 @@ def distance_sums(
     schema = f"left_key {fields['left_key']}, _l {fields['_l']}, other {fields['_l']}, total double"
 
     def sums(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        b = b.sort_values("_l", kind="stable")
         x, y = np.stack(a["_x"].to_numpy()), np.stack(b["_x"].to_numpy())
         labels, codes = np.unique(b["_l"].to_numpy(), return_inverse=True)
-        member = np.zeros((len(y), len(labels)))
-        member[np.arange(len(y)), codes] = 1.0
-        total = np.concatenate([distances(x[p], y, metric) @ member for p in blocks(len(x), len(y))])
+        total = label_sums(x, y, codes, len(labels), metric)
         return pd.DataFrame(
             {
                 "left_key": np.repeat(a["left_key"].to_numpy(), len(labels)),

@@ -4,6 +4,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
+from tabloom.operators import neighbors
 from tabloom.operators.metrics.clustering import silhouette_samples
 from tabloom.operators.missing import fill_by_neighbors
 from tabloom.operators.models.cluster import single_linkage
@@ -126,3 +127,39 @@ def test_neighbor_fill_uses_shared_columns(spark):
     assert got[1].b == 12.0  # only a is shared with row 4, and it is nearest after scaling
     assert got[4].c == 6.0 or got[4].c == 5.0
     assert np.isclose(got[3].a, np.mean([1.0, 1.1, 9.0, 1.2, 8.8]))  # nothing shared: the column mean
+
+
+def test_a_search_measures_few_pairs(monkeypatch):
+    """Distances are taken dimension by dimension for few pairs, and boxes out of reach are left out."""
+    random = np.random.default_rng(5)
+    x = (random.normal(size=(40, 3)) * 100)[np.arange(8000) % 40] + random.normal(size=(8000, 3))
+    x[4000:4100] = x[0]  # copies: ties go to the lower key
+    keys = np.arange(8000)
+    seen = []
+    plain, exact = neighbors.distances, neighbors.pair_distances
+    monkeypatch.setattr(neighbors, "distances", lambda a, b, m: seen.append(len(a) * len(b)) or plain(a, b, m))
+    monkeypatch.setattr(neighbors, "pair_distances", lambda a, b, m: seen.append(len(a)) or exact(a, b, m))
+    right = neighbors.RightSide(x, keys, None, {})
+    left = pd.DataFrame({"left_key": keys, "_x": list(x)})
+    out = neighbors.top_rows(left, right, 4, "euclidean", True, False).sort_values(["left_key", "rank"])
+    assert sum(seen) < 8000 * 8000 / 20
+    every = plain(x, x, "euclidean")
+    np.fill_diagonal(every, np.inf)
+    want = np.argsort(every, axis=1, kind="stable")[:, :4]
+    assert (out["right_key"].to_numpy().reshape(-1, 4) == want).all()
+    assert (out["distance"].to_numpy().reshape(-1, 4) == np.take_along_axis(every, want, axis=1)).all()
+
+
+def test_label_sums_take_no_pair_by_dimension(monkeypatch):
+    random = np.random.default_rng(6)
+    x = np.concatenate([random.normal(size=(700, 5)) + 1e4, random.normal(size=(700, 5))])
+    x[:50] = x[700]
+    codes = np.sort(random.integers(0, 4, 1400))
+    want = neighbors.distances(x, x, "euclidean") @ np.eye(4)[codes]
+
+    def refuse(*_):
+        raise AssertionError("all pairs were measured dimension by dimension")
+
+    monkeypatch.setattr(neighbors, "distances", refuse)
+    got = neighbors.label_sums(x, x, codes, 4, "euclidean")
+    assert got == pytest.approx(want, rel=1e-9)
