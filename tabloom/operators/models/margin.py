@@ -261,11 +261,13 @@ def fit_svr(
     require_numeric(df, features)
     space = fit_kernel_map(df, features, kernel, gamma, degree, components, random_state, method, coef0)
     base = df.dropna(subset=[*features, label])
-    packed, shards, count = pack(base, key, mapped(base, space, features), [ref(label)], space.size, shard_values)
+    # the map is many times as wide as the features, so shards hold these and map them when they are read
+    into = None if kernel == "linear" else space
+    packed, shards, count = pack(base, key, feature_array(base, features), [ref(label)], space.size, shard_values, into)
     net = Network([space.size, 1], "identity", "epsilon", epsilon)
     s = Settings(rate=learning_rate_init, decay=1.0 / (C * max(count, 1)), max_iter=max_iter, seed=random_state, tol=1e-5)
     try:
-        flat, _ = train(packed, shards, net, s)
+        flat, _ = train(packed, shards, net, s, into)
     finally:
         release(packed)
     layer = net.layers(flat)[0]

@@ -9,7 +9,7 @@ size: small data has ``SHARDS`` shards, larger data one for every ``SHARD_VALUES
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -173,8 +173,15 @@ class Watch:
         return self.idle > self.patience
 
 
-def pack(df: DataFrame, key: str, x: Column, y: Sequence[Column], width: int, shard_values: int) -> tuple[DataFrame, int, int]:
-    """One record per shard: (shard, n, x bytes, y bytes), rows in key order."""
+def pack(
+    df: DataFrame, key: str, x: Column, y: Sequence[Column], width: int, shard_values: int,
+    into: Callable[[np.ndarray], np.ndarray] | None = None,
+) -> tuple[DataFrame, int, int]:
+    """One record per shard: (shard, n, x bytes, y bytes), rows in key order.
+
+    With ``into`` the inputs are its values, ``width`` numbers a row; the shards hold what it is taken of, and rows
+    whose values are no numbers are left out.
+    """
     rows = df.select(ref(key).alias("_key"), x.alias("_x"), F.array(*[c.cast("double") for c in y]).alias("_y"))
     rows = rows.where(~F.exists("_x", lambda v: v.isNull() | F.isnan(v)) & ~F.exists("_y", lambda v: v.isNull() | F.isnan(v)))
     count = rows.count()
@@ -184,20 +191,31 @@ def pack(df: DataFrame, key: str, x: Column, y: Sequence[Column], width: int, sh
         part = part.sort_values("_key")
         xs = np.stack(part["_x"].to_numpy()).astype(float)
         ys = np.stack(part["_y"].to_numpy()).astype(float)
+        if into is not None:
+            whole = ~np.isnan(into(xs)).any(axis=1)
+            part, xs, ys = part[whole], xs[whole], ys[whole]
+            if not len(part):
+                return pd.DataFrame({"shard": [], "n": [], "xs": [], "ys": []})
         return pd.DataFrame({"shard": [int(part["_shard"].iloc[0])], "n": [len(part)], "xs": [xs.tobytes()], "ys": [ys.tobytes()]})
 
     spread = rows.withColumn("_shard", hash_bucket(F.col("_key"), shards, "shard"))
     packed = spread.groupBy("_shard").applyInPandas(join, "shard int, n long, xs binary, ys binary")
-    return settle(packed, "shards"), shards, count
+    packed = settle(packed, "shards")
+    if into is not None:
+        count = packed.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    return packed, shards, count
 
 
-def train(packed: DataFrame, shards: int, net: Network, s: Settings) -> tuple[np.ndarray, list[float]]:
+def train(
+    packed: DataFrame, shards: int, net: Network, s: Settings, into: Callable[[np.ndarray], np.ndarray] | None = None
+) -> tuple[np.ndarray, list[float]]:
     p = net.length
     state = np.concatenate([net.start(s.seed), np.zeros(2 * p + 1)])
-    width, targets = net.sizes[0], 1 if net.loss == "softmax" else net.sizes[-1]
+    targets = 1 if net.loss == "softmax" else net.sizes[-1]
 
     def unpack(row) -> tuple[np.ndarray, np.ndarray]:
-        return np.frombuffer(row.xs).reshape(row.n, width), np.frombuffer(row.ys).reshape(row.n, targets)
+        x = np.frombuffer(row.xs).reshape(row.n, -1)
+        return x if into is None else into(x), np.frombuffer(row.ys).reshape(row.n, targets)
 
     spark = packed.sparkSession
     watch, curve = Watch(s.tol, s.patience), []
