@@ -212,3 +212,39 @@ def test_known_rows_project_to_their_own_weights(spark, tmp_path):
     for x in model.project(new).collect():
         got.setdefault(x.src, []).append(x.w)
     assert set(got) == {500, 501} and all(len(w) == 6 and sum(w) == pytest.approx(np.log2(6), abs=1e-6) for w in got.values())
+
+
+def test_neighbours_with_more_classes_than_a_broadcast_holds(spark, monkeypatch):
+    from functools import partial
+
+    from tabloom.operators.lookup import lookup
+    from tabloom.operators.models import base
+    from tabloom.operators.models import nearest as module
+
+    monkeypatch.setattr(base, "lookup", partial(lookup, rows=1000))
+    monkeypatch.setattr(module, "lookup", partial(lookup, rows=1000), raising=False)
+    monkeypatch.setattr(module, "BROADCAST_ROWS", 1000, raising=False)
+    df = many(spark, 1300).withColumn("c", F.concat(F.lit("c "), F.col("c"))).unionByName(
+        spark.createDataFrame([(9000, None, 3.0, 3.0)], "id long, c string, a double, b double").where("id < 0")
+    )
+    model = fit_nearest(df, ["a", "b"], "c", "id", n_neighbors=1, weights="distance")
+    out = model.predict(df)
+    assert out.where("prediction = c").count() == 2600
+    assert out.columns == [*df.columns, "prediction", "probabilities"]
+    row = out.where("id = 1250").first()
+    assert len(row.probabilities) == 1300 and row.probabilities[sorted(f"c {i}" for i in range(1300)).index("c 1250")] == 1.0
+
+
+def test_shards_of_a_kernel_map_hold_the_features(spark):
+    from tabloom.operators.models import margin, neural
+
+    df = spark.range(500).select("id", (F.col("id") % 17).cast("double").alias("a"), (F.col("id") % 5).cast("double").alias("b"))
+    df = df.withColumn("y", F.col("a") / 17 - F.col("b") / 5)
+    space = margin.fit_kernel_map(df, ["a", "b"], "rbf", 0.1, 3, 50, 1)
+    net, s = neural.Network([50, 1], "identity", "epsilon", 0.1), neural.Settings(max_iter=10)
+    x = F.array("a", "b")
+    narrow, shards, count = neural.pack(df, "id", x, [F.col("y")], 50, 1000, space)
+    wide, *same = neural.pack(df, "id", margin.mapped(df, space, ["a", "b"]), [F.col("y")], 50, 1000)
+    assert same == [shards, count] and count == 500
+    assert narrow.agg(F.sum(F.length("xs"))).first()[0] == 500 * 2 * 8
+    assert neural.train(narrow, shards, net, s, space)[0] == pytest.approx(neural.train(wide, shards, net, s)[0], abs=1e-9)
