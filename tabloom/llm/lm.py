@@ -31,8 +31,8 @@ from ..sources.shared import release, settle
 from .common import fold, whole_texts
 
 #: Classes of frequent words and words in each; one class more holds all other words.
-CLASSES = 12
-WORDS = 12
+CLASSES = 64
+WORDS = 64
 #: Size of the state.
 STATE = 8
 #: Steps of a window, and streams trained side by side.
@@ -389,9 +389,10 @@ def score_documents(
             break
         least = r.c
     top = short.where(F.col("c") >= least).collect() if least is not None else []
+    size = CLASSES * WORDS
+    top += short.orderBy(F.desc("c"), "word").limit(size).collect()  # the vocabulary, however few words are broadcast
     of_end = counts.where(F.col("word") == F.lit(end)).first()
     known = {end: of_end.c if of_end else 0} | {bytes(r.word): r.c for r in top}
-    size = CLASSES * WORDS
     table = {w: i for i, w in enumerate(sorted(known, key=lambda w: (-known[w], w))[:size])}
     if end not in table:
         table[end] = table.pop(min(table, key=lambda w: (known[w], w)))

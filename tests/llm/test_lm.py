@@ -104,3 +104,14 @@ def test_odd_documents(spark):
     assert len(rows) == len(ROWS)
     compare(rows, texts())
     assert lm.score_documents(no_documents(spark)).count() == 0
+
+
+def test_the_network_knows_more_than_the_most_frequent_words(spark, monkeypatch):
+    """A corpus of 2,000 equally frequent words is all in the vocabulary."""
+    seen = []
+    fit = lm._fit
+    monkeypatch.setattr(lm, "_fit", lambda *a: seen.append(a[3]) or fit(*a))
+    docs = spark.createDataFrame([(i, " ".join(f"w{j}" for j in range(i % 4 * 500, i % 4 * 500 + 500))) for i in range(40)], "doc_id long, text string")
+    out = lm.score_documents(docs).collect()
+    assert len(seen[0]) == 2001
+    assert len(out) == 40 and all(np.isfinite(r.score) and r.score < 0 for r in out)
