@@ -6,10 +6,13 @@ order share the longest prefixes. A pair is a candidate from the depth on at whi
 region of the order has become small, so sparse regions are searched at shallow depth
 and crowded ones only deeper. In regions that stay crowded (large groups of near copies)
 each row is compared with the next one and with the region's centre, the row on the path
-of the largest subregions; rows that leave such a region early are compared with more
-rows around them, but only where the first comparisons have not joined the two yet. Orders are range-partitioned by the whole prefix and the node, so a group
+of the largest subregions. Orders are range-partitioned by the whole prefix and the node, so a group
 of any size spreads over partitions; rows at partition edges are matched in a second,
 small step. Candidates are confirmed on full sets.
+
+What these links leave apart in a region of a tree's own positions is then compared pair
+by pair: a region of several components is cut into tiles of two blocks of rows, a task
+holds one tile, confirms on full sets and returns only the links that join components.
 """
 
 from __future__ import annotations
@@ -38,10 +41,14 @@ SHALLOWEST = 2
 CROWDED = 24
 #: Following rows of an order that a row is compared with.
 NEIGHBOURS = 4
-#: The same to both sides, for rows that leave a crowded region early.
-FAR_NEIGHBOURS = 32
-#: Rows of a region of own positions from which on it has heads; in smaller ones the orders compare all rows.
-GATHERED = 2 * NEIGHBOURS
+#: Rows of a region of own positions that the orders all compare with each other; larger ones are cut into tiles.
+COMPARED = NEIGHBOURS + 1
+#: Rows of a block of a tile while a region has few blocks, and those of a larger region.
+BLOCK, LARGE_BLOCK = 512, 4096
+#: Blocks of BLOCK rows that a region has at most.
+BLOCKS = 6
+#: Shingles of a block on average.
+BLOCK_SHINGLES = 2_000_000
 #: Rows of an order held in memory at once.
 SLICE = 400_000
 #: Agreeing positions of a true pair lie below this share of what its similarity promises about once in a million.
@@ -99,8 +106,8 @@ def common_depth(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return np.cumprod(left == right, axis=1).sum(axis=1)
 
 
-def slice_pairs(tree: np.ndarray, prefix: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row numbers of the candidate pairs in one sorted run of rows, and which are left for later (see the module's text)."""
+def slice_pairs(tree: np.ndarray, prefix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers of the candidate pairs in one sorted run of rows (see the module's text)."""
     n = len(tree)
     lcp = common_depth(prefix[1:], prefix[:-1])
     lcp[tree[1:] != tree[:-1]] = 0
@@ -113,14 +120,15 @@ def slice_pairs(tree: np.ndarray, prefix: np.ndarray) -> tuple[np.ndarray, np.nd
     enough = np.where(small.any(axis=0), SHALLOWEST + small.argmax(axis=0), DEPTH)
     crowded = sizes[: DEPTH + 1] > CROWDED
     deepest = np.where(crowded.any(axis=0), DEPTH - crowded[::-1].argmax(axis=0), 0)  # the deepest crowded region
-    left, right, later = [], [], []
+    left, right = [], []
     shared = lcp
     for k in range(1, min(NEIGHBOURS, n - 1) + 1):
         shared = lcp[: n - k] if k == 1 else np.minimum(shared[: n - k], lcp[k - 1 :])
         at = np.flatnonzero(shared >= np.minimum(enough[: n - k], enough[k:]))
+        if k > 1:  # a crowded region of own positions is cut into tiles later
+            at = at[(deepest[at] < OWN) | (shared[at] < OWN)]
         left.append(at)
         right.append(at + k)
-        later.append((deepest[at] >= OWN) & (k > 1))
     # centres of crowded regions, if they are more than a shallow coincidence
     for d in range(OWN, DEPTH + 1):
         rows = np.flatnonzero(deepest >= d)
@@ -133,22 +141,10 @@ def slice_pairs(tree: np.ndarray, prefix: np.ndarray) -> tuple[np.ndarray, np.nd
         at = deepest[rows[order]] == d
         left.append(rows[order][at])
         right.append(centre[at])
-        later.append(np.zeros(at.sum(), bool))
-    # far from the centre of a crowded region: few rows may be close enough, so more of them are tried
-    far = np.flatnonzero(deepest == OWN)
-    for k in range(NEIGHBOURS + 1, FAR_NEIGHBOURS + 1):
-        for step in (k, -k):
-            other = far + step
-            inside = (other >= 0) & (other < n)
-            at, other = far[inside], other[inside]
-            same = regions[OWN, at] == regions[OWN, other]
-            left.append(at[same])
-            right.append(other[same])
-            later.append(np.ones(same.sum(), bool))
     if not left:
-        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, bool)
-    a, b, after = np.concatenate(left), np.concatenate(right), np.concatenate(later)
-    return a[a != b], b[a != b], after[a != b]
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    a, b = np.concatenate(left), np.concatenate(right)
+    return a[a != b], b[a != b]
 
 
 def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,7 +157,7 @@ def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw = rows.column("prefix").to_pylist()
         prefix = np.frombuffer(b"".join(raw), ">u2").reshape(n, DEPTH)
         node = rows.column("node")
-        a, b, later = slice_pairs(tree, prefix)
+        a, b = slice_pairs(tree, prefix)
         edge = np.unique(np.r_[np.arange(min(n, NEIGHBOURS)), np.arange(max(0, n - NEIGHBOURS), n)])
         nodes = node.take(pa.array(np.r_[a, edge])).combine_chunks()
         others = pa.concat_arrays([
@@ -170,8 +166,7 @@ def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trees = pa.array(np.r_[np.full(len(a), -1), tree[edge]].astype(np.int32))
         prefixes = pa.array([None] * len(a) + [raw[i] for i in edge], pa.binary())
         return pa.RecordBatch.from_arrays(
-            [pa.array(nodes.to_pylist(), pa.binary()), others, pa.array(np.r_[later, np.zeros(len(edge), bool)]), trees,
-             prefixes], names=["a", "b", "later", "tree", "prefix"],
+            [pa.array(nodes.to_pylist(), pa.binary()), others, trees, prefixes], names=["a", "b", "tree", "prefix"],
         )
 
     held: list[pa.RecordBatch] = []
@@ -199,20 +194,16 @@ def _across_edges(edges: DataFrame) -> DataFrame:
 
 
 def candidates(nodes: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b, later), a below b, from a table of (node, signature)."""
+    """Distinct pairs (a, b), a below b, from a table of (node, signature)."""
     spark = nodes.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     orders = nodes.select("node", "signature").mapInArrow(_orders, "tree int, prefix binary, node binary")
     spread = orders.repartitionByRange(parts, "tree", "prefix", "node").sortWithinPartitions("tree", "prefix", "node")
-    found = settle(
-        spread.mapInArrow(_search, "a binary, b binary, later boolean, tree int, prefix binary"), "orders"
-    )
-    pairs = found.where("b IS NOT NULL").select("a", "b", "later").unionByName(
-        _across_edges(found.where("b IS NULL")).withColumn("later", F.lit(False))
-    )
+    found = settle(spread.mapInArrow(_search, "a binary, b binary, tree int, prefix binary"), "orders")
+    pairs = found.where("b IS NOT NULL").select("a", "b").unionByName(_across_edges(found.where("b IS NULL")))
     return (
-        pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "later")
-        .where(F.col("a") != F.col("b")).groupBy("a", "b").agg(F.min("later").alias("later"))
+        pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        .where(F.col("a") != F.col("b")).distinct()
     )
 
 
@@ -226,57 +217,114 @@ def _regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         region = np.tile(np.arange(TREES, dtype=np.int64), (n, 1))
         for j in range(OWN):
             region = region << 16 | own[:, :, j]
+        each = pa.array(np.repeat(np.arange(n), TREES))
         yield pa.RecordBatch.from_arrays(
-            [pa.array(region.ravel()), batch.column(0).take(pa.array(np.repeat(np.arange(n), TREES)))],
-            names=["region", "node"],
+            [pa.array(region.ravel()), *(batch.column(c).take(each) for c in (0, 2))], names=["region", "node", "n_shingles"],
         )
 
 
 def gathered(nodes: DataFrame) -> DataFrame:
-    """(region, node, size) of the rows in regions of more than GATHERED rows."""
-    each = nodes.select("node", "signature").mapInArrow(_regions, "region long, node binary")
-    large = settle(each.groupBy("region").agg(F.count("*").alias("size")).where(F.col("size") > GATHERED), "regions")
-    return settle(lookup(each, large, "region", "size").where("size IS NOT NULL"), "gathered")
+    """(region, node, n_shingles) of the rows in regions of more than COMPARED rows."""
+    each = nodes.select("node", "signature", "n_shingles").mapInArrow(_regions, "region long, node binary, n_shingles long")
+    large = settle(each.groupBy("region").agg(F.count("*").alias("size")).where(F.col("size") > COMPARED), "regions")
+    return lookup(each, large, "region", "size").where("size IS NOT NULL").select("region", "node", "n_shingles")
 
 
-def _round(members: DataFrame, roots: DataFrame, tried: DataFrame | None, salt: int) -> tuple[DataFrame, DataFrame]:
-    """Heads (region, size, heads) of the regions with more than one component, and the pairs (a, b) of rows and heads apart."""
+def _tiles(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """(region, node, root, block, blocks) of the rows in regions with more than one component."""
     placed = settle(members.join(roots, "node"), "placed")
-    parts = placed.groupBy("region", "root").agg(F.count("*").alias("n"))
-    regions = parts.groupBy("region").agg(
-        F.sum("n").alias("size"), (F.sum("n") - F.max("n")).alias("outside")
-    ).where("outside > 0")
-    here = settle(
-        lookup(placed.select("region", "node", "root"), settle(regions, "regions"), "region", "size")
-        .where("size IS NOT NULL"), "here",
+    few = F.least(F.ceil(F.col("size") / BLOCK), F.lit(BLOCKS))
+    mixed = settle(
+        placed.groupBy("region").agg(
+            F.count("*").alias("size"), F.sum("n_shingles").alias("shingles"), F.min("root").alias("low"), F.max("root").alias("high"),
+        ).where("low != high").select(
+            "region", "size",
+            F.greatest(few, F.ceil(F.col("size") / LARGE_BLOCK), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"),
+        ), "mixed",
     )
-    release(placed)
-    of_node = Window.partitionBy("node")
-    scored = here.withColumn("all", F.sum("size").over(of_node)).withColumn("apart", F.sum("outside").over(of_node))
-    if tried is not None:
-        scored = scored.join(tried, ["region", "node"], "left_anti")
-    head, tie = F.struct("node", "root"), F.xxhash64("node", "region", F.lit(salt))
-    heads = settle(
-        scored.groupBy("region").agg(
-            F.max("size").alias("size"),
-            F.array_distinct(F.array(
-                F.max_by(head, F.struct("all", tie)), F.max_by(head, F.struct("apart", tie)),
-            )).alias("heads"),
-        ), "heads",
+    here = lookup(placed, mixed, "region", "size").where("blocks IS NOT NULL")
+    return here.select(
+        "region", "node", "root", F.pmod(F.xxhash64("node", "region"), F.col("blocks")).cast("int").alias("block"), "blocks"
     )
-    met = lookup(here.select("region", "node", "root"), heads, "region", "size").where("heads IS NOT NULL")
-    pairs = met.select(
-        "node", F.explode(F.filter("heads", lambda h: h["root"] != F.col("root"))).alias("head")
-    ).select(F.least("node", "head.node").alias("a"), F.greatest("node", "head.node").alias("b")).distinct()
-    return heads, settle(pairs, "pairs")
-
-
-def _joined(roots: DataFrame, links: DataFrame) -> DataFrame:
-    """(node, root) of every node after further links between components."""
-    between = links
-    for end in ("a", "b"):
-        between = between.join(roots.select(F.col("node").alias(end), F.hex("root").alias(f"root_{end}")), end)
-    over = connected_components(between.where("root_a != root_b"), "root_a", "root_b").select(
+
+
+def alike(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Positions in which each row of one matrix of signatures agrees with each of another."""
+    out = np.zeros((len(left), len(right)), np.uint8)
+    for p in range(left.shape[1]):
+        out += left[:, p][:, None] == right[:, p]
+    return out
+
+
+def tile_links(tile: pa.Table, percent: int) -> tuple[list[bytes], list[bytes]]:
+    """Roots of components that a confirmed link between two rows of a tile joins.
+
+    Pairs that meet in the region of an earlier tree are left to it.
+    """
+    tree, one, other = (tile.column(c)[0].as_py() for c in ("tree", "one", "other"))
+    tile = tile.sort_by("node")
+    n = tile.num_rows
+    block = tile.column("block").to_numpy()
+    signature = np.frombuffer(b"".join(tile.column("signature").to_pylist()), ">u2").reshape(n, SIGNATURE).astype(np.uint16)
+    own = signature.reshape(n, TREES, OWN).astype(np.int64) @ np.array([1 << 32, 1 << 16, 1])
+    sizes = tile.column("n_shingles").to_numpy()
+    names = tile.column("root").to_pylist()
+    number = {name: i for i, name in enumerate(dict.fromkeys(names))}
+    root = np.array([number[name] for name in names])
+    parent = list(range(len(number)))
+    items = tile.column("items")
+    least = int(SIGNATURE * SURE * percent / 100)
+
+    def top(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    first, second = np.flatnonzero(block == one), np.flatnonzero(block == other)
+    joined: tuple[list[bytes], list[bytes]] = ([], [])
+    for start in range(0, len(first), 256):
+        rows = first[start : start + 256]
+        same = alike(signature[rows], signature[second])
+        near = (same >= least) & (root[rows][:, None] != root[second])
+        if one == other:
+            near &= rows[:, None] < second
+        near &= 100 * np.minimum(sizes[rows][:, None], sizes[second]) >= percent * np.maximum(sizes[rows][:, None], sizes[second])
+        i, j = np.nonzero(near)
+        for t in range(tree):
+            new = own[rows[i], t] != own[second[j], t]
+            i, j = i[new], j[new]
+        for at in np.argsort(-same[i, j].astype(np.int16), kind="stable").tolist():
+            x, y = rows[i[at]], second[j[at]]
+            a, b = top(root[x]), top(root[y])
+            if a == b:
+                continue
+            both, either = overlap(*(np.frombuffer(items[int(k)].as_py(), np.uint64) for k in (x, y)))
+            if 100 * both >= percent * either:
+                parent[a] = b
+                joined[0].append(names[x])
+                joined[1].append(names[y])
+    return joined
+
+
+def _between(tiles: DataFrame, held: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of roots that links between rows of one region join; ``held`` has each node's signature and set."""
+    each = tiles.join(held, "node").withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    each = each.select(
+        "region", F.least("block", "with").alias("one"), F.greatest("block", "with").alias("other"), "block",
+        F.shiftright("region", 16 * OWN).cast("int").alias("tree"), "node", "root", "n_shingles", "signature", "items",
+    )
+
+    def run(tile: pa.Table) -> pa.Table:
+        a, b = tile_links(tile, percent)
+        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
+
+    return each.groupBy("region", "one", "other").applyInArrow(run, "a binary, b binary")
+
+
+def _joined(roots: DataFrame, between: DataFrame) -> DataFrame:
+    """(node, root) of every node after pairs (a, b) of roots are joined."""
+    over = connected_components(between.select(F.hex("a").alias("a"), F.hex("b").alias("b")), "a", "b").select(
         F.unhex("node").alias("root"), F.unhex("root").alias("top")
     )
     return settle(roots.join(over, "root", "left").select("node", F.coalesce("top", "root").alias("root")), "roots")
@@ -366,42 +414,28 @@ def near_duplicates(
     )
     pairs = settle(candidates(nodes), "pairs")
 
-    def links_of(some: DataFrame) -> DataFrame:
-        likely = settle(_likely(some.select("a", "b"), nodes, percent), "likely")
-        wanted = (
-            likely.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-            .join(nodes.select("node", F.col("first_key").alias(key)), "node")
-        )
-        sets = settle(_sets(texts, wanted, key, text, width), "sets")
-        links = settle(_confirmed(likely, sets, percent), "links")
-        release(sets)
-        release(likely)
-        return links
+    def sets_of(wanted: DataFrame, label: str) -> DataFrame:
+        named = wanted.join(nodes.select("node", F.col("first_key").alias(key)), "node")
+        return settle(_sets(texts, named, key, text, width), label)
 
-    links = links_of(pairs.where("NOT later"))
+    likely = settle(_likely(pairs, nodes, percent), "likely")
+    release(pairs)
+    sets = sets_of(likely.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "sets")
+    links = settle(_confirmed(likely, sets, percent), "links")
+    release(sets)
+    release(likely)
     linked = connected_components(links, "a", "b", small_edges=-1)
     roots = settle(
         nodes.select("node").join(linked, "node", "left").select("node", F.coalesce("root", "node").alias("root")), "roots"
     )
-    apart = pairs.where("later")
-    for end in ("a", "b"):
-        apart = apart.join(roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}")), end)
-    more = links_of(apart.where("root_a != root_b"))
-    release(pairs)
-    if not more.isEmpty():
-        roots = _joined(roots, more)
-    members, tried, salt = gathered(nodes), None, 0
-    while True:
-        heads, met = _round(members, roots, tried, salt)
-        more = links_of(met)
-        release(met)
-        if more.isEmpty():
-            break
-        before, roots = roots, _joined(roots, more)
-        release(before)
-        used = heads.select("region", F.explode("heads.node").alias("node"))
-        tried, salt = used if tried is None else tried.unionByName(used), salt + 1
-    release(members)
+    tiles = settle(_tiles(gathered(nodes), roots), "tiles")
+    sets = sets_of(tiles.select("node").distinct(), "tile-sets")
+    held = nodes.select("node", "n_shingles", "signature").join(sets, "node")
+    between = settle(_between(tiles, held, percent).distinct(), "between")
+    release(sets)
+    release(tiles)
+    if not between.isEmpty():
+        roots = _joined(roots, between)
     labelled = nodes.select("node", "first_key").join(roots, "node", "left")
     lowest = labelled.where("root IS NOT NULL").groupBy("root").agg(F.min("first_key").alias("lowest"))
     of_node = labelled.join(lowest, "root", "left").select(

@@ -91,6 +91,37 @@ def test_hub_with_disjoint_variants(spark, n, hub):
     assert [r.doc_id for r in rows if r.component_id != 0] == []
 
 
+def crowd(n, changes, apart):
+    """Texts near one base, in pairs: both halves share their changes but for ``apart`` words each."""
+    r = random.Random(n)
+    docs = {}
+    for k in range(0, n, 2):
+        words = [f"w{i}" for i in range(200)]
+        for at in r.sample(range(0, 200, 2), changes):
+            words[at] = f"v{k}x{at}"
+        docs[k] = " ".join(words)
+        for at in r.sample(range(1, 200, 2), apart):
+            words[at] = f"u{k}x{at}"
+        docs[k + 1] = " ".join(words)
+    return docs
+
+
+def test_pairs_in_a_crowd(spark, monkeypatch):
+    """Links between members of a large group that are close to no other member, in tiles of several blocks."""
+    monkeypatch.setattr(neardup, "BLOCK", 64, raising=False)
+    docs = crowd(1000, 18, 9)
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(5)
+    check(neardup.near_duplicates(df, width=2).collect(), docs, 2)
+
+
+def test_candidates_grow_with_the_rows_of_a_group(spark):
+    """A group of near copies gives few pairs for each member, at any size."""
+    df = spark.createDataFrame(list(crowd(1500, 18, 9).items()), "doc_id long, text string")
+    nodes = neardup.sketch(df, "doc_id", "text", 2)
+    found = neardup.candidates(nodes.select("node", "signature")).count()
+    assert found <= 1500 * neardup.TREES
+
+
 def test_odd_documents(spark):
     rows = neardup.near_duplicates(odd_documents(spark), width=5).collect()
     by = {r.doc_id: r for r in rows}
