@@ -21,6 +21,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from itertools import compress, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +39,12 @@ STATE = 8
 #: Steps of a window, and streams trained side by side.
 WINDOW = 16
 STREAMS = 512
+#: Classes that one product takes together, padded to the most columns among them: the frequent ones alone.
+GROUPS = [slice(a, z) for a, z in zip((0, 1, 2, 3, 4, 6, 8, 12, 16, 24, 32, 48), (1, 2, 3, 4, 6, 8, 12, 16, 24, 32, 48, CLASSES))]
+#: Columns whose outputs are computed at once.
+COLUMNS = WINDOW * STREAMS
+#: Scores below this bound need no largest one taken off before the exponential.
+BOUND = 80.0
 #: Step size, and what Adagrad takes as already seen, so that first steps are no larger than later ones.
 RATE = np.float32(0.1)
 SETTLED = np.float32(1e-5)
@@ -107,33 +114,54 @@ class Network:
         np.tanh(new, out=new)
         return new + keep * (h - new), (ids, h, reset, keep, rh, new)
 
-    def output(self, h: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, tuple]:
-        """Natural log probability of the word in each column (of its class for a word of the last class)."""
+    def output(self, h: np.ndarray, ids: np.ndarray, learn: bool = True) -> tuple[np.ndarray, tuple]:
+        """Natural log probability of the word in each column (of its class for a word of the last class).
+
+        With ``learn`` also what backpropagation needs: the classes' and words' shares less the ones that were met.
+        """
+        p = self.p
         classes = np.minimum(ids // WORDS, CLASSES)
-        score = self.p["c"].T @ h
-        score += self.p["cb"][:, None]
-        score -= score.max(axis=0)
-        share = np.exp(score)
-        total = share.sum(axis=0)
+        share = p["c"].T @ h
+        share += p["cb"][:, None]
+        if (np.abs(p["c"]).sum(axis=0) + np.abs(p["cb"])).max() > BOUND:  # states lie between -1 and 1
+            share -= share.max(axis=0)
         columns = np.arange(len(ids))
-        out = score[classes, columns] - np.log(total)
-        share /= total
+        out = share[classes, columns]
+        np.exp(share, out=share)
+        total = share.sum(axis=0)
+        out -= np.log(total)
+        if learn:
+            share /= total
+            share[classes, columns] -= 1
         inside = []
         order = np.argsort(classes, kind="stable")
-        ends = np.searchsorted(classes[order], np.arange(CLASSES + 1))
-        for c in range(CLASSES):
-            at = order[ends[c] : ends[c + 1]]
-            if len(at):
-                own = h.take(at, axis=1)
-                s = self.p["w"][c].T @ own
-                s += self.p["wb"][c][:, None]
-                s -= s.max(axis=0)
-                e = np.exp(s)
-                t = e.sum(axis=0)
-                word = ids[at] % WORDS
-                out[at] += s[word, np.arange(len(at))] - np.log(t)
-                inside.append((c, at, word, e / t, own))
-        return out, (classes, share, inside)
+        counts = np.bincount(classes, minlength=CLASSES + 1)
+        starts = np.cumsum(counts) - counts
+        large = (np.abs(p["w"]).sum(axis=1) + np.abs(p["wb"])).max() > BOUND
+        for group in GROUPS:
+            width = int(counts[group].max())
+            if not width:
+                continue
+            rank = np.arange(width)
+            valid = rank < counts[group][:, None]
+            at = order[np.minimum(starts[group][:, None] + rank, len(ids) - 1)]
+            own = h.take(at.ravel(), axis=1).reshape(len(h), *at.shape).transpose(1, 0, 2)
+            e = p["w"][group].transpose(0, 2, 1) @ own
+            e += p["wb"][group][:, :, None]
+            if large:
+                e -= e.max(axis=1, keepdims=True)
+            c, k = np.nonzero(valid)
+            met = at[c, k]
+            word = ids[met] % WORDS
+            picked = e[c, word, k]
+            np.exp(e, out=e)
+            t = e.sum(axis=1)
+            out[met] += picked - np.log(t[c, k])
+            if learn:
+                e *= (valid / t).astype(e.dtype)[:, None]
+                e[c, word, k] -= 1
+                inside.append((group, c, k, met, e, own))
+        return out, (share, inside)
 
     def gradients(
         self, inputs: np.ndarray, targets: np.ndarray, weight: np.ndarray, h: np.ndarray, tokens: int
@@ -147,18 +175,16 @@ class Network:
             states.append(h)
         used = np.flatnonzero(weight.reshape(-1))
         flat = np.concatenate(states, axis=1).take(used, axis=1)
-        logp, (classes, share, inside) = self.output(flat, targets.reshape(-1)[used])
+        logp, (share, inside) = self.output(flat, targets.reshape(-1)[used])
         n = h.dtype.type(tokens)
         d = {k: np.zeros_like(v) for k, v in p.items()}
-        share[classes, np.arange(len(used))] -= 1
         d["c"] = flat @ share.T / n
         d["cb"] = share.sum(axis=1) / n
         back = p["c"] @ share
-        for c, at, word, e, own in inside:
-            e[word, np.arange(len(at))] -= 1
-            d["w"][c] = own @ e.T / n
-            d["wb"][c] = e.sum(axis=1) / n
-            back[:, at] += p["w"][c] @ e
+        for group, c, k, met, e, own in inside:
+            d["w"][group] = own @ e.transpose(0, 2, 1) / n
+            d["wb"][group] = e.sum(axis=2) / n
+            back[:, met] += (p["w"][group] @ e).transpose(1, 0, 2)[:, c, k]
         dh_all = np.zeros((STATE, weight.size), h.dtype)
         dh_all[:, used] = back / n
         width = weight.shape[1]
@@ -194,8 +220,7 @@ class Network:
 def vocabulary_ids(table: dict[bytes, int], words: list[bytes]) -> np.ndarray:
     """Ids of a document's words and its end; every other word has the id after the vocabulary's."""
     other = CLASSES * WORDS
-    ids = np.fromiter((table.get(w, other) for w in words), np.int32, len(words))
-    return np.append(ids, np.int32(table[END.encode()]))
+    return np.fromiter(map(table.get, [*words, END.encode()], repeat(other)), np.int32, len(words) + 1)
 
 
 def train(network: Network, documents: Iterator[np.ndarray], streams: int = STREAMS) -> tuple[Network, int]:
@@ -236,7 +261,9 @@ def train(network: Network, documents: Iterator[np.ndarray], streams: int = STRE
         for k, g in d.items():
             g *= scale
             memory[k] += g**2
-            network.p[k] -= RATE * g / np.sqrt(memory[k])
+            g *= RATE
+            g /= np.sqrt(memory[k])
+            network.p[k] -= g
         seen += int(weight.sum())
 
 
@@ -264,8 +291,11 @@ def score(network: Network, documents: list[np.ndarray]) -> np.ndarray:
             before = np.maximum(block[t], 0)
         h[:, :active], last[:active] = state, before
         here = np.flatnonzero(block.reshape(-1) >= 0)
-        logp, _ = network.output(np.concatenate(states, axis=1).take(here, axis=1), block.reshape(-1)[here])
-        out[:active] += np.bincount(here % active, logp.astype(np.float64), active)
+        met, words = np.concatenate(states, axis=1).take(here, axis=1), block.reshape(-1)[here]
+        for low in range(0, len(here), COLUMNS):
+            part = slice(low, low + COLUMNS)
+            logp, _ = network.output(met[:, part], words[part], learn=False)
+            out[:active] += np.bincount(here[part] % active, logp.astype(np.float64), active)
         at += width
     back = np.empty(len(documents))
     back[order] = out
@@ -410,7 +440,12 @@ def score_documents(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, known, weights = shared.value
         network = Network(dict(zip(names, weights)))
-        logs = {w: (np.log10(c + 1.0), c) for w, c in known.items()}
+        index = dict(table)  # the vocabulary's ids, then those of the other words with a known count
+        for w in known:
+            index.setdefault(w, len(index))
+        counts = np.array([known[w] for w in sorted(index, key=index.get)])
+        logs, occurs, inner = np.log10(counts + 1.0), counts > 0, len(table)
+        other, last = np.int32(CLASSES * WORDS), table[end]
 
         def flush(keys, flags, ids, tokens, counted, sums, tails, unseen, typed) -> pa.RecordBatch:
             scores = score(network, ids) / np.log(10)
@@ -427,22 +462,16 @@ def score_documents(
             typed = batch.schema.field(0).type
             for k, t, flag in zip(*(c.to_pylist() for c in batch.columns)):
                 words = words_of(t)
-                ids = vocabulary_ids(table, words)
-                rare, base, counted, tail_base, tails = {}, 0.0, 0, 0.0, 0
-                for w, n in Counter(words).items():
-                    found = logs.get(w)
-                    if w not in table:
-                        tails += n
-                    if found is None:
-                        rare[w] = n
-                    else:
-                        base += n * found[0]
-                        counted += n * (found[1] > 0)
-                        if w not in table:
-                            tail_base += n * found[0]
-                found = logs[end]
-                base += found[0]
-                counted += found[1] > 0
+                at = np.fromiter(map(index.get, words, repeat(-1)), np.int32, len(words))
+                unknown = at < 0
+                rare = Counter(compress(words, unknown.tolist()))
+                found = at[~unknown]
+                outer = found >= inner
+                base = float(logs[found].sum() + logs[last])
+                counted = int(occurs[found].sum() + occurs[last])
+                tail_base = float(logs[found[outer]].sum())
+                tails = int(unknown.sum() + outer.sum())
+                ids = np.append(np.where(unknown | (at >= inner), other, at), np.int32(last))
                 for column, v in zip(rows, (k, flag, ids, len(words) + 1, counted, (base, tail_base), tails, rare)):
                     column.append(v)
                 waiting += len(ids)

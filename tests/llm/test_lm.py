@@ -115,3 +115,31 @@ def test_the_network_knows_more_than_the_most_frequent_words(spark, monkeypatch)
     out = lm.score_documents(docs).collect()
     assert len(seen[0]) == 2001
     assert len(out) == 40 and all(np.isfinite(r.score) and r.score < 0 for r in out)
+
+
+def test_output_in_groups_of_classes(monkeypatch):
+    """Words of few and of many classes against a plain softmax; scoring holds a bounded number of columns at once."""
+    r = np.random.default_rng(8)
+    m = Network.start(np.full(CLASSES * WORDS + 1, 1 / (CLASSES * WORDS + 1)))
+    m.p["c"], m.p["w"] = (3 * r.normal(size=m.p[k].shape).astype(np.float32) for k in ("c", "w"))
+    ids = np.r_[np.zeros(300, int), r.integers(0, CLASSES * WORDS + 1, 200), [CLASSES * WORDS] * 5, [CLASSES * WORDS - 1]]
+    h = np.tanh(r.normal(size=(STATE, len(ids)))).astype(np.float32)
+
+    def share(scores, at):
+        return scores[at] - np.log(np.exp(scores - scores.max()).sum()) - scores.max()
+
+    def plain(word, state):
+        c = word // WORDS
+        inside = 0.0 if c == CLASSES else share(state @ m.p["w"][c].astype(float) + m.p["wb"][c], word % WORDS)
+        return inside + share(state @ m.p["c"].astype(float) + m.p["cb"], c)
+
+    wanted = [plain(w, s) for w, s in zip(ids, h.T.astype(float))]
+    assert np.allclose(m.output(h, ids)[0], wanted, rtol=1e-4, atol=1e-4)
+    m.p["c"], m.p["w"] = m.p["c"] * 40, m.p["w"] * 40  # scores whose exponentials leave the range of floats
+    wanted = [plain(w, s) for w, s in zip(ids, h.T.astype(float))]
+    assert np.allclose(m.output(h, ids)[0], wanted, rtol=1e-4, atol=1e-2)
+
+    widths, output = [], Network.output
+    monkeypatch.setattr(Network, "output", lambda self, h, ids, **more: (widths.append(len(ids)), output(self, h, ids, **more))[1])
+    lm.score(m, [r.integers(0, CLASSES * WORDS, 20).astype(np.int32) for _ in range(2000)])
+    assert max(widths) <= lm.WINDOW * lm.STREAMS and sum(widths) == 40_000
