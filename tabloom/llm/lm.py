@@ -138,30 +138,37 @@ class Network:
         counts = np.bincount(classes, minlength=CLASSES + 1)
         starts = np.cumsum(counts) - counts
         large = (np.abs(p["w"]).sum(axis=1) + np.abs(p["wb"])).max() > BOUND
+        met, states = order[: starts[CLASSES]], h.take(order, axis=1)
+        words, gain = ids[met] % WORDS, np.empty(len(met), h.dtype)
         for group in GROUPS:
             width = int(counts[group].max())
             if not width:
                 continue
-            rank = np.arange(width)
-            valid = rank < counts[group][:, None]
-            at = order[np.minimum(starts[group][:, None] + rank, len(ids) - 1)]
-            own = h.take(at.ravel(), axis=1).reshape(len(h), *at.shape).transpose(1, 0, 2)
+            if group.stop - group.start == 1:  # its columns lie side by side
+                at = slice(starts[group.start], starts[group.start] + width)
+                own, c, k, valid = states[None, :, at], np.zeros(1, int), np.arange(width), np.ones((1, 1), bool)
+            else:
+                rank = np.arange(width)
+                valid = rank < counts[group][:, None]
+                places = np.minimum(starts[group][:, None] + rank, len(ids) - 1)
+                own = states.take(places.ravel(), axis=1).reshape(len(h), *places.shape).transpose(1, 0, 2)
+                c, k = np.nonzero(valid)
+                at = slice(starts[group.start], starts[group.start] + len(c))
             e = p["w"][group].transpose(0, 2, 1) @ own
             e += p["wb"][group][:, :, None]
             if large:
                 e -= e.max(axis=1, keepdims=True)
-            c, k = np.nonzero(valid)
-            met = at[c, k]
-            word = ids[met] % WORDS
+            word = words[at]
             picked = e[c, word, k]
             np.exp(e, out=e)
             t = e.sum(axis=1)
-            out[met] += picked - np.log(t[c, k])
+            gain[at] = picked - np.log(t[c, k])
             if learn:
                 e *= (valid / t).astype(e.dtype)[:, None]
                 e[c, word, k] -= 1
-                inside.append((group, c, k, met, e, own))
-        return out, (share, inside)
+                inside.append((group, c, k, at, e, own))
+        out[met] += gain
+        return out, (share, met, inside)
 
     def gradients(
         self, inputs: np.ndarray, targets: np.ndarray, weight: np.ndarray, h: np.ndarray, tokens: int
@@ -175,16 +182,19 @@ class Network:
             states.append(h)
         used = np.flatnonzero(weight.reshape(-1))
         flat = np.concatenate(states, axis=1).take(used, axis=1)
-        logp, (share, inside) = self.output(flat, targets.reshape(-1)[used])
+        logp, (share, met, inside) = self.output(flat, targets.reshape(-1)[used])
         n = h.dtype.type(tokens)
         d = {k: np.zeros_like(v) for k, v in p.items()}
         d["c"] = flat @ share.T / n
         d["cb"] = share.sum(axis=1) / n
         back = p["c"] @ share
-        for group, c, k, met, e, own in inside:
+        more = np.empty((STATE, len(met)), h.dtype)
+        for group, c, k, at, e, own in inside:
             d["w"][group] = own @ e.transpose(0, 2, 1) / n
             d["wb"][group] = e.sum(axis=2) / n
-            back[:, met] += (p["w"][group] @ e).transpose(1, 0, 2)[:, c, k]
+            of_states = p["w"][group] @ e
+            more[:, at] = of_states[0] if len(of_states) == 1 else of_states.transpose(1, 0, 2)[:, c, k]
+        back[:, met] += more
         dh_all = np.zeros((STATE, weight.size), h.dtype)
         dh_all[:, used] = back / n
         width = weight.shape[1]
