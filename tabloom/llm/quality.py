@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LABELLED_ROWS, add_columns, fold, labelled_sample, map_texts, whole_texts
+from .common import LABELLED_ROWS, add_columns, fold, labelled_sample, map_texts, whole_texts, worker_table
 
 #: Hashed n-grams; two that collide share a weight.
 FEATURES = 1 << 18
@@ -32,35 +32,38 @@ PARTS = 3
 #: Word shapes a worker keeps.
 SHAPES = 300_000
 
-_shapes: dict[str, str] = {}
-
 
 def shape(word: str) -> str:
     """Form of a word: its letters' case, digits and marks, each run shortened to one sign."""
-    found = _shapes.get(word)
-    if found is None:
-        out = []
-        for c in word if len(word) <= 40 else word[:20] + word[-20:]:
-            if c.isalpha():
-                sign = "X" if c.isupper() else "x"
-            else:
-                sign = "9" if c.isdigit() else c
-            if not out or out[-1] != sign:
-                out.append(sign)
-            elif len(out) < 2 or out[-2] != sign:
-                out.append(sign)
-        found = "".join(out)
-        if len(_shapes) > SHAPES:
-            _shapes.clear()
+    out = []
+    for c in word if len(word) <= 40 else word[:20] + word[-20:]:
+        if c.isalpha():
+            sign = "X" if c.isupper() else "x"
+        else:
+            sign = "9" if c.isdigit() else c
+        if not out or out[-1] != sign:
+            out.append(sign)
+        elif len(out) < 2 or out[-2] != sign:
+            out.append(sign)
+    return "".join(out)
+
+
+class ShapeTable(dict):
+    """Word -> shape, kept by a worker up to a size."""
+
+    def __missing__(self, word: str) -> str:
+        if len(self) > SHAPES:
+            self.clear()
+        found = shape(word)
         if len(word) <= 40:
-            _shapes[word] = found
-    return found
+            self[word] = found
+        return found
 
 
 def grams(text: str) -> set:
     """Distinct words, and n-grams of one to three shapes; a word like the one before has the shape '='."""
     words = text.split()
-    shapes = list(map(shape, words))
+    shapes = list(map(worker_table("shapes", ShapeTable).__getitem__, words))
     for i in [i for i, (a, b) in enumerate(zip(words, words[1:]), 1) if a == b]:
         shapes[i] = "="
     out: set = set(words)

@@ -22,7 +22,7 @@ from itertools import chain
 import numpy as np
 from pyspark.sql import DataFrame
 
-from .common import map_texts, vocabulary, whole_texts
+from .common import map_texts, vocabulary, whole_texts, worker_table
 from .pretokens import blocks
 
 SPACE = "▁"
@@ -218,7 +218,7 @@ class PieceModel:
 
 
 class ChunkTable:
-    """Chunk -> (its ids as text, its decoded text), kept by a worker from task to task."""
+    """Chunk -> its ids as text, and its decoded text where that is another, kept by a worker from task to task."""
 
     def __init__(self, path: str):
         self.model = PieceModel(path)
@@ -233,21 +233,18 @@ class ChunkTable:
             ids = self.model.encode_chunk(chunk)
             self.ids[chunk] = ",".join(map(str, ids))
             text = self.model.decode(ids)
-            self.texts[chunk] = chunk if text == chunk else text
-        one, two = self.ids.__getitem__, self.texts.__getitem__
-        out = [(",".join(map(one, chunks)), "".join(map(two, chunks))[1:]) for chunks in lists]
+            if text != chunk:
+                self.texts[chunk] = text
+        one, two = self.ids.__getitem__, self.texts.get
+        out = [(",".join(map(one, chunks)), "".join(map(two, chunks, chunks) if self.texts else chunks)[1:]) for chunks in lists]
         for chunk in todo if len(self.ids) > CHUNKS else [c for c in todo if len(c) > LONGEST]:
-            del self.ids[chunk], self.texts[chunk]
+            del self.ids[chunk]
+            self.texts.pop(chunk, None)
         return out
 
 
-_tables: dict[str, ChunkTable] = {}
-
-
 def chunk_table(model: str) -> ChunkTable:
-    if model not in _tables:
-        _tables[model] = ChunkTable(vocabulary(model))
-    return _tables[model]
+    return worker_table(("chunks", model), lambda: ChunkTable(vocabulary(model)))
 
 
 def _mapped(df: DataFrame, schema: str, each: Callable[[str, str], tuple], model: str, text: str) -> DataFrame:

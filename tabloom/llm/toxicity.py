@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.shared import release, settle
-from .common import LABELLED_ROWS, add_columns, fold, labelled_sample, map_texts, whole_texts
+from .common import LABELLED_ROWS, add_columns, fold, labelled_sample, map_texts, whole_texts, worker_table
 
 #: Letters of a stem; shorter words stand for themselves.
 STEM = 4
@@ -78,13 +78,10 @@ class StemTable(dict):
         return found
 
 
-_stems = StemTable()
-
-
 def features(text: str, lexicon: dict[str, float]) -> list[float]:
     words = text.split()
     n = len(words) or 1
-    stems = [_stems[w] for w in words]
+    stems = list(map(worker_table("stems", StemTable).__getitem__, words))
     hits = [i for i, s in enumerate(stems) if s in lexicon]
     weights = [lexicon[stems[i]] for i in hits]
     near = 0
@@ -252,9 +249,10 @@ def fit_toxicity(
 
     def stems(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
+        table = worker_table("stems", StemTable)
         for batch in batches:
             for p, t, y in zip(*(c.to_pylist() for c in batch.columns)):
-                counts.update((p, y, s) for s in {_stems[w] for w in t.split()})
+                counts.update((p, y, s) for s in {table[w] for w in t.split()})
         if counts:
             p, y, s = zip(*counts)
             yield pa.RecordBatch.from_pydict({"part": pa.array(p, pa.int32()), "y": y, "stem": s, "n": list(counts.values())})

@@ -95,3 +95,19 @@ def test_disguised_words_count():
     plain, hidden = (toxicity.features(t, lexicon) for t in ("you idiot man", "you 1d1ot man"))
     assert plain[0] == hidden[0] == 1 / 3 and plain[4] == hidden[4] == 1 / 3
     assert plain[11] == 0 < hidden[11]
+
+
+def test_a_worker_keeps_the_tables_of_one_operator():
+    """Words of the toxicity and quality stages leave the worker when the next operator's tables come."""
+    from tabloom.llm import common, sentencepieces
+
+    toxicity.features("some words here", {})
+    assert {"some", "words", "here"} <= common._kept["stems"].keys()
+    quality.indicators("some words here")
+    assert list(common._kept) == ["shapes"] and set(common._kept["shapes"]) == {"some", "words", "here"}
+    table = sentencepieces.chunk_table("piece_bpe_32k.model")
+    assert len(common._kept) == 1 and sentencepieces.chunk_table("piece_bpe_32k.model") is table
+    ids, back = table.of_texts(["some words here"])[0]
+    assert back == "some words here" and not table.texts  # texts that come back as they went in are held once
+    toxicity.features("some words here", {})
+    assert list(common._kept) == ["stems"]
