@@ -10,6 +10,10 @@ takes the same few steps whatever the number of documents.
 
 Each task writes under a name of its own and reports it; the table of reports is the
 store's manifest. A repeated task leaves a file that no manifest names.
+
+Texts are encoded block by block: the words of a block are cut and numbered by array
+operations, the library encodes each new word once, many in one run, and the ids of the
+texts are laid out from those of their words, again by array operations.
 """
 
 from __future__ import annotations
@@ -18,22 +22,31 @@ import io
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain, compress, repeat
 from zlib import crc32
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.shared import settle, shared_folder
-from .common import vocabulary, whole_texts
-from .pretokens import PretokenTable, blocks, load_tokenizer
+from .common import vocabulary, whole_texts, worker_table
+from .pretokens import LONGEST, PretokenTable, blocks, plainly_spaced
 from .shingles import U, mix
 
 #: Bits per key that is still without a slot, on each level.
 ROOM = 2
+#: Words whose ids a worker keeps; once full, others are encoded in each block they turn up in. So are longer ones.
+WORDS = 1_000_000
+#: Words that the library encodes in one run, and runs at a time.
+RUN = 512
+RUNS = 32
+#: Characters of the texts that are laid out at once.
+BLOCK = 1 << 23
 
 
 class PerfectHash:
@@ -152,16 +165,106 @@ def _open(folder: str):
     return fs.FileSystem.from_uri(folder)
 
 
-_tables: dict = {}
+def laid_out(ids: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The runs of ``ids`` with these starts and sizes, one after the other."""
+    ends = np.cumsum(sizes)
+    return ids[np.repeat(starts - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)]
+
 
+class IdTable:
+    """Ids of whole texts. Word i of the table has ``sizes[i]`` ids from ``starts[i]`` on, as it stands behind a space.
+
+    A space between two other characters always starts a piece, so a plainly spaced text
+    is put together from its words; any other goes through the table of pieces.
+    """
+
+    def __init__(self, path: str):
+        self.pieces = PretokenTable(path, lambda ids: np.array(ids, "<u4").tobytes(), b"".join)
+        self.tokenizer = self.pieces.tokenizer
+        self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+        tokens = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.bytes = np.zeros(max(tokens.values()) + 1, np.int64)
+        self.bytes[list(tokens.values())] = list(map(len, tokens))  # a character of a token stands for a byte
+        self.index: dict[str, int] = {}
+        self.ids = np.empty(0, self.kind)
+        self.starts, self.sizes = np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of words behind a space, how many each has). Words are told apart in a run by the bytes of its tokens."""
+        found, sizes = [np.empty(0, self.kind)], [np.empty(0, np.int64)]
+        for low in range(0, len(words), RUN * RUNS):
+            part = words[low : low + RUN * RUNS]
+            runs = [" " + " ".join(part[i : i + RUN]) for i in range(0, len(part), RUN)]
+            lists = [e.ids for e in self.tokenizer.encode_batch_fast(runs, add_special_tokens=False)]
+            ids = np.fromiter(chain.from_iterable(lists), self.kind, sum(map(len, lists)))
+            ends = np.cumsum(self.bytes[ids])
+            places = np.cumsum(pc.binary_length(pa.array(part, pa.string())).to_numpy().astype(np.int64) + 1)
+            last = np.searchsorted(ends, places)
+            if len(ends) <= last[-1] or (ends[last] != places).any():
+                raise ValueError("a token joins two words")
+            found.append(ids)
+            sizes.append(np.diff(last, prepend=-1))
+        return np.concatenate(found), np.concatenate(sizes)
+
+    def of_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(place of each distinct word, and the ids, starts and sizes at these places)."""
+        places = np.fromiter(map(self.index.get, words, repeat(-1)), np.int64, len(words))
+        missing = places < 0
+        new = list(compress(words, missing.tolist()))
+        ids, sizes = self.encode(new)
+        starts = np.cumsum(sizes) - sizes
+        places[missing] = len(self.sizes) + np.arange(len(new))
+        out = places, np.append(self.ids, ids), np.append(self.starts, starts + len(self.ids)), np.append(self.sizes, sizes)
+        keep = np.fromiter(map(len, new), np.int64, len(new)) <= LONGEST
+        keep &= np.cumsum(keep) <= WORDS - len(self.index)
+        if keep.any():
+            at, held = np.cumsum(sizes[keep]) - sizes[keep], len(self.index)
+            self.index.update(zip(compress(new, keep.tolist()), range(held, held + len(at))))
+            self.starts = np.append(self.starts, at + len(self.ids))
+            self.sizes = np.append(self.sizes, sizes[keep])
+            self.ids = np.append(self.ids, laid_out(ids, starts[keep], sizes[keep]))
+        return out
 
-def ids_table(tokenizer: str) -> tuple[PretokenTable, str]:
-    """The worker's table of ids, and the type they are written in."""
-    if tokenizer not in _tables:
-        path = vocabulary(tokenizer)
-        kind = "<u2" if load_tokenizer(path).get_vocab_size() <= 1 << 16 else "<u4"
-        _tables[tokenizer] = PretokenTable(path, lambda ids: np.array(ids, kind).tobytes(), b"".join), kind
-    return _tables[tokenizer]
+    def of_texts(self, texts: list[str], end: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of the texts one after the other, each with ``end`` behind it; how many each has)."""
+        heads: dict[str, int] = {}  # first words of plainly spaced texts
+        odd: list[str] = []
+        first, rests = np.empty(len(texts), np.int64), []
+        for i, text in enumerate(texts):
+            rest = None
+            if plainly_spaced(text, self.pieces.wide) and not (self.pieces.cut and self.pieces.cut.search(text)):
+                head, gap, rest = text.partition(" ")
+                first[i] = heads.setdefault(head, len(heads))
+            else:
+                first[i] = -1 - len(odd)
+                odd.append(text)
+            rests.append(rest if rest else None)
+        lists = pc.split_pattern(pa.array(rests, pa.large_string()), " ")
+        counts = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        met = lists.flatten().dictionary_encode()
+        places, ids, starts, sizes = self.of_words(met.dictionary.to_numpy(zero_copy_only=False).tolist())
+        alone = [np.array(e.ids, self.kind) for e in self.tokenizer.encode_batch_fast(list(heads), add_special_tokens=False)]
+        alone += [np.frombuffer(b, "<u4").astype(self.kind) for b in self.pieces.of_texts(odd)]
+        alone.append(np.array([end], self.kind))
+        of_alone = np.fromiter(map(len, alone), np.int64, len(alone))
+        places_alone = len(sizes) + np.arange(len(alone))
+        starts = np.append(starts, len(ids) + np.cumsum(of_alone) - of_alone)
+        sizes, ids = np.append(sizes, of_alone), np.concatenate([ids, *alone])
+        first = np.where(first < 0, len(heads) - 1 - first, first)
+        stops = np.cumsum(counts + 2)
+        begins = stops - counts - 2
+        inside = np.ones(int(counts.sum()) + 2 * len(texts), bool)
+        inside[begins] = inside[stops - 1] = False
+        parts = np.full(len(inside), places_alone[-1])
+        parts[begins] = places_alone[first]
+        parts[inside] = places[met.indices.to_numpy()]
+        own = sizes[parts]
+        return laid_out(ids, starts[parts], own), np.add.reduceat(own, begins)
+
+
+def ids_table(tokenizer: str) -> IdTable:
+    """The worker's table of ids."""
+    return worker_table(("ids", tokenizer), lambda: IdTable(vocabulary(tokenizer)))
 
 
 @dataclass
@@ -196,14 +299,12 @@ def write_ids(
     kind_of_key = texts.schema[key].dataType.simpleString()
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, kind = ids_table(tokenizer)
+        table = ids_table(tokenizer)
         system, root = _open(folder)
         shard = TaskContext.get().partitionId()
         name = f"shard-{shard:07d}-{uuid.uuid4().hex}"
-        width = np.dtype(kind).itemsize
-        last = np.array([end], kind).tobytes()
         keys: list = []
-        sizes: list[int] = []
+        sizes: list[np.ndarray] = []
         kept = None
         out = None
         for batch in batches:
@@ -211,17 +312,17 @@ def write_ids(
                 out = system.open_output_stream(f"{root}/{name}.ids")
             kept = batch.schema.field(0).type
             keys += batch.column(0).to_pylist()
-            for block in blocks(batch.column(1).to_pylist()):
-                for ids in table.of_texts(block):
-                    out.write(ids + last)
-                    sizes.append(len(ids) // width + 1)
+            for block in blocks(batch.column(1).to_pylist(), BLOCK):
+                ids, size = table.of_texts(block, end)
+                out.write(ids.tobytes())
+                sizes.append(size)
         if out is not None:
             out.close()
             with system.open_output_stream(f"{root}/{name}.idx") as index:
-                index.write(ShardIndex.build(keys, np.array(sizes, np.int64)).to_bytes())
+                index.write(ShardIndex.build(keys, np.concatenate(sizes)).to_bytes())
             yield pa.RecordBatch.from_arrays(
                 [pa.array([shard], pa.int32()), pa.array([name]), pa.array([keys[0]], kept),
-                 pa.array([keys[-1]], kept), pa.array([len(keys)], pa.int64()), pa.array([sum(sizes)], pa.int64())],
+                 pa.array([keys[-1]], kept), pa.array([len(keys)], pa.int64()), pa.array([sum(int(s.sum()) for s in sizes)], pa.int64())],
                 names=["shard", "name", "first_key", "last_key", "n_docs", "n_ids"],
             )
 
@@ -234,7 +335,7 @@ def write_ids(
     shards = sorted((r.shard, r.n_ids) for r in written.select("shard", "n_ids").toLocalIterator())
     starts = np.cumsum([0] + [n for _, n in shards]).tolist()
     begin = spark.createDataFrame([(s, at) for (s, _), at in zip(shards, starts)], "shard int, start long")
-    kind = ids_table(tokenizer)[1]
+    kind = ids_table(tokenizer).kind
     return IdStore(folder, written.join(F.broadcast(begin), "shard"), kind, key, len(shards))
 
 

@@ -157,3 +157,39 @@ def test_id_file_query(spark, tokenizer):
         assert (rows[k].start, rows[k].n_tokens) == (at, len(ids))
         assert rows[k].ids_crc32 == crc32(np.array(ids, "<u4").tobytes())
         at += len(ids)
+
+
+@pytest.mark.parametrize("words", [0, 30, 1_000_000])
+def test_ids_laid_out_from_words(tokenizer, monkeypatch, words):
+    """Blocks of plainly spaced and odd texts, with full, small and large tables of words."""
+    monkeypatch.setattr(idfiles, "WORDS", words)
+    monkeypatch.setattr(idfiles, "RUN", 3)
+    monkeypatch.setattr(idfiles, "RUNS", 2)
+    table = idfiles.IdTable(vocabulary(BYTES))
+    some = fuzz(900, 3) + ["two words\n", "two words\n\n", "\ntwo words", "one", "", "ж слово día don't ' 's x's 't", "a\nb c\nd"] * 3
+    some += [" ".join(x.strip() or "x" for x in fuzz(8, i)) for i in range(300)]
+    for start in range(0, len(some), 100):
+        part = some[start : start + 100]
+        ids, sizes = table.of_texts(part, 2)
+        want = [tokenizer.encode(t, add_special_tokens=False).ids + [2] for t in part]
+        assert sizes.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+    assert len(table.index) <= words
+
+
+def test_the_library_is_asked_for_runs_of_words(monkeypatch):
+    """Words go to the library many at a time, each once."""
+    table = idfiles.IdTable(vocabulary(BYTES))
+    asked = []
+
+    class Counting:
+        def encode_batch_fast(self, texts, **more):
+            asked.extend(texts)
+            return tokenizer.encode_batch_fast(texts, **more)
+
+    tokenizer, table.tokenizer = table.tokenizer, Counting()
+    text = "first " + " ".join(f"w{i}" for i in range(1000))
+    table.of_texts([text, text], 2)
+    assert len(asked) <= 1000 // idfiles.RUN + 2
+    asked.clear()
+    table.of_texts([text], 2)
+    assert asked == ["first"]
