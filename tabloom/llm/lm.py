@@ -21,10 +21,11 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from itertools import compress, repeat
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -55,6 +56,8 @@ BROADCAST = 200_000
 LONGEST = 64
 #: Tokens held by a scoring task at once.
 HELD = 2_000_000
+#: Bytes of the texts whose words are cut at once.
+CUT = 1 << 23
 
 END = "\n"  # no word: blanks cut words
 
@@ -64,6 +67,45 @@ def words_of(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split()
 
 
+def parts_of(batch: pa.RecordBatch, text: int) -> Iterator[pa.RecordBatch]:
+    """Runs of rows whose texts hold a bounded number of bytes together (one longer text alone)."""
+    ends = np.cumsum(pc.binary_length(batch.column(text)).to_numpy(zero_copy_only=False).astype(np.int64))
+    low = 0
+    while low < len(ends):
+        before = ends[low - 1] if low else 0
+        high = max(low + 1, int(np.searchsorted(ends, before + CUT, side="right")))
+        yield batch.slice(low, high - low)
+        low = high
+
+
+def words_met(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """(distinct words, the place among them of each word, each text's number of words); words as ``words_of`` cuts them."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    counts = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+    met = lists.flatten().dictionary_encode()
+    codes = met.indices.to_numpy()
+    blank = pc.binary_length(met.dictionary).to_numpy(zero_copy_only=False) == 0  # what stands beside outer blanks
+    if blank.any():
+        word = ~blank[codes]
+        row = np.repeat(np.arange(len(counts)), counts)
+        codes, counts = codes[word], np.bincount(row[word], minlength=len(counts))
+    return met.dictionary.cast(pa.binary()), codes, counts
+
+
+def ids_met(table: dict[bytes, int], texts: pa.Array) -> Iterator[np.ndarray]:
+    """``vocabulary_ids`` of each text."""
+    words, codes, counts = words_met(texts)
+    *ids, end = vocabulary_ids(table, words.to_numpy(zero_copy_only=False).tolist())
+    yield from with_ends(np.array(ids, np.int32)[codes], counts, end)
+
+
+def with_ends(ids: np.ndarray, counts: np.ndarray, end: int) -> list[np.ndarray]:
+    """The ids of each text, one after the other in ``ids``, with an end behind them."""
+    stops = np.cumsum(counts)
+    out = np.insert(ids, stops, end)
+    return np.split(out, (stops + np.arange(1, len(stops) + 1))[:-1])
+
+
 class Network:
     """Parameters of the recurrent network; ``p`` holds them by name."""
 
@@ -134,7 +176,7 @@ class Network:
             share /= total
             share[classes, columns] -= 1
         inside = []
-        order = np.argsort(classes, kind="stable")
+        order = np.argsort(classes.astype(np.uint16), kind="stable")  # short numbers are sorted by their digits
         counts = np.bincount(classes, minlength=CLASSES + 1)
         starts = np.cumsum(counts) - counts
         large = (np.abs(p["w"]).sum(axis=1) + np.abs(p["wb"])).max() > BOUND
@@ -220,7 +262,7 @@ class Network:
             dh = dkeep * goes_on[t]
         d["h"] = np.concatenate([d_gate, d_candidate], axis=1)
         ids = inputs.reshape(-1)
-        order = np.argsort(ids, kind="stable")
+        order = np.argsort(ids.astype(np.uint16), kind="stable")
         ids = ids[order]
         first = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
         d["x"][ids[first]] = np.add.reduceat(changes.take(order, axis=1), first, axis=1).T
@@ -280,7 +322,9 @@ def train(network: Network, documents: Iterator[np.ndarray], streams: int = STRE
 def score(network: Network, documents: list[np.ndarray]) -> np.ndarray:
     """Natural log likelihood of each document; of words of the last class only their class counts."""
     order = sorted(range(len(documents)), key=lambda i: -len(documents[i]))
-    lengths = np.array([len(documents[i]) for i in order])
+    lengths = np.array([len(documents[i]) for i in order], np.int64)
+    flat = np.concatenate([documents[i] for i in order]) if order else np.empty(0, np.int32)
+    begins = np.cumsum(lengths) - lengths
     out = np.zeros(len(documents))
     h = np.zeros((STATE, len(documents)), np.float32)
     last = np.full(len(documents), CLASSES * WORDS + 1, np.int32)
@@ -289,10 +333,9 @@ def score(network: Network, documents: list[np.ndarray]) -> np.ndarray:
     while len(lengths) and at < lengths[0]:
         active = int(np.searchsorted(-lengths, -at, side="left"))  # documents longer than ``at``
         width = min(WINDOW, int(lengths[0]) - at)
-        block = np.full((width, active), -1, np.int32)
-        for row, i in enumerate(order[:active]):
-            part = documents[i][at : at + width]
-            block[: len(part), row] = part
+        places = at + np.arange(width)[:, None]
+        block = flat.take(np.minimum(begins[:active] + places, len(flat) - 1))
+        block[places >= lengths[:active]] = -1
         states, state = [], np.ascontiguousarray(h[:, :active])
         before = last[:active]
         for t in range(width):
@@ -326,11 +369,14 @@ def _word_counts(texts: DataFrame, text: str) -> DataFrame:
             return batch
 
         for batch in batches:
-            for t in batch.column(0).to_pylist():
-                seen.update(words_of(t))
-                seen[END.encode()] += 1
-            if len(seen) > 500_000:
-                yield flush()
+            for part in parts_of(batch, 0):
+                words, codes, counts = words_met(part.column(0))
+                times = np.bincount(codes, minlength=len(words)).tolist()
+                seen.update(dict(zip(words.to_numpy(zero_copy_only=False).tolist(), times)))
+                seen[END.encode()] += len(counts)
+                seen.pop(b"", None)
+                if len(seen) > 500_000:
+                    yield flush()
         if seen:
             yield flush()
 
@@ -359,8 +405,8 @@ def _fit(texts: DataFrame, text: str, key: str, table: dict[bytes, int], shares:
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def documents() -> Iterator[np.ndarray]:
             for batch in batches:
-                for t in batch.column(0).to_pylist():
-                    yield vocabulary_ids(shared_table.value, words_of(t))
+                for part in parts_of(batch, 0):
+                    yield from ids_met(shared_table.value, part.column(0))
 
         network, seen = train(Network({n: v.copy() for n, v in zip(names, shared.value)}), documents())
         if seen:
@@ -457,39 +503,50 @@ def score_documents(
         logs, occurs, inner = np.log10(counts + 1.0), counts > 0, len(table)
         other, last = np.int32(CLASSES * WORDS), table[end]
 
-        def flush(keys, flags, ids, tokens, counted, sums, tails, unseen, typed) -> pa.RecordBatch:
-            scores = score(network, ids) / np.log(10)
-            return pa.RecordBatch.from_arrays(
-                [pa.array(keys, typed), pa.array(flags), pa.array(tokens, pa.int64()), pa.array(counted, pa.int64()),
-                 pa.array(sums), pa.array(scores), pa.array(tails, pa.int64()),
-                 pa.array([list(u.items()) for u in unseen], pa.map_(pa.binary(), pa.int64()))],
-                names=[key, "held_out", "n_tokens", "known", "base", "score", "tail", "rare"],
+        def counted(part: pa.RecordBatch) -> tuple[list[np.ndarray], list[pa.Array], list[pa.Array]]:
+            """(ids of each text, the columns before its score, those after it)."""
+            words, codes, counts = words_met(part.column(1))
+            at = np.fromiter(map(index.get, words.to_numpy(zero_copy_only=False).tolist(), repeat(-1)), np.int32, len(words))
+            unknown, outer = at < 0, at >= inner
+            log, n = np.where(unknown, 0.0, logs[at]), len(counts)
+            row = np.repeat(np.arange(n), counts)
+
+            def summed(of_word: np.ndarray) -> np.ndarray:
+                return np.bincount(row, of_word[codes], n).astype(np.float64)
+
+            known_tokens = summed(~unknown & occurs[at]).astype(np.int64) + int(occurs[last])
+            tails = summed(unknown | outer).astype(np.int64)
+            rare = np.flatnonzero(unknown[codes])
+            pairs, times = np.unique(row[rare] * len(words) + codes[rare], return_counts=True)
+            size = max(len(words), 1)
+            places = np.searchsorted(pairs, np.arange(n + 1) * size).astype(np.int32)
+            unseen = pa.MapArray.from_arrays(pa.array(places), words.take(pa.array(pairs % size)), pa.array(times.astype(np.int64)))
+            return (
+                with_ends(np.where(unknown | outer, other, at)[codes], counts, last),
+                [part.column(0), part.column(2), pa.array(counts + 1), pa.array(known_tokens), pa.array(summed(log) + logs[last])],
+                [pa.array(tails), unseen, pa.array(summed(np.where(outer, log, 0.0)))],
             )
 
-        rows: list[list] = [[] for _ in range(8)]
-        waiting, typed = 0, None
+        def flush(waiting: list[tuple]) -> Iterator[pa.RecordBatch]:
+            scores = score(network, [i for ids, _, _ in waiting for i in ids]) / np.log(10)
+            at = 0
+            for ids, before, after in waiting:
+                own = pa.array(scores[at : at + len(ids)])
+                at += len(ids)
+                yield pa.RecordBatch.from_arrays(
+                    [*before, own, *after],
+                    names=[key, "held_out", "n_tokens", "known", "base", "score", "tail", "rare", "tail_base"],
+                )
+
+        waiting: list[tuple] = []
         for batch in batches:
-            typed = batch.schema.field(0).type
-            for k, t, flag in zip(*(c.to_pylist() for c in batch.columns)):
-                words = words_of(t)
-                at = np.fromiter(map(index.get, words, repeat(-1)), np.int32, len(words))
-                unknown = at < 0
-                rare = Counter(compress(words, unknown.tolist()))
-                found = at[~unknown]
-                outer = found >= inner
-                base = float(logs[found].sum() + logs[last])
-                counted = int(occurs[found].sum() + occurs[last])
-                tail_base = float(logs[found[outer]].sum())
-                tails = int(unknown.sum() + outer.sum())
-                ids = np.append(np.where(unknown | (at >= inner), other, at), np.int32(last))
-                for column, v in zip(rows, (k, flag, ids, len(words) + 1, counted, (base, tail_base), tails, rare)):
-                    column.append(v)
-                waiting += len(ids)
-                if waiting >= HELD:
-                    yield _packed(flush, rows, typed)
-                    rows, waiting = [[] for _ in range(8)], 0
-        if rows[0]:
-            yield _packed(flush, rows, typed)
+            for part in parts_of(batch, 1):
+                waiting.append(counted(part))
+                if sum(len(i) for ids, _, _ in waiting for i in ids) >= HELD:
+                    yield from flush(waiting)
+                    waiting = []
+        if waiting:
+            yield from flush(waiting)
 
     schema = (
         f"`{key}` {kind}, held_out boolean, n_tokens long, known long, base double, score double, tail long, "
@@ -514,9 +571,3 @@ def score_documents(
         (F.col("base") + rare_base - F.col("n_tokens") * whole).alias("base_score"),
         (F.col("score") + F.col("tail_base") + rare_base - F.col("tail") * tail).alias("score"),
     )
-
-
-def _packed(flush, rows: list[list], typed: pa.DataType) -> pa.RecordBatch:
-    keys, flags, ids, tokens, counted, sums, tails, rare = rows
-    batch = flush(keys, flags, ids, tokens, counted, [s for s, _ in sums], tails, rare, typed)
-    return batch.append_column("tail_base", pa.array([s for _, s in sums]))

@@ -143,3 +143,37 @@ def test_output_in_groups_of_classes(monkeypatch):
     monkeypatch.setattr(Network, "output", lambda self, h, ids, **more: (widths.append(len(ids)), output(self, h, ids, **more))[1])
     lm.score(m, [r.integers(0, CLASSES * WORDS, 20).astype(np.int32) for _ in range(2000)])
     assert max(widths) <= lm.WINDOW * lm.STREAMS and sum(widths) == 40_000
+
+
+def test_words_of_many_texts_at_once(monkeypatch):
+    """Cut, lower-cased and numbered as one by one, in parts of few bytes; no text, blanks and long texts included."""
+    import pyarrow as pa
+
+    some = [t for _, t in texts()] + ["", " ", "\x0b A\tb \r\n", "É é A", "x" * 500, "a\x1cb\x85c", " lead", "trail ", "a  b"] * 3
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(some))), pa.array(some)], names=["k", "t"])
+    table = {w: i for i, w in enumerate([b"a", b"b", lm.END.encode(), b"lead"])}
+    for cut in (1, 60, 1 << 23):
+        monkeypatch.setattr(lm, "CUT", cut)
+        parts = list(lm.parts_of(batch, 1))
+        assert [k for p in parts for k in p.column(0).to_pylist()] == list(range(len(some)))
+        ids = [i.tolist() for p in parts for i in lm.ids_met(table, p.column(1))]
+        assert ids == [lm.vocabulary_ids(table, lm.words_of(t)).tolist() for t in some]
+        found = [w for p in parts for w in [lm.words_met(p.column(1))]]
+        got = [w[0].take(pa.array(c)).to_pylist() for w in found for c in np.split(w[1], np.cumsum(w[2])[:-1])]
+        assert got == [lm.words_of(t) for t in some]
+
+
+def test_scoring_looks_up_a_word_once_for_many_texts(spark, monkeypatch):
+    """Of texts that repeat their words, no text is cut by itself but those of the starting sample."""
+    calls = spark.sparkContext.accumulator(0)
+    plain = lm.words_of
+
+    def counted(t):
+        calls.add(1)
+        return plain(t)
+
+    monkeypatch.setattr(lm, "words_of", counted)
+    monkeypatch.setattr(lm, "START_ROWS", 3)
+    docs = spark.createDataFrame([(i, "a b c " * 5) for i in range(50)], "doc_id long, text string")
+    assert lm.score_documents(docs).count() == 50
+    assert calls.value <= 3
