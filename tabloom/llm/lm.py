@@ -509,10 +509,14 @@ def score_documents(
             at = np.fromiter(map(index.get, words.to_numpy(zero_copy_only=False).tolist(), repeat(-1)), np.int32, len(words))
             unknown, outer = at < 0, at >= inner
             log, n = np.where(unknown, 0.0, logs[at]), len(counts)
-            row = np.repeat(np.arange(n), counts)
+            row, full = np.repeat(np.arange(n), counts), np.flatnonzero(counts)
+            starts = (np.cumsum(counts) - counts)[full]
 
             def summed(of_word: np.ndarray) -> np.ndarray:
-                return np.bincount(row, of_word[codes], n).astype(np.float64)
+                """Sum over each text, added in pairs, as that of a long text needs."""
+                out = np.zeros(n)
+                out[full] = np.add.reduceat(of_word[codes].astype(np.float64), starts) if len(full) else 0.0
+                return out
 
             known_tokens = summed(~unknown & occurs[at]).astype(np.int64) + int(occurs[last])
             tails = summed(unknown | outer).astype(np.int64)
