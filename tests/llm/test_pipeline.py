@@ -4,10 +4,11 @@ import json
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tabloom.llm import queries
-from tabloom.llm.common import vocabulary
+from tabloom.llm.common import add_columns, vocabulary
 from tabloom.llm.decontaminate import Matcher
 
 from ..conftest import DATA
@@ -80,3 +81,33 @@ def test_a_unique_text_of_a_repeated_key_stays(spark):
     assert sorted(((r.doc_id, r.text) for r in left.collect()), key=str) == sorted(
         [(1, words), (5, other), (None, words), (7, None), (7, "")], key=str
     )
+
+
+def test_stages_bound_what_a_worker_gets_at_once(spark):
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    few = spark.read.parquet(f"{DATA}/documents.parquet").limit(50)
+    long = spark.range(0, 600, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("some words "), 1000).alias("text"))
+
+    def characters():
+        return lambda texts: [[sum(map(len, texts))] * len(texts)]
+
+    try:
+        for name, stage in corpus_pipeline.STAGES:
+            spark.conf.unset(setting)
+            stage(spark, few, DATA)
+            batches = add_columns(long, characters, "characters long").agg(F.max("characters"), F.count("*")).first()
+            assert batches[0] < 2 << 20 and batches[1] == 600, name
+        spark.conf.set(setting, "123456")  # a setting of the user's own stays
+        stage(spark, few, DATA)
+        assert spark.conf.get(setting) == "123456"
+    finally:
+        spark.conf.unset(setting)
+
+
+def test_a_text_travels_once_beside_its_new_columns(spark):
+    docs = spark.createDataFrame([(1, "a b"), (2, None), (3, "")], "doc_id long, text string")
+    out = add_columns(docs, lambda: lambda texts: [[f"<{t}>" for t in texts]], "marked string")
+    assert "__whole" not in out._jdf.queryExecution().analyzed().toString()
+    assert sorted(map(tuple, out.collect())) == [(1, "a b", "<a b>"), (2, None, "<>"), (3, "", "<>")]
+    numbers = add_columns(docs, lambda: lambda texts: [[t * 2 for t in texts]], "twice string", "doc_id")
+    assert sorted(map(tuple, numbers.collect())) == [(1, "a b", "11"), (2, None, "22"), (3, "", "33")]
