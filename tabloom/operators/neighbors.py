@@ -234,6 +234,11 @@ def top_rows(
     return pd.DataFrame(found)[columns]
 
 
+def no_rows(columns: Sequence[str]) -> pd.DataFrame:
+    """An empty result; its columns are objects, which Arrow turns into any type (an empty float column into numbers only)."""
+    return pd.DataFrame({c: [] for c in columns}, dtype=object)
+
+
 def _packed(df: DataFrame, key: str, features: Sequence[str], metric: str, names: tuple[str, str], extra=()) -> DataFrame:
     complete = df.dropna(subset=list(features))
     x = F.array(*[ref(c).cast("double") for c in features])
@@ -379,7 +384,7 @@ def _tiled_nearest(lrows, rrows, width, k, metric, exclude_self, labelled, carry
 
     def tile(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
-            return pd.DataFrame({c: [] for c in columns})
+            return no_rows(columns)
         return top_rows(a, RightSide.of(b, carry, labelled), k, metric, exclude_self, labelled)
 
     spots = ["_cell", "_chunk", "_salt"]
@@ -459,7 +464,7 @@ def pair_blocks(
     empty = [part.split()[0].strip("`") for part in schema.split(", ")]
 
     def tile(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        return work(x, y) if len(x) and len(y) else pd.DataFrame({c: [] for c in empty})
+        return work(x, y) if len(x) and len(y) else no_rows(empty)
 
     parts = max(1, min(across * down, 20_000))
     a, b = (t.select(*[ref(c).alias(c) for c in t.columns]).repartition(parts, "_a", "_b") for t in (a, b))

@@ -3,6 +3,7 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from tabloom.operators import neighbors
 from tabloom.operators.metrics.clustering import silhouette_samples
@@ -163,3 +164,17 @@ def test_label_sums_take_no_pair_by_dimension(monkeypatch):
     monkeypatch.setattr(neighbors, "distances", refuse)
     got = neighbors.label_sums(x, x, codes, 4, "euclidean")
     assert got == pytest.approx(want, rel=1e-9)
+
+
+def test_tiles_without_visitors_carry_text(spark):
+    """Cells that nobody visits again give no rows, whatever the types of key and carried columns."""
+    df = spark.range(400).select(
+        F.concat(F.lit("k"), "id").alias("key"), (F.col("id") * 3).cast("double").alias("a"), F.concat(F.lit("n"), "id").alias("name"),
+        F.date_add(F.lit("2020-01-01").cast("date"), F.col("id").cast("int")).alias("day"),
+    )
+    hits = nearest(df, df, "key", ["a"], 1, carry=["name", "day"], small_values=0, tile_rows=50).collect()
+    assert len(hits) == 400 and all(h.left_key == h.right_key and h.name == "n" + h.left_key[1:] for h in hits)
+    # one label fills the buckets of one side only
+    few = df.limit(3).withColumn("g", F.lit("x"))
+    sums = distance_sums(few, "key", ["a"], "g", small_values=0, tile_rows=1).collect()
+    assert {r.key: r.total for r in sums} == {"k0": 9.0, "k1": 6.0, "k2": 9.0}
