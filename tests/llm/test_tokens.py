@@ -44,6 +44,13 @@ def test_pretokens_give_the_library_ids(tokenizer):
     assert table.of_texts(some) == [tokenizer.encode(t, add_special_tokens=False).ids for t in some]
 
 
+def test_words_after_a_newline_stay_apart(tokenizer):
+    """Words that end a text with a newline and words that start one after it, next to each other in any order."""
+    table = PretokenTable(vocabulary(BYTES), list, lambda parts: [i for p in parts for i in p])
+    some = [t for i in range(200) for t in (f"x w{i}\n", f"\nv{i} y", f"\n{i} é")]
+    assert table.of_texts(some) == [tokenizer.encode(t, add_special_tokens=False).ids for t in some]
+
+
 def test_full_tables_change_nothing(tokenizer, monkeypatch):
     from tabloom.llm import pretokens
 
