@@ -51,6 +51,30 @@ def test_words_after_a_newline_stay_apart(tokenizer):
     assert table.of_texts(some) == [tokenizer.encode(t, add_special_tokens=False).ids for t in some]
 
 
+def test_frequent_pieces_are_those_of_all_texts(spark, monkeypatch):
+    """Counted over every row, also where each has words of its own, against a plain count."""
+    from collections import Counter
+
+    table = PretokenTable(vocabulary(BYTES), len, sum)
+    some = [f"the w{chr(97 + i % 26)}{'abcdefghij'[i // 26 % 10]}{'klmnopqrst'[i // 260]} the don't" for i in range(2600)] + fuzz(300, 5)
+    want: Counter = Counter()
+    for t in some:
+        for part in table.cut.split(t):
+            if part not in table.special:
+                want.update(p for p in table.split(part) if len(p) <= token_counts.LONGEST and "\0" not in p)
+    monkeypatch.setattr(token_counts, "RUN", 500)
+    monkeypatch.setattr(token_counts, "PARTIAL", 50)
+    texts = spark.createDataFrame([(t,) for t in some], "text string").repartition(3)
+    assert {r.piece: r.n for r in token_counts.piece_counts(texts, BYTES).collect()} == want
+    pieces, lengths = token_counts.frequent_pieces(texts, BYTES)
+    assert set(pieces.split("\0")) == want.keys() and len(lengths) == len(want)
+    places = sorted(want.values(), reverse=True)
+    monkeypatch.setattr(token_counts, "FREQUENT", 20)
+    pieces = token_counts.frequent_pieces(texts, BYTES)[0].split("\0")
+    assert set(pieces) == {p for p, n in want.items() if n > places[20] or places[19] > places[20] and n >= places[19]}
+    assert "the" in pieces and len(pieces) <= 20
+
+
 def test_full_tables_change_nothing(tokenizer, monkeypatch):
     from tabloom.llm import pretokens
 
